@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TEXT_SCHEMA = "g int, s int, x string, y string, z string, e string, o string"
-_PARSE_OPTIONS = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"}
+
+def _part(text: Column, name: str) -> Column:
+    """Value of one member of the text, without quotes; empty if it is not there."""
+    return F.regexp_extract(text, rf"""[{{,]\s*["']?{name}["']?\s*:\s*["']*([^,"'}}]*)""", 1)
 
 
 def _joined(array: Column) -> Column:
@@ -40,22 +42,17 @@ def geometry_to_text(geometry: Column) -> Column:
 
 
 def split_numbers(text: Column, element: str) -> Column:
-    """``1|1003|1`` to an array of ``element``; the word null gives NULL."""
+    """``1|1003|1`` to an array of ``element``; the word null, and no text, give NULL."""
     bare = F.lower(F.trim(F.regexp_replace(text, '"', "")))
-    return F.when(bare != "null", F.split(text, r"\|").try_cast(f"array<{element}>"))
+    return F.when(~bare.isin("null", ""), F.split(text, r"\|").try_cast(f"array<{element}>"))
 
 
 def geometry_from_text(text: Column) -> Column:
     """Text to struct ``(g, s, x, y, z, e, o)``; unreadable text gives NULL."""
-    raw = F.from_json(text, _TEXT_SCHEMA, _PARSE_OPTIONS)
-    part = raw.getField
     value = F.struct(
-        part("g").alias("g"),
-        part("s").alias("s"),
-        part("x").try_cast("double").alias("x"),
-        part("y").try_cast("double").alias("y"),
-        part("z").try_cast("double").alias("z"),
-        split_numbers(part("e"), "int").alias("e"),
-        split_numbers(part("o"), "double").alias("o"),
+        *[_part(text, name).try_cast("int").alias(name) for name in ("g", "s")],
+        *[_part(text, name).try_cast("double").alias(name) for name in ("x", "y", "z")],
+        split_numbers(_part(text, "e"), "int").alias("e"),
+        split_numbers(_part(text, "o"), "double").alias("o"),
     )
-    return F.when(part("g").isNotNull(), value)
+    return F.when(_part(text, "g").try_cast("int").isNotNull(), value)

@@ -76,18 +76,26 @@ def parse_pks(pks: Column) -> Column:
     )
 
 
-def key_columns(log: DataFrame, fields: Sequence[FieldSpec], *, side: str = "source") -> DataFrame:
-    """Replace ``pks`` of one table's log by typed key columns, named as on ``side``.
-
-    Names in the text are matched without regard to case. A key that is missing
-    or unreadable becomes NULL.
+def key_columns(
+    log: DataFrame,
+    fields: Sequence[FieldSpec],
+    *,
+    side: str = "source",
+    out: Sequence[str] | None = None,
+) -> DataFrame:
+    """Replace ``pks`` of one table's log by typed key columns.
+
+    The text names them as on ``side``, without regard to case; the columns are
+    called the same, or as ``out`` says. A key that is missing or unreadable
+    becomes NULL.
     """
     parsed = log.withColumn("_pks", parse_pks(F.col("pks")))
     names = F.transform("_pks.names", lambda n: F.upper(F.trim(n)))
-    for f in [f for f in fields if f.pk]:
+    keys = [f for f in fields if f.pk]
+    for f, column in zip(keys, out or [getattr(f, side) for f in keys], strict=True):
         name = getattr(f, side)
         place = F.array_position(names, F.lit(name.upper()))
         value = F.when(place > 0, F.get(F.col("_pks.values"), (place - 1).cast("int")))
         typed = cast_key(value, f.jdbc_type)
-        parsed = parsed.withColumn(name, typed.cast(f.spark_type))
+        parsed = parsed.withColumn(column, typed.cast(f.spark_type))
     return parsed.drop("_pks", "pks")

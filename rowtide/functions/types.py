@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowtide.session import small_frame
+
 # JDBC type name -> (java.sql.Types code, Spark type).
 JDBC_TYPES: dict[str, tuple[int, str]] = {
     "ARRAY": (2003, "array<string>"),
@@ -201,7 +203,8 @@ def vendor_type_map(spark: SparkSession) -> DataFrame:
         for vendor, names in VENDOR_TYPES.items()
         for name, jdbc in names.items()
     ]
-    return spark.createDataFrame(
+    return small_frame(
+        spark,
         rows,
         "vendor string, base_type string, jdbc_type string, jdbc_code int, spark_type string",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,11 +19,19 @@ def has_key(pk: Sequence[str]) -> Column:
     return all_of([F.col(c).isNotNull() for c in pk])
 
 
-def exists_in(other: DataFrame, pk: Sequence[str]) -> Column:
-    """True where ``other`` holds a row with this row's key (an existence join)."""
+def with_presence(
+    df: DataFrame, other: DataFrame, pk: Sequence[str], yes: str, no: str, out: str
+) -> DataFrame:
+    """Add ``out``: ``yes`` where ``other`` holds a row with this row's key, else ``no``.
+
+    Planned as an existence join, which needs one row per key on neither side.
+    """
+    # the outer row is named apart, or its key would be taken for that of ``other``
+    here = f"_outer_{uuid.uuid4().hex}"
     keys = other.select(*[F.col(c).alias(f"_key_{i}") for i, c in enumerate(pk)])
-    same = [F.col(f"_key_{i}") == F.col(c).outer() for i, c in enumerate(pk)]
-    return keys.where(all_of(same)).exists()
+    same = [F.col(f"_key_{i}") == F.col(f"{here}.{c}").outer() for i, c in enumerate(pk)]
+    found = keys.where(all_of(same)).exists()
+    return df.alias(here).select("*", F.when(found, yes).otherwise(no).alias(out))
 
 
 def classify(
@@ -35,7 +44,7 @@ def classify(
     per key, as a keyed table does.
     """
     if not only_changed:
-        return source.withColumn("op", F.when(exists_in(target, pk), "U").otherwise("I"))
+        return with_presence(source, target, pk, "U", "I", "op")
     values = [c for c in source.columns if c not in pk]
     old = target.select(
         *pk, F.struct(F.lit(True).alias("_"), *[F.col(c) for c in values]).alias("_old")

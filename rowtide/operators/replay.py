@@ -17,6 +17,7 @@ from rowtide.operators.changelog import collapse
 from rowtide.operators.compare import has_key
 from rowtide.operators.writeback import complete, missing_rows
 from rowtide.plans.spec import SyncJob, TableSpec
+from rowtide.session import settle, small_frame
 from rowtide.sources.log import read_log
 from rowtide.sources.scan import fetch_by_keys, project
 
@@ -27,7 +28,8 @@ PUT, ADD, DROP = "P", "A", "D"
 
 def policies(spark: SparkSession, tables: Sequence[TableSpec], *, side: str = "source") -> DataFrame:
     """Per-table policies as a DataFrame, one row per table of the job."""
-    return spark.createDataFrame(
+    return small_frame(
+        spark,
         [
             (getattr(t, side).upper(), t.insert_only, t.target_deletable, t.seqnumber)
             for t in tables
@@ -68,31 +70,39 @@ def _allowed(log: DataFrame, spec: TableSpec) -> DataFrame:
     return log.where(F.col("op").isin(*ops))
 
 
-def _to_target_names(df: DataFrame, spec: TableSpec) -> DataFrame:
-    return df.withColumnsRenamed(dict(zip(spec.pk, spec.target_pk, strict=True)))
+def _key_names(spec: TableSpec) -> list[str]:
+    """Stand-ins for key columns, which may be called like a column of the log."""
+    return [f"_key_{i}" for i in range(len(spec.pk))]
 
 
 def pending_keys(log: DataFrame, spec: TableSpec) -> DataFrame:
-    """Collapsed log of one table, keyed by typed columns under their target names.
+    """Collapsed log of one table: typed key columns under their target names, and ``_log``.
 
     Collapsed first by key text, where most of the volume goes, then by the typed
     key. Keys that cannot be read are left out; see :func:`unreadable_keys`.
+    ``_log`` is a struct of what :func:`~rowtide.operators.changelog.collapse` gives.
     """
     by_text = collapse(_allowed(read_log(log, table=spec.source), spec), ["pks"])
     return _typed(by_text, spec)
 
 
 def _typed(by_text: DataFrame, spec: TableSpec) -> DataFrame:
-    typed = key_columns(by_text, spec.fields).where(has_key(spec.pk))
-    return _to_target_names(collapse(typed, spec.pk), spec)
+    keys = _key_names(spec)
+    typed = collapse(key_columns(by_text, spec.fields, out=keys).where(has_key(keys)), keys)
+    facts = [c for c in typed.columns if c not in keys]
+    return typed.select(
+        *[F.col(k).alias(t) for k, t in zip(keys, spec.target_pk, strict=True)],
+        F.struct(*facts).alias("_log"),
+    )
 
 
 def unreadable_keys(log: DataFrame, spec: TableSpec) -> DataFrame:
     """Log rows of a table whose key text cannot be read."""
     rows = read_log(log, table=spec.source)
-    return key_columns(rows.withColumn("_text", F.col("pks")), spec.fields).where(
-        ~has_key(spec.pk)
-    ).select(*[F.col("_text").alias("pks") if c == "pks" else F.col(c) for c in log.columns])
+    keys = _key_names(spec)
+    typed = key_columns(rows.withColumn("_text", F.col("pks")), spec.fields, out=keys)
+    columns = [F.col("_text").alias("pks") if c == "pks" else F.col(c) for c in log.columns]
+    return typed.where(~has_key(keys)).select(*columns)
 
 
 def only_newer(pending: DataFrame, applied: DataFrame, pk: Sequence[str]) -> DataFrame:
@@ -100,13 +110,13 @@ def only_newer(pending: DataFrame, applied: DataFrame, pk: Sequence[str]) -> Dat
     seen = fetch_by_keys(applied, pending, pk).select(*pk, F.col("last_id").alias("_seen"))
     return (
         pending.join(seen, list(pk), "left")
-        .where(F.col("_seen").isNull() | (F.col("last_id") > F.col("_seen")))
+        .where(F.col("_seen").isNull() | (F.col("_log.last_id") > F.col("_seen")))
         .drop("_seen")
     )
 
 
 def decide(source: DataFrame, pending: DataFrame, spec: TableSpec) -> DataFrame:
-    """Pending keys with the current source row (target names) and the ``action`` to take.
+    """Pending keys with the current source row (target names) and the ``_action`` to take.
 
     ===============  ===========  ==========================================
     last op          source row   action
@@ -118,33 +128,38 @@ def decide(source: DataFrame, pending: DataFrame, spec: TableSpec) -> DataFrame:
     ===============  ===========  ==========================================
 
     The pending keys are fetched with a semi join first, so that a short log is
-    broadcast to the source instead of shuffling the source.
+    broadcast to the source instead of shuffling the source. The outcome, of the
+    size of the changes, is settled: what follows uses it more than once and must
+    not scan log and source again.
     """
+    pending = settle(pending)
     pk = spec.target_pk
     current = fetch_by_keys(project(source, spec.fields), pending, pk)
     joined = pending.join(current.withColumn("_there", F.lit(True)), pk, "left")
     gone = F.col("_there").isNull()
-    put = F.when(F.col("has_delete"), PUT).otherwise(ADD) if spec.insert_only else F.lit(PUT)
+    deleted = F.col("_log.has_delete")
+    put = F.when(deleted, PUT).otherwise(ADD) if spec.insert_only else F.lit(PUT)
     action = (
-        F.when((F.col("last_op") == "D") | (gone & F.col("has_delete")), DROP)
+        F.when((F.col("_log.last_op") == "D") | (gone & deleted), DROP)
         .when(~gone, put)
     )
-    return joined.withColumn("action", action).where(F.col("action").isNotNull()).drop("_there")
+    decided = joined.withColumn("_action", action).where(F.col("_action").isNotNull())
+    return settle(decided.drop("_there"))
 
 
 def apply_decided(target: DataFrame, decided: DataFrame, spec: TableSpec) -> DataFrame:
     """New state of the target."""
     pk = spec.target_pk
     mapped = [f.target for f in spec.fields]
-    touched = decided.where(F.col("action").isin(PUT, DROP)).select(*pk)
-    puts = decided.where(F.col("action") == PUT).select(*mapped)
+    touched = decided.where(F.col("_action").isin(PUT, DROP)).select(*pk)
+    puts = decided.where(F.col("_action") == PUT).select(*mapped)
     result = (
         target.join(touched, pk, "left_anti")
         .select(*target.columns)
         .unionByName(complete(puts, target, pk))
     )
     if spec.insert_only:
-        adds = decided.where(F.col("action") == ADD).select(*mapped)
+        adds = decided.where(F.col("_action") == ADD).select(*mapped)
         result = result.unionByName(missing_rows(target, adds, pk), allowMissingColumns=True)
     return result
 
@@ -192,7 +207,7 @@ def replay_many(
     :func:`rowtide.plans.jobs.run_cdc` publishes them all at once, so no reader
     sees a child without its parent.
     """
-    collapsed = collapse_mixed(log, job)
+    collapsed = settle(collapse_mixed(log, job))
     states = {}
     for stage in job.stages():
         for spec in stage:

@@ -46,10 +46,23 @@ def time_slices(
     )
 
 
-def next_position(df: DataFrame, ts: str, start: datetime | Column | None = None,
-                  seconds: int = SLICE_SECONDS) -> DataFrame:
+def next_position(
+    df: DataFrame, ts: str, start: datetime | Column | None = None, seconds: int = SLICE_SECONDS
+) -> DataFrame:
     """Where the next cycle starts: the end of the last complete slice, as one row ``value``.
 
-    NULL while no slice is complete.
+    Slices without rows count, too. NULL while no slice is complete.
     """
-    return time_slices(df, ts, start, seconds).agg(F.max("slice_end").alias("value"))
+    if start is None:
+        rows, first = df, F.min(ts)
+    else:
+        first = start if isinstance(start, Column) else F.lit(start).cast("timestamp_ntz")
+        rows = df.where(F.col(ts) >= first)
+        first = F.min(first)
+    bounds = rows.agg(first.alias("lo"), F.max(ts).alias("hi"))
+    width = F.lit(seconds * 1_000_000).cast("long")
+    complete = F.floor((_micros(F.col("hi")) - _micros(F.col("lo")) - 1) / width).cast("long")
+    end = _from_micros(_micros(F.col("lo")) + F.col("complete") * width)
+    return bounds.withColumn("complete", complete).select(
+        F.when(F.col("complete") > 0, end).alias("value")
+    )

@@ -14,6 +14,7 @@ from rowtide.operators.compare import all_of
 from rowtide.operators.numbering import BUCKET_BITS, bucket_of
 from rowtide.operators.replay import ADD, DROP, PUT, apply_decided, decide, pending_keys
 from rowtide.plans.spec import TableSpec
+from rowtide.session import settle
 from rowtide.sources.log import same_table
 from rowtide.sources.scan import fetch_by_keys
 
@@ -93,21 +94,21 @@ def apply_from_peer(
     same = all_of([F.lit(True)] + [F.col(c).eqNullSafe(F.col(f"_old.{c}")) for c in values])
     put = F.when(~here, "I").when(F.lit(skip_unchanged) & same, None).otherwise("U")
     op = (
-        F.when((F.col("action") == DROP) & here, "D")
-        .when(F.col("action") == PUT, put)
-        .when((F.col("action") == ADD) & ~here, "I")
+        F.when((F.col("_action") == DROP) & here, "D")
+        .when(F.col("_action") == PUT, put)
+        .when((F.col("_action") == ADD) & ~here, "I")
     )
     applied = (
         decided.join(existing, pk, "left")
-        .withColumn("op", op)
-        .where(F.col("op").isNotNull())
+        .withColumn("_op", op)
+        .where(F.col("_op").isNotNull())
         .select(
             F.lit(origin).alias("origin"),
             F.lit(spec.target.upper()).alias("tablename"),
             encode_pks(spec.fields, side="target").alias("pks"),
-            "op",
-            F.col("last_id").alias("id"),
-            F.when(F.col("op") != "D", row_hash([*pk, *values])).alias("row_hash"),
+            F.col("_op").alias("op"),
+            F.col("_log.last_id").alias("id"),
+            F.when(F.col("_op") != "D", row_hash([*pk, *values])).alias("row_hash"),
         )
     )
     return apply_decided(target, decided, spec), applied
@@ -137,9 +138,9 @@ def find_conflicts(
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(
             *pk,
-            F.col("last_op").alias(f"{name}_op"),
-            F.col("last_id").alias(f"{name}_id"),
-            F.col("last_time").alias(f"{name}_time"),
+            F.col("_log.last_op").alias(f"{name}_op"),
+            F.col("_log.last_id").alias(f"{name}_id"),
+            F.col("_log.last_time").alias(f"{name}_time"),
         )
 
     winner: Column = F.lit(conflict)
@@ -178,8 +179,8 @@ def two_way(
     if applied_b is not None:
         log_b = suppress_echo(log_b, applied_b, hashed=hashed)
 
-    from_a = pending_keys(log_a, spec)
-    from_b = pending_keys(log_b, back)
+    from_a = settle(pending_keys(log_a, spec))
+    from_b = settle(pending_keys(log_b, back))
     same_names = dict(zip(spec.pk, spec.target_pk, strict=True))
     met = find_conflicts(from_a, from_b.withColumnsRenamed(same_names), pk, conflict)
 

@@ -42,7 +42,7 @@ from rowtide.operators.writeback import (
     present_keys,
 )
 from rowtide.plans.spec import SyncJob, TableSpec
-from rowtide.session import settle
+from rowtide.session import scratch_scope, settle, small_frame
 from rowtide.sources.log import LOG_SCHEMA, ack_log, read_log, same_table
 from rowtide.sources.scan import project, scan, scan_flagged
 from rowtide.sources.snapshots import (
@@ -371,7 +371,7 @@ def apply_log(
             ids = ", ".join(f"`{f.target}` {f.spark_type}" for f in spec.fields if f.pk)
             seen = target.read(kept, schema=f"{ids}, last_id bigint")
             pending = only_newer(pending, seen, pk)
-            states[kept] = merge(seen, pending.select(*pk, "last_id"), pk)
+            states[kept] = merge(seen, pending.select(*pk, "_log.last_id"), pk)
         decided = decide(source.read(spec.source), pending, spec)
         states[spec.target] = apply_decided(old, decided, spec)
         _, effect = apply_from_peer(old, decided, spec.source, spec)
@@ -398,10 +398,11 @@ def run_cdc(
     number = _cycle(job, target, cycle)
     if source.has_batch(f"{job.name}/ack", number):
         return
-    log = source.read(job.source_log, schema=LOG_SCHEMA)
-    taken = _take(log, job, "source", limit)
-    apply_log(job, taken, source, target, cycle=number)
-    _ack(source, job.source_log, taken, job.name, number)
+    with scratch_scope(target.spark):
+        log = source.read(job.source_log, schema=LOG_SCHEMA)
+        taken = settle(_take(log, job, "source", limit)) if limit else _take(log, job, "source", None)
+        apply_log(job, taken, source, target, cycle=number)
+        _ack(source, job.source_log, taken, job.name, number)
 
 
 def run_two_way(
@@ -468,8 +469,10 @@ def run_sequences(job: SyncJob, source: DataFrame, target: DataFrame) -> DataFra
     (``name, last_number, increment_by, cache_size`` and perhaps ``currval``).
     """
     spark = source.sparkSession
-    pairs = spark.createDataFrame(
-        [(s.source.upper(), s.target.upper()) for s in job.sequences], "_source string, _target string"
+    pairs = small_frame(
+        spark,
+        [(s.source.upper(), s.target.upper()) for s in job.sequences],
+        "_source string, _target string",
     )
     pairs = F.broadcast(pairs)
     wanted = source.join(pairs, F.upper("name") == F.col("_source")).select(*source.columns)

@@ -211,7 +211,11 @@ def _(spark, sf):
     return cut.select("event_id", "ts", "slice_no", "slice_start", "slice_end")
 
 
-@query("next_position", f"SELECT max(slice_end) AS value FROM ({SLICES}) q WHERE slice_end < hi")
+@query(
+    "next_position",
+    """SELECT min(ts) + to_seconds(60 * CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts)) - 1)
+                                                 / 60000000) AS BIGINT)) AS value FROM events""",
+)
 def _(spark, sf):
     return slices.next_position(table(spark, sf, "events"), "ts")
 

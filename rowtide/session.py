@@ -1,28 +1,41 @@
-"""Session settings every operator relies on."""
+"""Session settings every operator relies on, scratch tables and small local frames."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the operators count on: UTC timestamps, and TIME columns."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder shared by driver and executors for checkpoints and scratch tables.
+    """Folder shared by driver and executors for scratch tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that setting
     is absent (single-machine tests) a temporary folder is used.
     """
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="rowtide-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
 
@@ -33,10 +46,51 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and read it back from there.
+    """Write ``df`` once to a scratch table and read it back from there.
+
+    Used where two passes must see the very same rows, or where something small
+    that took a large scan to find is needed more than once. The rows are in
+    shared storage, so losing an executor between the passes changes nothing, and
+    their true size is known when joins are planned.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    Used where two passes must see the very same rows. The rows live in
-    reliable storage, so losing an executor between the passes changes nothing.
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch tables written inside the block when it ends.
+
+    For drivers, whose results are committed by then. Outside such a block they
+    stay, like checkpoint files, until the folder is cleaned.
     """
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        context = spark.sparkContext
+        for name in paths:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_frame(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: str) -> DataFrame:
+    """A few driver-side rows as a local relation, known to the planner by size."""
+    if not rows:
+        return empty_frame(spark, schema)
+    names = T.StructType.fromDDL(schema).names
+    data = pa.Table.from_pylist([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.createDataFrame(data, schema)
+
+
+def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of the given columns; joins with it are planned away."""
+    fields = T.StructType.fromDDL(schema)
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
