@@ -114,8 +114,10 @@ def run_batches(
     each bucket; a summary of one row per bucket then says how many runs came
     before and whether a run goes on across the border.
     """
-    group = list(partition)
-    tagged = log.withColumn("_bucket", bucket_of(order, bits))
+    # a struct equals another with NULLs in the same places, so no row gets lost
+    whole = F.struct(*partition) if partition else F.lit(0)
+    group = ["_group"]
+    tagged = log.withColumn("_group", whole).withColumn("_bucket", bucket_of(order, bits))
     here = Window.partitionBy(*group, "_bucket").orderBy(order)
     key = F.struct(*by)
     starts = F.when(F.lag(key).over(here).eqNullSafe(key), 0).otherwise(1)

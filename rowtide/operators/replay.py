@@ -106,8 +106,15 @@ def unreadable_keys(log: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def only_newer(pending: DataFrame, applied: DataFrame, pk: Sequence[str]) -> DataFrame:
-    """Pending keys not yet overtaken: ``applied`` holds the last id applied per key."""
-    seen = fetch_by_keys(applied, pending, pk).select(*pk, F.col("last_id").alias("_seen"))
+    """Pending keys not yet overtaken.
+
+    ``applied`` holds the ids applied so far per key; the latest counts.
+    """
+    seen = (
+        fetch_by_keys(applied, pending, pk)
+        .groupBy(*pk)
+        .agg(F.max("last_id").alias("_seen"))
+    )
     return (
         pending.join(seen, list(pk), "left")
         .where(F.col("_seen").isNull() | (F.col("_log.last_id") > F.col("_seen")))

@@ -114,6 +114,15 @@ def apply_from_peer(
     return apply_decided(target, decided, spec), applied
 
 
+@dataclass(frozen=True)
+class Exchange:
+    """What one two-way cycle sends each way, decided but not applied."""
+
+    to_a: DataFrame
+    to_b: DataFrame
+    conflicts: DataFrame
+
+
 @dataclass(frozen=True)
 class TwoWay:
     """Outcome of one two-way cycle."""
@@ -152,7 +161,7 @@ def find_conflicts(
     return side(pending_a, "a").join(side(pending_b, "b"), list(pk)).withColumn("winner", winner)
 
 
-def two_way(
+def exchange(
     a: DataFrame,
     b: DataFrame,
     log_a: DataFrame,
@@ -163,8 +172,8 @@ def two_way(
     applied_b: DataFrame | None = None,
     conflict: str = "later",
     hashed: bool = False,
-) -> TwoWay:
-    """Bring ``a`` (source names) and ``b`` (target names) in step.
+) -> Exchange:
+    """Decide what goes from ``a`` (source names) to ``b`` (target names) and back.
 
     ``applied_a`` holds the rows that earlier cycles wrote to ``a`` on behalf of
     ``b``; their echoes in ``log_a`` are not sent back. Likewise ``applied_b``.
@@ -190,6 +199,35 @@ def two_way(
     )
     to_b = decide(a, from_a.join(lost_a, pk, "left_anti"), spec)
     to_a = decide(b, from_b.join(lost_b, spec.pk, "left_anti"), back)
-    new_b, on_b = apply_from_peer(b, to_b, spec.source, spec, skip_unchanged=hashed)
-    new_a, on_a = apply_from_peer(a, to_a, spec.target, back, skip_unchanged=hashed)
-    return TwoWay(new_a, new_b, met, on_a, on_b)
+    return Exchange(to_a, to_b, met)
+
+
+def two_way(
+    a: DataFrame,
+    b: DataFrame,
+    log_a: DataFrame,
+    log_b: DataFrame,
+    spec: TableSpec,
+    *,
+    applied_a: DataFrame | None = None,
+    applied_b: DataFrame | None = None,
+    conflict: str = "later",
+    hashed: bool = False,
+) -> TwoWay:
+    """Bring ``a`` and ``b`` in step: :func:`exchange`, then apply both ways."""
+    plan = exchange(
+        a,
+        b,
+        log_a,
+        log_b,
+        spec,
+        applied_a=applied_a,
+        applied_b=applied_b,
+        conflict=conflict,
+        hashed=hashed,
+    )
+    new_b, on_b = apply_from_peer(b, plan.to_b, spec.source, spec, skip_unchanged=hashed)
+    new_a, on_a = apply_from_peer(
+        a, plan.to_a, spec.target, spec.reversed(), skip_unchanged=hashed
+    )
+    return TwoWay(new_a, new_b, plan.conflicts, on_a, on_b)

@@ -23,7 +23,6 @@ from rowtide.functions.coerce import readable
 from rowtide.operators.audit import error_log, job_flux, upsert_flux
 from rowtide.operators.compare import classify, dedupe
 from rowtide.operators.replay import (
-    apply_decided,
     collapse_mixed,
     decide,
     only_newer,
@@ -33,7 +32,7 @@ from rowtide.operators.replay import (
 )
 from rowtide.operators.sequences import sequence_plan
 from rowtide.operators.slices import SLICE_SECONDS, next_position, time_slices
-from rowtide.operators.twoway import APPLIED_SCHEMA, apply_from_peer, suppress_echo, two_way
+from rowtide.operators.twoway import APPLIED_SCHEMA, apply_from_peer, exchange, suppress_echo
 from rowtide.operators.writeback import (
     delete_by_key,
     flip_flag,
@@ -49,6 +48,7 @@ from rowtide.sources.snapshots import (
     CHECKPOINT_TABLE,
     PARALLEL_TABLES,
     CommitConflict,
+    Partial,
     SnapshotStore,
     checkpoint_rows,
     load_checkpoint,
@@ -74,7 +74,8 @@ class TableResult:
     ``changes`` holds one row per key written, with ``op``; ``copied`` the source
     keys now on the target; ``rejected`` the rows (by source names) that are not,
     with ``reason``. ``added`` is set where the target only gained rows, so that
-    they can be appended instead of writing the table anew.
+    they can be appended instead of writing the table anew. If the target is kept
+    in parts, ``target`` holds the rows of ``parts``.
     """
 
     target: DataFrame
@@ -83,6 +84,11 @@ class TableResult:
     copied: DataFrame
     rejected: DataFrame
     added: DataFrame | None = None
+    parts: list[int] | None = None
+
+    def state(self) -> DataFrame | Partial:
+        """What to publish for the target."""
+        return self.target if self.parts is None else Partial(self.target, self.parts)
 
 
 def full_table(
@@ -235,7 +241,7 @@ def _commit_results(
     """
     name = f"{job.name}/{group[0].source}"
     done = [(t, results[t.source]) for t in group]
-    whole = {t.target: r.target for t, r in done if r.added is None}
+    whole = {t.target: r.state() for t, r in done if r.added is None}
     more = {t.target: r.added for t, r in done if r.added is not None}
     left = {t.source: r.source for t, r in done if r.source is not None}
     if left and source.has_batch(name, cycle):
@@ -252,12 +258,15 @@ def _run_tables(
     target: SnapshotStore,
     cycle: int,
     plan: Callable[[DataFrame, DataFrame, TableSpec], TableResult],
+    choose: Callable[[DataFrame, TableSpec], DataFrame] | None = None,
     positions: Callable[[Sequence[TableSpec]], dict[str, DataFrame]] | None = None,
 ) -> None:
-    results = {
-        t.source: plan(source.read(t.source), target.read(t.target, schema=target_ddl(t)), t)
-        for t in job.tables
-    }
+    """Plan and publish all tables; ``choose`` picks the rows a partial mode copies."""
+    results = {}
+    for t in job.tables:
+        rows = source.read(t.source)
+        old, parts = target_of(target, t, choose(rows, t)) if choose else target_of(target, t)
+        results[t.source] = replace(plan(rows, old, t), parts=parts)
 
     def work(group: Sequence[TableSpec]) -> None:
         extra = positions(group) if positions else None
@@ -276,6 +285,17 @@ def target_ddl(spec: TableSpec) -> str:
     return ", ".join(f"`{f.target}` {f.spark_type}" for f in spec.fields)
 
 
+def target_of(
+    store: SnapshotStore, spec: TableSpec, rows: DataFrame | None = None
+) -> tuple[DataFrame, list[int] | None]:
+    """The target as it stands, or only the parts that the source ``rows`` go to."""
+    parts = None
+    if rows is not None:
+        keys = project(rows.select(*spec.pk), [f for f in spec.fields if f.pk])
+        parts = store.touched(spec.target, keys)
+    return store.read(spec.target, schema=target_ddl(spec), parts=parts), parts
+
+
 def run_full(
     job: SyncJob, source: SnapshotStore, target: SnapshotStore, *, cycle: int | None = None
 ) -> None:
@@ -287,7 +307,11 @@ def run_marker(
     job: SyncJob, source: SnapshotStore, target: SnapshotStore, *, cycle: int | None = None
 ) -> None:
     """Copy and mark flagged rows."""
-    _run_tables(job, source, target, _cycle(job, target, cycle), marked_table)
+
+    def choose(rows: DataFrame, spec: TableSpec) -> DataFrame:
+        return scan_flagged(rows, spec.flag.name, spec.flag.before)
+
+    _run_tables(job, source, target, _cycle(job, target, cycle), marked_table, choose)
 
 
 def run_date_marker(
@@ -316,7 +340,10 @@ def run_date_marker(
             return {}
         return {CHECKPOINT_TABLE: checkpoint_rows(target.spark, job.name, values, number)}
 
-    _run_tables(job, source, target, number, plan, positions)
+    def choose(rows: DataFrame, spec: TableSpec) -> DataFrame:
+        return time_slices(rows, spec.marker_column, starts[spec.source], seconds)
+
+    _run_tables(job, source, target, number, plan, choose, positions)
 
 
 def _ack(store: SnapshotStore, log: str, taken: DataFrame, job: str, cycle: int) -> None:
@@ -339,6 +366,16 @@ def _take(log: DataFrame, job: SyncJob, side: str, limit: int | None) -> DataFra
     return mine if limit is None else mine.orderBy("id").limit(limit)
 
 
+def _apply(
+    store: SnapshotStore, decided: DataFrame, origin: str, spec: TableSpec, hashed: bool = False
+) -> tuple[DataFrame | Partial, DataFrame]:
+    """What to publish for a table, and what took effect on it; reads only the parts touched."""
+    parts = store.touched(spec.target, decided.select(*spec.target_pk))
+    old = store.read(spec.target, schema=target_ddl(spec), parts=parts)
+    new, effect = apply_from_peer(old, decided, origin, spec, skip_unchanged=hashed)
+    return (new if parts is None else Partial(new, parts)), effect
+
+
 def apply_log(
     job: SyncJob,
     log: DataFrame,
@@ -352,34 +389,34 @@ def apply_log(
 ) -> None:
     """Replay log rows onto the target store and publish all tables together.
 
-    A ``batch_id`` of the ``stream`` that was published before changes nothing. With ``guard`` the
-    target also keeps the last id applied per key, in ``<table>__applied``, and
-    older rows that arrive late change nothing.
+    A ``batch_id`` of the ``stream`` that was published before changes nothing.
+    With ``guard`` the target also keeps the ids applied per key, in
+    ``<table>__applied``, and older rows that arrive late change nothing.
     """
     name = stream or job.name
     if target.has_batch(name, batch_id):
         return
-    # read by every table of the job, so written down once
-    collapsed = settle(collapse_mixed(log, job))
-    states, flux, errors = {}, [], []
-    for spec in [t for stage in job.stages() for t in stage]:
-        pk = spec.target_pk
-        old = target.read(spec.target, schema=target_ddl(spec))
-        pending = pending_of(collapsed, spec)
-        if guard:
-            kept = f"{spec.target}__applied"
-            ids = ", ".join(f"`{f.target}` {f.spark_type}" for f in spec.fields if f.pk)
-            seen = target.read(kept, schema=f"{ids}, last_id bigint")
-            pending = only_newer(pending, seen, pk)
-            states[kept] = merge(seen, pending.select(*pk, "_log.last_id"), pk)
-        decided = decide(source.read(spec.source), pending, spec)
-        states[spec.target] = apply_decided(old, decided, spec)
-        _, effect = apply_from_peer(old, decided, spec.source, spec)
-        flux.append(job_flux(effect, job, spec, cycle))
-        bad = unreadable_keys(log, spec)
-        errors.append(error_log(bad, job, spec, "unreadable key in the change log"))
-    target.commit(states, job=name, batch_id=batch_id)
-    _audit(target, job, flux, errors, cycle, name)
+    with scratch_scope(target.spark):
+        # read by every table of the job, so written down once
+        collapsed = settle(collapse_mixed(log, job))
+        states, seen_now, flux, errors = {}, {}, [], []
+        for spec in [t for stage in job.stages() for t in stage]:
+            pk = spec.target_pk
+            pending = pending_of(collapsed, spec)
+            if guard:
+                pending = settle(pending)
+                kept = f"{spec.target}__applied"
+                ids = ", ".join(f"`{f.target}` {f.spark_type}" for f in spec.fields if f.pk)
+                seen = target.read(kept, schema=f"{ids}, last_id bigint")
+                pending = only_newer(pending, seen, pk)
+                seen_now[kept] = pending.select(*pk, "_log.last_id")
+            decided = decide(source.read(spec.source), pending, spec)
+            states[spec.target], effect = _apply(target, decided, spec.source, spec)
+            flux.append(job_flux(effect, job, spec, cycle))
+            bad = unreadable_keys(log, spec)
+            errors.append(error_log(bad, job, spec, "unreadable key in the change log"))
+        target.commit(states, appends=seen_now, job=name, batch_id=batch_id)
+        _audit(target, job, flux, errors, cycle, name)
 
 
 def run_cdc(
@@ -427,39 +464,38 @@ def run_two_way(
     log_b = b.read(job.target_log, schema=LOG_SCHEMA)
     hashed = "row_hash" in log_a.columns and "row_hash" in log_b.columns
     taken_a, taken_b = _take(log_a, job, "source", None), _take(log_b, job, "target", None)
-    new_a, new_b, flux = {}, {}, []
-    for spec in [t for stage in job.stages() for t in stage]:
-        mark_a, mark_b = f"{spec.source}__applied", f"{spec.target}__applied"
-        seen_a = a.read(mark_a, schema=APPLIED_SCHEMA)
-        seen_b = b.read(mark_b, schema=APPLIED_SCHEMA)
-        mine_a = taken_a.where(same_table(spec.source))
-        mine_b = taken_b.where(same_table(spec.target))
-        out = two_way(
-            a.read(spec.source),
-            b.read(spec.target, schema=target_ddl(spec)),
-            mine_a,
-            mine_b,
-            spec,
-            applied_a=seen_a,
-            applied_b=seen_b,
-            conflict=conflict,
-            hashed=hashed,
-        )
-        # applied rows whose echo has now been seen have done their work
-        new_a |= {
-            spec.source: out.a,
-            mark_a: suppress_echo(seen_a, mine_a, hashed=hashed).unionByName(out.applied_a),
-        }
-        new_b |= {
-            spec.target: out.b,
-            mark_b: suppress_echo(seen_b, mine_b, hashed=hashed).unionByName(out.applied_b),
-        }
-        flux.append(job_flux(out.applied_b, job, spec, number))
-    b.commit(new_b)
-    a.commit(new_a)
-    _ack(a, job.source_log, taken_a, job.name, number)
-    _ack(b, job.target_log, taken_b, job.name, number)
-    _audit(b, job, flux, [], number)
+    with scratch_scope(b.spark):
+        new_a, new_b, flux = {}, {}, []
+        for spec in [t for stage in job.stages() for t in stage]:
+            mark_a, mark_b = f"{spec.source}__applied", f"{spec.target}__applied"
+            seen_a = a.read(mark_a, schema=APPLIED_SCHEMA)
+            seen_b = b.read(mark_b, schema=APPLIED_SCHEMA)
+            mine_a = taken_a.where(same_table(spec.source))
+            mine_b = taken_b.where(same_table(spec.target))
+            plan = exchange(
+                a.read(spec.source),
+                b.read(spec.target, schema=target_ddl(spec)),
+                mine_a,
+                mine_b,
+                spec,
+                applied_a=seen_a,
+                applied_b=seen_b,
+                conflict=conflict,
+                hashed=hashed,
+            )
+            state_b, on_b = _apply(b, plan.to_b, spec.source, spec, hashed)
+            state_a, on_a = _apply(a, plan.to_a, spec.target, spec.reversed(), hashed)
+            # applied rows whose echo has now been seen have done their work
+            left_a = suppress_echo(seen_a, mine_a, hashed=hashed)
+            left_b = suppress_echo(seen_b, mine_b, hashed=hashed)
+            new_a |= {spec.source: state_a, mark_a: left_a.unionByName(on_a)}
+            new_b |= {spec.target: state_b, mark_b: left_b.unionByName(on_b)}
+            flux.append(job_flux(on_b, job, spec, number))
+        b.commit(new_b)
+        a.commit(new_a)
+        _ack(a, job.source_log, taken_a, job.name, number)
+        _ack(b, job.target_log, taken_b, job.name, number)
+        _audit(b, job, flux, [], number)
 
 
 def run_sequences(job: SyncJob, source: DataFrame, target: DataFrame) -> DataFrame:

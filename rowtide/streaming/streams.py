@@ -9,6 +9,7 @@ needs no acknowledgement of its own: its offsets are in the stream's checkpoint.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rowtide.operators.audit import error_log
 from rowtide.operators.slices import SLICE_SECONDS, next_position
 from rowtide.operators.twoway import APPLIED_SCHEMA, suppress_echo
-from rowtide.plans.jobs import ERROR_TABLE, apply_log, full_table, target_ddl
+from rowtide.plans.jobs import ERROR_TABLE, apply_log, full_table, target_of
 from rowtide.plans.spec import SyncJob, TableSpec
 from rowtide.sources.scan import scan
 from rowtide.sources.snapshots import (
@@ -62,11 +63,11 @@ def stream_full(
 
     def handle(batch: DataFrame, number: int) -> None:
         name = _stream_name(batch, f"{job.name}/{spec.source}")
-        old = target.read(spec.target, schema=target_ddl(spec))
-        result = full_table(batch, old, spec)
+        old, parts = target_of(target, spec, batch)
+        result = replace(full_table(batch, old, spec), parts=parts)
         errors = error_log(result.rejected, job, spec, F.col("reason"))
         if result.added is None:
-            tables, appends = {spec.target: result.target}, {ERROR_TABLE: errors}
+            tables, appends = {spec.target: result.state()}, {ERROR_TABLE: errors}
         else:
             tables, appends = {}, {spec.target: result.added, ERROR_TABLE: errors}
         target.commit(tables, appends=appends, job=name, batch_id=number)
@@ -162,14 +163,15 @@ def stream_date_marker(
             target.commit({waiting_table: known}, appends=appends, job=name, batch_id=number)
             return
         ready = known.where(F.col(ts) < F.lit(reached))
-        result = full_table(ready, target.read(spec.target, schema=target_ddl(spec)), spec)
+        old, parts = target_of(target, spec, ready)
+        result = replace(full_table(ready, old, spec), parts=parts)
         rejected = error_log(result.rejected, job, spec, F.col("reason"))
         appends[ERROR_TABLE] = appends[ERROR_TABLE].unionByName(rejected)
         appends[CHECKPOINT_TABLE] = checkpoint_rows(
             spark, job.name, {spec.source: reached}, number
         )
         tables = {
-            spec.target: result.target,
+            spec.target: result.state(),
             waiting_table: known.where(F.col(ts) >= F.lit(reached)),
         }
         target.commit(tables, appends=appends, job=name, batch_id=number)
