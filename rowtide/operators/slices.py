@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 SLICE_SECONDS = 60
 
 
-def _micros(value: Column) -> Column:
-    return F.unix_micros(value.cast("timestamp"))
+def _micros_between(first: Column, last: Column) -> Column:
+    """Microseconds from one zoneless timestamp to another, whatever the session time zone."""
+    gap = last - first
+    whole = (
+        F.extract(F.lit("DAY"), gap).cast("long") * 86_400
+        + F.extract(F.lit("HOUR"), gap) * 3_600
+        + F.extract(F.lit("MINUTE"), gap) * 60
+    )
+    seconds = F.extract(F.lit("SECOND"), gap)
+    return whole * 1_000_000 + (seconds * 1_000_000).cast("long")
 
 
-def _from_micros(value: Column) -> Column:
-    return F.timestamp_micros(value).cast("timestamp_ntz")
+def _after(first: Column, slices: Column, seconds: int) -> Column:
+    """The moment ``slices`` slices after ``first``."""
+    return first + F.make_dt_interval(secs=(slices * seconds).cast("decimal(18,6)"))
 
 
 def time_slices(
@@ -34,14 +43,12 @@ def time_slices(
     )
     last = df.agg(F.max(ts)).scalar()
     width = F.lit(seconds * 1_000_000).cast("long")
-    since = _micros(F.col(ts)) - _micros(first)
-    number = F.floor(since / width).cast("long")
-    begin = _micros(first) + F.col("slice_no") * width
+    number = F.floor(_micros_between(first, F.col(ts)) / width).cast("long")
     return (
         df.where(F.col(ts) >= first)
         .withColumn("slice_no", number)
-        .withColumn("slice_start", _from_micros(begin))
-        .withColumn("slice_end", _from_micros(begin + width))
+        .withColumn("slice_start", _after(first, F.col("slice_no"), seconds))
+        .withColumn("slice_end", _after(first, F.col("slice_no") + 1, seconds))
         .where(F.col("slice_end") < last)
     )
 
@@ -61,8 +68,9 @@ def next_position(
         first = F.min(first)
     bounds = rows.agg(first.alias("lo"), F.max(ts).alias("hi"))
     width = F.lit(seconds * 1_000_000).cast("long")
-    complete = F.floor((_micros(F.col("hi")) - _micros(F.col("lo")) - 1) / width).cast("long")
-    end = _from_micros(_micros(F.col("lo")) + F.col("complete") * width)
+    gap = _micros_between(F.col("lo"), F.col("hi"))
+    complete = F.floor((gap - 1) / width).cast("long")
+    end = _after(F.col("lo"), F.col("complete"), seconds)
     return bounds.withColumn("complete", complete).select(
         F.when(F.col("complete") > 0, end).alias("value")
     )

@@ -6,10 +6,13 @@ put on the returned DataFrame are pushed into the database.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowtide.sources.snapshots import SnapshotStore
+
 
 @dataclass(frozen=True)
 class Connection:
@@ -85,3 +88,25 @@ def replace_jdbc(df: DataFrame, conn: Connection, table: str, *, batchsize: int
     """
     options = conn.options(dbtable=table, batchsize=batchsize, truncate="true")
     df.write.format("jdbc").options(**options).mode("overwrite").save()
+
+
+def pull(
+    store: SnapshotStore, conn: Connection, tables: Mapping[str, str | None], *, partitions: int = 1
+) -> None:
+    """Copy database tables (name to the key their reading is split by) into a store, all at once."""
+    store.commit(
+        {
+            name: read_jdbc(store.spark, conn, name, key=key, partitions=partitions)
+            for name, key in tables.items()
+        }
+    )
+
+
+def push(store: SnapshotStore, conn: Connection, tables: Mapping[str, str]) -> None:
+    """Write committed tables of a store (name to database table) back to a database.
+
+    A version never changes once it is published, so what is written cannot depend
+    on the database tables that are being replaced.
+    """
+    for name, table in tables.items():
+        replace_jdbc(store.read(name), conn, table)

@@ -12,6 +12,7 @@ from helpers import as_set, plan_of
 from pyspark.sql import functions as F
 
 from rowtide.operators.changelog import capture_changes
+from rowtide.operators.slices import next_position, time_slices
 from rowtide.operators.writeback import merge, upsert
 from rowtide.plans import jobs
 from rowtide.plans.spec import SyncJob, TableSpec
@@ -264,6 +265,19 @@ def test_date_marker_job(spark, stores):
     assert load_checkpoint(b, "j", "t") == at(480)
 
 
+def test_slices_do_not_depend_on_the_time_zone(spark):
+    night = dt.datetime(2024, 3, 10, 1, 0)  # clocks change in New York an hour later
+    rows = [(n, night + dt.timedelta(minutes=n)) for n in range(0, 180, 7)]
+    answers = []
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = frame(spark, rows, "id bigint, at timestamp_ntz")
+        answers.append((as_set(time_slices(df, "at")), next_position(df, "at").first()[0]))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert answers[0] == answers[1]
+    assert [r[2] for r in sorted(answers[0][0], key=lambda r: r[0])] == list(range(0, 175, 7))
+
+
 def log_rows(spark, rows, table="T"):
     rows = [(n, "db", table, f"id;NUMBER;{k};", op, at(n)) for n, k, op in rows]
     return spark.createDataFrame(rows, LOG_SCHEMA)
@@ -290,6 +304,23 @@ def test_cdc_job_acknowledges_exactly_what_it_took(spark, stores):
     assert flux_of(b) == {"t": (2, 0, 0, 1)}
 
 
+def test_what_the_policy_forbids_is_skipped_and_acknowledged(spark, stores):
+    a, b = stores
+    bad = log_rows(spark, [(3, 0, "I")]).withColumn("pks", F.lit("id;NUMBER;what;"))
+    a.commit(
+        {
+            "t": frame(spark, [(1, "new")]),
+            "log": log_rows(spark, [(1, 1, "U"), (2, 1, "D")]).union(bad),
+        }
+    )
+    b.commit({"t_copy": frame(spark, [(1, "old")], "k bigint, w string")})
+    job = SyncJob("j", "db_cf", source_log="log", tables=(spec(insert_only=True),))
+    jobs.run(job, a, b)
+    assert as_set(b.read("t_copy")) == [(1, "old")] and a.read("log").count() == 0
+    errors = b.read(jobs.ERROR_TABLE).select("pk_value", "audit_error")
+    assert as_set(errors) == [("id;NUMBER;what;", "unreadable key in the change log")]
+
+
 def test_cdc_repeats_after_a_crash_before_the_acknowledgement(spark, stores, monkeypatch):
     a, b = stores
     a.commit({"t": frame(spark, [(1, "x")]), "log": log_rows(spark, [(1, 1, "I")])})
