@@ -119,9 +119,12 @@ def run_batches(
     group = ["_group"]
     tagged = log.withColumn("_group", whole).withColumn("_bucket", bucket_of(order, bits))
     here = Window.partitionBy(*group, "_bucket").orderBy(order)
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.row_number().over(here) == 1
+    same = all_of([F.lag(c).over(here).eqNullSafe(F.col(c)) for c in by])
+    starts = F.when(~first & same, 0).otherwise(1)
+    local = tagged.withColumn("_starts", starts).withColumn("_local", F.sum("_starts").over(so_far))
     key = F.struct(*by)
-    starts = F.when(F.lag(key).over(here).eqNullSafe(key), 0).otherwise(1)
-    local = tagged.withColumn("_starts", starts).withColumn("_local", F.sum("_starts").over(here))
 
     summary = local.groupBy(*group, "_bucket").agg(
         F.min_by(key, order).alias("_first"),
@@ -129,13 +132,14 @@ def run_batches(
         F.sum("_starts").alias("_runs"),
     )
     buckets = Window.partitionBy(*group).orderBy("_bucket")
+    up_to_here = buckets.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = buckets.rowsBetween(Window.unboundedPreceding, -1)
     goes_on = F.lag("_last").over(buckets).eqNullSafe(F.col("_first"))
     summary = summary.withColumn("_joined", F.when(goes_on, 1).otherwise(0)).select(
         *group,
         "_bucket",
         (
-            F.coalesce(F.sum("_runs").over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            - F.sum("_joined").over(buckets)
+            F.coalesce(F.sum("_runs").over(before), F.lit(0)) - F.sum("_joined").over(up_to_here)
         ).alias("_shift"),
     )
     return local.join(summary, [*group, "_bucket"]).select(

@@ -26,7 +26,8 @@ def _echo_group(df: DataFrame, hashed: bool) -> DataFrame:
     parts = {"_table": F.upper("tablename"), "_pks": F.col("pks"), "_op": F.col("op")}
     if hashed:
         parts["_hash"] = F.coalesce("row_hash", F.lit(0).cast("long"))
-    return df.withColumns(parts)
+    # in front of the exact columns: sorting mostly compares this number only
+    return df.withColumns({"_digest": F.xxhash64(*parts.values()), **parts})
 
 
 def suppress_echo(
@@ -44,7 +45,7 @@ def suppress_echo(
     only the bucket where the applied rows run out has to be ranked and a key
     that fills a third of the log is split over many tasks.
     """
-    group = ["_table", "_pks", "_op", *(["_hash"] if hashed else [])]
+    group = ["_digest", "_table", "_pks", "_op", *(["_hash"] if hashed else [])]
     budget = _echo_group(applied, hashed).groupBy(*group).agg(F.count(F.lit(1)).alias("_budget"))
     tagged = _echo_group(captured, hashed).withColumn("_bucket", bucket_of("id", bits))
     earlier = (
@@ -60,13 +61,17 @@ def suppress_echo(
         .where(F.col("_before") < F.col("_budget"))
         .drop("_rows")
     )
-    inside = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy("id"))
-    return (
-        tagged.join(spent, [*group, "_bucket"], "left")
-        .withColumn("_nth", F.col("_before") + inside)
-        .where(F.col("_budget").isNull() | (F.col("_nth") > F.col("_budget")))
-        .select(*captured.columns)
+    # the counts of a bucket go in front of its rows, so that one sort serves both
+    marked = tagged.withColumn("_is_row", F.lit(1)).unionByName(
+        spent.withColumn("_is_row", F.lit(0)), allowMissingColumns=True
     )
+    here = Window.partitionBy(*group, "_bucket").orderBy("_is_row", "id")
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = F.first(F.struct("_before", "_budget", "_is_row")).over(so_far)
+    ranked = marked.withColumn("_counts", counts).withColumn("_place", F.row_number().over(here))
+    nth = F.col("_counts._before") + F.col("_place") - 1
+    sent = (F.col("_counts._is_row") == 1) | (nth > F.col("_counts._budget"))
+    return ranked.where((F.col("_is_row") == 1) & sent).select(*captured.columns)
 
 
 def apply_from_peer(

@@ -178,7 +178,7 @@ def _side_by_side(spark, work: Callable[[Any], Any], items: Sequence[Any]) -> li
 
 
 def _retry(commit: Callable[[], Any]) -> None:
-    """Build and commit again if another writer was faster."""
+    """Read, plan and commit again if another writer rewrote the same table meanwhile."""
     for attempt in range(COMMIT_ATTEMPTS):
         try:
             commit()
@@ -197,7 +197,7 @@ def _audit(
     name: str | None = None,
 ) -> None:
     def commit() -> None:
-        tables, appends = {}, {}
+        tables, appends, base = {}, {}, target.version
         if flux:
             old = target.read(FLUX_TABLE, schema=FLUX_SCHEMA)
             # one row per table of the job
@@ -205,7 +205,9 @@ def _audit(
             tables[FLUX_TABLE] = upsert_flux(old, rows).coalesce(1)
         if errors:
             appends[ERROR_TABLE] = reduce(DataFrame.unionByName, errors)
-        target.commit(tables, appends=appends, job=f"{name or job.name}/audit", batch_id=cycle)
+        target.commit(
+            tables, appends=appends, job=f"{name or job.name}/audit", batch_id=cycle, base=base
+        )
 
     _retry(commit)
 
@@ -231,9 +233,10 @@ def _commit_results(
     group: Sequence[TableSpec],
     results: dict[str, TableResult],
     cycle: int,
+    bases: tuple[int, int],
     extra: dict[str, DataFrame] | None = None,
 ) -> None:
-    """Target first, source after it.
+    """Target first, source after it; ``bases`` are the versions of source and target read.
 
     The batch is recorded with the last commit only. After a crash in between,
     the whole step runs again on what the source holds by then; putting a row
@@ -247,9 +250,9 @@ def _commit_results(
     if left and source.has_batch(name, cycle):
         return
     last = None if left else cycle
-    target.commit(whole, appends=more | (extra or {}), job=name, batch_id=last)
+    target.commit(whole, appends=more | (extra or {}), job=name, batch_id=last, base=bases[1])
     if left:
-        source.commit(left, job=name, batch_id=cycle)
+        source.commit(left, job=name, batch_id=cycle, base=bases[0])
 
 
 def _run_tables(
@@ -263,16 +266,17 @@ def _run_tables(
 ) -> None:
     """Plan and publish all tables; ``choose`` picks the rows a partial mode copies."""
     results = {}
-    for t in job.tables:
-        rows = source.read(t.source)
-        old, parts = target_of(target, t, choose(rows, t)) if choose else target_of(target, t)
-        results[t.source] = replace(plan(rows, old, t), parts=parts)
 
-    def work(group: Sequence[TableSpec]) -> None:
+    def attempt(group: Sequence[TableSpec]) -> None:
+        bases = source.version, target.version
+        for t in group:
+            rows = source.read(t.source)
+            old, parts = target_of(target, t, choose(rows, t)) if choose else target_of(target, t)
+            results[t.source] = replace(plan(rows, old, t), parts=parts)
         extra = positions(group) if positions else None
-        _commit_results(job, source, target, group, results, cycle, extra)
+        _commit_results(job, source, target, group, results, cycle, bases, extra)
 
-    _side_by_side(target.spark, work, _groups(job))
+    _side_by_side(target.spark, lambda group: _retry(lambda: attempt(group)), _groups(job))
     # the plans hold on to the versions they were built from, so counting now
     # still compares with the state before this cycle
     flux = [job_flux(results[t.source].changes, job, t, cycle) for t in job.tables]
@@ -348,11 +352,13 @@ def run_date_marker(
 
 def _ack(store: SnapshotStore, log: str, taken: DataFrame, job: str, cycle: int) -> None:
     """Take the rows in ``taken`` out of a log to which a capture may be adding meanwhile."""
-    _retry(
-        lambda: store.commit(
-            {log: ack_log(store.read(log), taken)}, job=f"{job}/ack", batch_id=cycle
-        )
-    )
+
+    def commit() -> None:
+        base = store.version
+        left = ack_log(store.read(log), taken)
+        store.commit({log: left}, job=f"{job}/ack", batch_id=cycle, base=base)
+
+    _retry(commit)
 
 
 def _take(log: DataFrame, job: SyncJob, side: str, limit: int | None) -> DataFrame:
@@ -396,6 +402,7 @@ def apply_log(
     name = stream or job.name
     if target.has_batch(name, batch_id):
         return
+    base = target.version
     with scratch_scope(target.spark):
         # read by every table of the job, so written down once
         collapsed = settle(collapse_mixed(log, job))
@@ -415,7 +422,7 @@ def apply_log(
             flux.append(job_flux(effect, job, spec, cycle))
             bad = unreadable_keys(log, spec)
             errors.append(error_log(bad, job, spec, "unreadable key in the change log"))
-        target.commit(states, appends=seen_now, job=name, batch_id=batch_id)
+        target.commit(states, appends=seen_now, job=name, batch_id=batch_id, base=base)
         _audit(target, job, flux, errors, cycle, name)
 
 
@@ -438,7 +445,7 @@ def run_cdc(
     with scratch_scope(target.spark):
         log = source.read(job.source_log, schema=LOG_SCHEMA)
         taken = settle(_take(log, job, "source", limit)) if limit else _take(log, job, "source", None)
-        apply_log(job, taken, source, target, cycle=number)
+        _retry(lambda: apply_log(job, taken, source, target, cycle=number))
         _ack(source, job.source_log, taken, job.name, number)
 
 
@@ -460,6 +467,13 @@ def run_two_way(
     number = _cycle(job, b, cycle)
     if b.has_batch(f"{job.name}/ack", number):
         return
+    _retry(lambda: _two_way_cycle(job, a, b, number, conflict))
+
+
+def _two_way_cycle(
+    job: SyncJob, a: SnapshotStore, b: SnapshotStore, number: int, conflict: str
+) -> None:
+    base_a, base_b = a.version, b.version
     log_a = a.read(job.source_log, schema=LOG_SCHEMA)
     log_b = b.read(job.target_log, schema=LOG_SCHEMA)
     hashed = "row_hash" in log_a.columns and "row_hash" in log_b.columns
@@ -491,8 +505,8 @@ def run_two_way(
             new_a |= {spec.source: state_a, mark_a: left_a.unionByName(on_a)}
             new_b |= {spec.target: state_b, mark_b: left_b.unionByName(on_b)}
             flux.append(job_flux(on_b, job, spec, number))
-        b.commit(new_b)
-        a.commit(new_a)
+        b.commit(new_b, base=base_b)
+        a.commit(new_a, base=base_a)
         _ack(a, job.source_log, taken_a, job.name, number)
         _ack(b, job.target_log, taken_b, job.name, number)
         _audit(b, job, flux, [], number)

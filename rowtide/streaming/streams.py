@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rowtide.operators.audit import error_log
 from rowtide.operators.slices import SLICE_SECONDS, next_position
 from rowtide.operators.twoway import APPLIED_SCHEMA, suppress_echo
-from rowtide.plans.jobs import ERROR_TABLE, apply_log, full_table, target_of
+from rowtide.plans.jobs import ERROR_TABLE, apply_log, full_table, run, target_of
 from rowtide.plans.spec import SyncJob, TableSpec
 from rowtide.sources.scan import scan
 from rowtide.sources.snapshots import (
@@ -44,6 +44,22 @@ def start(
     return writer.trigger(processingTime=f"{interval} seconds").start()
 
 
+def poll(
+    job: SyncJob, source: SnapshotStore, target: SnapshotStore, checkpoint: str, **options
+) -> StreamingQuery:
+    """Run a batch job every ``interval`` seconds until the query is stopped.
+
+    For modes whose source is a table that changes in place, so that there are no
+    arriving rows to stream. Only the clock is a stream.
+    """
+    clock = target.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def handle(_: DataFrame, __: int) -> None:
+        run(job, source, target, **options)
+
+    return start(clock, handle, checkpoint, once=False, interval=job.interval)
+
+
 def _stream_name(batch: DataFrame, name: str) -> str:
     """Batch numbers count per stream; a stream begun anew must not reuse old ones."""
     query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
@@ -63,6 +79,7 @@ def stream_full(
 
     def handle(batch: DataFrame, number: int) -> None:
         name = _stream_name(batch, f"{job.name}/{spec.source}")
+        base = target.version
         old, parts = target_of(target, spec, batch)
         result = replace(full_table(batch, old, spec), parts=parts)
         errors = error_log(result.rejected, job, spec, F.col("reason"))
@@ -70,7 +87,7 @@ def stream_full(
             tables, appends = {spec.target: result.state()}, {ERROR_TABLE: errors}
         else:
             tables, appends = {}, {spec.target: result.added, ERROR_TABLE: errors}
-        target.commit(tables, appends=appends, job=name, batch_id=number)
+        target.commit(tables, appends=appends, job=name, batch_id=number, base=base)
 
     once = spec.only_once if once is None else once
     return start(stream, handle, checkpoint, once=once, interval=job.interval)
@@ -147,7 +164,7 @@ def stream_date_marker(
         name = _stream_name(batch, f"{job.name}/{spec.source}")
         if target.has_batch(name, number):
             return
-        spark = batch.sparkSession
+        spark, base = batch.sparkSession, target.version
         fresh = scan(batch, spec)
         position = load_checkpoint(target, job.name, spec.source)
         late = fresh.limit(0)
@@ -160,7 +177,8 @@ def stream_date_marker(
         too_late = "row is older than the saved position"
         appends = {ERROR_TABLE: error_log(late, job, spec, too_late)}
         if reached is None:
-            target.commit({waiting_table: known}, appends=appends, job=name, batch_id=number)
+            tables = {waiting_table: known}
+            target.commit(tables, appends=appends, job=name, batch_id=number, base=base)
             return
         ready = known.where(F.col(ts) < F.lit(reached))
         old, parts = target_of(target, spec, ready)
@@ -174,7 +192,7 @@ def stream_date_marker(
             spec.target: result.state(),
             waiting_table: known.where(F.col(ts) >= F.lit(reached)),
         }
-        target.commit(tables, appends=appends, job=name, batch_id=number)
+        target.commit(tables, appends=appends, job=name, batch_id=number, base=base)
 
     return start(stream, handle, checkpoint, once=once, interval=job.interval)
 
@@ -206,6 +224,7 @@ def stream_echo(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
+        base = store.version
         pending = store.read(PENDING_ECHO, schema=APPLIED_SCHEMA)
         columns = pending.columns
         captured = batch.where(F.col("side") == "captured").select(*columns)
@@ -215,6 +234,7 @@ def stream_echo(
             appends={FORWARDED: suppress_echo(captured, applied, hashed=hashed)},
             job=_stream_name(batch, name),
             batch_id=number,
+            base=base,
         )
 
     return start(changes, handle, checkpoint, once=once, interval=interval)

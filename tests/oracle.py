@@ -35,8 +35,26 @@ def plain(value):
     return value
 
 
-def family(value) -> str:
-    return type(value).__name__
+# How the two engines name the same type.
+SAME_TYPE = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_differences(df, answer) -> list[str]:
+    theirs = {d[0]: str(d[1]) for d in answer.description}
+    found = []
+    for name, kind in df.dtypes:
+        want = SAME_TYPE.get(kind, kind.upper())
+        if theirs[name].replace(" ", "") != want.replace(" ", ""):
+            found.append(f"{name}: {kind} against {theirs[name]}")
+    return found
 
 
 def rows_of(columns, rows) -> Counter:
@@ -52,6 +70,9 @@ def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     want = answer.fetchall()
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    kinds = type_differences(df, answer)
+    if kinds:
+        return f"types {kinds}"
     if len(got) != len(want):
         return f"{len(got)} rows, expected {len(want)}"
     a, b = rows_of(df.columns, got), rows_of(names, want)

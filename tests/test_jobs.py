@@ -6,6 +6,7 @@ import datetime as dt
 import glob
 import os
 import random
+import time
 
 import pytest
 from helpers import as_set, plan_of
@@ -120,6 +121,42 @@ def test_second_writer_of_a_table_is_refused(spark, stores):
     assert as_set(store.read("x")) == [(9, "z")]
 
 
+def test_commit_knows_what_it_was_made_from(spark, stores):
+    store, _ = stores
+    store.commit({"x": frame(spark, [(1, "a")])})
+    base = store.version
+    mine = store.read("x").where("id > 1").union(frame(spark, [(2, "b")]))
+    # appended rows are kept ...
+    store.commit(appends={"x": frame(spark, [(3, "c")])})
+    store.commit({"x": mine}, base=base)
+    assert as_set(store.read("x")) == [(2, "b"), (3, "c")]
+    # ... but a table that was rewritten is not overwritten
+    base = store.version
+    store.commit({"x": frame(spark, [(9, "z")])})
+    with pytest.raises(CommitConflict):
+        store.commit({"x": mine}, base=base)
+    assert as_set(store.read("x")) == [(9, "z")]
+
+
+def test_job_plans_again_when_its_source_was_rewritten(spark, stores, monkeypatch):
+    a, b = stores
+    schema = "id bigint, v string, done int"
+    a.commit({"t": frame(spark, [(1, "x", 0)], schema)})
+    one = spec(flag={"name": "done", "before": 0, "after": 1})
+    commit, raced = a.commit, []
+
+    def slow(*args, **kwargs):
+        if not raced:
+            raced.append(True)
+            commit({"t": frame(spark, [(1, "x", 0), (2, "y", 0)], schema)})
+        return commit(*args, **kwargs)
+
+    monkeypatch.setattr(a, "commit", slow)
+    jobs.run(SyncJob("j", "db_bj", tables=(one,)), a, b)
+    assert as_set(a.read("t")) == [(1, "x", 1), (2, "y", 1)]
+    assert as_set(b.read("t_copy")) == [(1, "x"), (2, "y")]
+
+
 def test_bucketed_target_is_not_shuffled(spark, stores):
     _, plain = stores
     store = SnapshotStore(spark, plain.path, {"x": Bucketing(("k",), 4)})
@@ -483,6 +520,30 @@ def test_stream_keeps_polling_until_stopped(spark, stores, tmp_path):
     assert as_set(b.read("t_copy")) == [(1, "y"), (2, "z")]
 
 
+def test_polling_runs_the_job_again_and_again(spark, stores, tmp_path):
+    a, b = stores
+    one = spec(flag={"name": "done", "before": 0, "after": 1})
+    job = SyncJob("j", "db_bj", tables=(one,), interval=1)
+    schema = "id bigint, v string, done int"
+    a.commit({"t": frame(spark, [(1, "x", 0)], schema)})
+    run = streams.poll(job, a, b, str(tmp_path / "cp"))
+
+    def until(rows):
+        for _ in range(60):
+            if b.has("t_copy") and as_set(b.read("t_copy")) == rows and run.isActive:
+                return
+            time.sleep(0.5)
+        raise AssertionError(run.exception())
+
+    try:
+        until([(1, "x")])
+        # an application adds a row while the job keeps rewriting the flags
+        a.commit(appends={"t": frame(spark, [(2, "y", 0)], schema)})
+        until([(1, "x"), (2, "y")])
+    finally:
+        run.stop()
+
+
 def test_stream_date_marker_waits_and_diverts_late_rows(spark, stores, tmp_path):
     _, b = stores
     job = SyncJob("j", "db_sjbj", tables=(DATED,))
