@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowtide.session import settle
+
 
 def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
@@ -97,3 +99,22 @@ def dedupe(
         .where(F.col("copies") > 0)
     )
     return kept, rejected
+
+
+def dedupe_rare(
+    df: DataFrame, pk: Sequence[str], order_by: Sequence[str], *, latest: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Same outcome as :func:`dedupe`, for tables in which few keys occur more than once.
+
+    Counting keys shuffles nothing but keys. The few that occur again are settled,
+    so their size is known and they are broadcast where that is cheap; all other
+    rows pass without being sorted or shuffled here.
+    """
+    keyed = df.where(has_key(pk))
+    count = F.count(F.lit(1))
+    again = settle(keyed.groupBy(*pk).agg(count.alias("_n")).where("_n > 1").select(*pk))
+    unique = keyed.join(again, list(pk), "left_anti").select(*df.columns)
+    doubled = keyed.join(again, list(pk), "left_semi").select(*df.columns)
+    kept, rejected = dedupe(doubled, pk, order_by, latest=latest)
+    keyless = df.where(~has_key(pk)).groupBy(*df.columns).agg(count.alias("copies"))
+    return unique.unionByName(kept), rejected.unionByName(keyless)

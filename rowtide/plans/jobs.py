@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, replace
 from datetime import datetime
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rowtide.functions.coerce import readable
 from rowtide.operators.audit import error_log, job_flux, upsert_flux
-from rowtide.operators.compare import classify, dedupe
+from rowtide.operators.compare import classify, dedupe, dedupe_rare, has_key
 from rowtide.operators.replay import (
     collapse_mixed,
     decide,
@@ -71,21 +72,38 @@ COMMIT_ATTEMPTS = 5
 class TableResult:
     """Outcome of one table.
 
-    ``changes`` holds one row per key written, with ``op``; ``copied`` the source
-    keys now on the target; ``rejected`` the rows (by source names) that are not,
-    with ``reason``. ``added`` is set where the target only gained rows, so that
-    they can be appended instead of writing the table anew. If the target is kept
-    in parts, ``target`` holds the rows of ``parts``.
+    ``changes`` holds one row per key written, with ``op``. ``added`` is set where
+    the target only gained rows, so that they can be appended instead of writing
+    the table anew. If the target is kept in parts, ``target`` holds the rows of
+    ``parts``. What was rejected is looked for only when it is asked for.
     """
 
     target: DataFrame
-    source: DataFrame | None
     changes: DataFrame
-    copied: DataFrame
-    rejected: DataFrame
+    kept_keys: DataFrame
+    reject: Callable[[], DataFrame]
+    pk: list[str]
+    rest: Callable[[TableResult], DataFrame] | None = None
     added: DataFrame | None = None
     parts: list[int] | None = None
 
+    @cached_property
+    def rejected(self) -> DataFrame:
+        """Rows (by source names) that were turned away, with ``reason``."""
+        return self.reject()
+
+    @cached_property
+    def copied(self) -> DataFrame:
+        """Source keys now on the target, but for those of which some row was turned away."""
+        return self.kept_keys.join(
+            self.rejected.select(*self.pk).distinct(), self.pk, "left_anti"
+        )
+
+    @cached_property
+    def source(self) -> DataFrame | None:
+        """New state of the source, if the job changes it."""
+        return None if self.rest is None else self.rest(self)
+
     def state(self) -> DataFrame | Partial:
         """What to publish for the target."""
         return self.target if self.parts is None else Partial(self.target, self.parts)
@@ -107,33 +125,43 @@ def full_table(
     """
     chosen = scan(source if rows is None else rows, spec)
     good, bad = readable(chosen, spec.fields)
-    kept, twice = dedupe(good, spec.pk, order_by)
+    kept, _ = dedupe(good, spec.pk, order_by)
     pk = spec.target_pk
     fresh = project(kept, spec.fields)
-    duplicate = F.when(
-        F.concat(*[F.col(c).cast("string") for c in spec.pk]).isNull(), F.lit("key is missing")
-    ).otherwise(F.concat(F.lit("duplicate key, copies: "), F.col("copies").cast("string")))
-    rejected = twice.withColumn("reason", duplicate).drop("copies")
-    copied = kept.select(*spec.pk)
-    added = None
+    added, refused = None, None
     if spec.insert_only:
-        there = present_keys(target, fresh, pk)
         added = missing_rows(target, fresh, pk)
         changes = added.select(*pk, F.lit("I").alias("op"))
         new = target.unionByName(added, allowMissingColumns=True)
+        there = present_keys(target, fresh, pk)
         back = there.select(*[F.col(t).alias(s) for s, t in zip(spec.pk, pk, strict=True)])
         refused = kept.join(back, spec.pk, "left_semi").select(*kept.columns)
-        rejected = rejected.unionByName(
-            refused.withColumn("reason", F.lit("key exists on an insert-only target"))
-        )
     else:
         changes = classify(fresh.select(*pk), target, pk)
         new = merge(target, fresh, pk)
-    copied = copied.join(rejected.select(*spec.pk).distinct(), spec.pk, "left_anti")
-    if bad is not None:
-        rejected = rejected.unionByName(bad)
-    left = delete_by_key(source, copied, spec.pk) if spec.delete_source else None
-    return TableResult(new, left, changes, copied, rejected, added)
+
+    def reject() -> DataFrame:
+        _, twice = dedupe_rare(good, spec.pk, order_by)
+        copies = F.concat(F.lit("duplicate key, copies: "), F.col("copies").cast("string"))
+        reason = F.when(has_key(spec.pk), copies).otherwise(F.lit("key is missing"))
+        rejected = twice.withColumn("reason", reason).drop("copies")
+        if refused is not None:
+            present = F.lit("key exists on an insert-only target")
+            rejected = rejected.unionByName(refused.withColumn("reason", present))
+        return rejected if bad is None else rejected.unionByName(bad)
+
+    def rest(result: TableResult) -> DataFrame:
+        return delete_by_key(source, result.copied, spec.pk)
+
+    return TableResult(
+        target=new,
+        changes=changes,
+        kept_keys=kept.select(*spec.pk),
+        reject=reject,
+        pk=spec.pk,
+        rest=rest if spec.delete_source else None,
+        added=added,
+    )
 
 
 def marked_table(
@@ -145,11 +173,13 @@ def marked_table(
         raise ValueError(f"table {spec.source}: no flag is declared")
     rows = scan_flagged(source, flag.name, flag.before)
     result = full_table(source, target, spec, rows=rows, order_by=order_by)
-    if result.source is not None:
+    if spec.delete_source:
         return result
-    return replace(
-        result, source=flip_flag(source, result.copied, spec.pk, flag.name, flag.after)
-    )
+
+    def rest(done: TableResult) -> DataFrame:
+        return flip_flag(source, done.copied, spec.pk, flag.name, flag.after)
+
+    return replace(result, rest=rest)
 
 
 def dated_table(
@@ -173,7 +203,8 @@ def _side_by_side(spark, work: Callable[[Any], Any], items: Sequence[Any]) -> li
     """Run ``work`` for every item in parallel; all finish before an error is raised."""
     call = inheritable_thread_target(spark)(work)
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
-        futures = [pool.submit(call, item) for item in items]
+        # each in a copy of this context, so that its scratch tables are removed, too
+        futures = [pool.submit(copy_context().run, call, item) for item in items]
     return [f.result() for f in futures]
 
 
@@ -276,12 +307,14 @@ def _run_tables(
         extra = positions(group) if positions else None
         _commit_results(job, source, target, group, results, cycle, bases, extra)
 
-    _side_by_side(target.spark, lambda group: _retry(lambda: attempt(group)), _groups(job))
-    # the plans hold on to the versions they were built from, so counting now
-    # still compares with the state before this cycle
-    flux = [job_flux(results[t.source].changes, job, t, cycle) for t in job.tables]
-    errors = [error_log(results[t.source].rejected, job, t, F.col("reason")) for t in job.tables]
-    _audit(target, job, flux, errors, cycle)
+    with scratch_scope(target.spark):
+        _side_by_side(target.spark, lambda group: _retry(lambda: attempt(group)), _groups(job))
+        # the plans hold on to the versions they were built from, so counting now
+        # still compares with the state before this cycle
+        done = [(t, results[t.source]) for t in job.tables]
+        flux = [job_flux(r.changes, job, t, cycle) for t, r in done]
+        errors = [error_log(r.rejected, job, t, F.col("reason")) for t, r in done]
+        _audit(target, job, flux, errors, cycle)
 
 
 def target_ddl(spec: TableSpec) -> str:

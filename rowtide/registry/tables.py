@@ -447,6 +447,17 @@ def _(spark, sf):
     return compare.dedupe(rows(spark, sf, fx.DUPLICATES), LINE_KEY, ["l_partkey"])[1]
 
 
+@query(
+    "dedupe_rare",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
+          SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                    ORDER BY l_partkey, l_suppkey, l_quantity) AS n
+          FROM ({fx.DUPLICATES}) q) r WHERE n = 1""",
+)
+def _(spark, sf):
+    return compare.dedupe_rare(rows(spark, sf, fx.DUPLICATES), LINE_KEY, ["l_partkey"])[0]
+
+
 # -- counting ---------------------------------------------------------------------------
 
 

@@ -20,6 +20,7 @@ from rowtide.operators.slices import SLICE_SECONDS, next_position
 from rowtide.operators.twoway import APPLIED_SCHEMA, suppress_echo
 from rowtide.plans.jobs import ERROR_TABLE, apply_log, full_table, run, target_of
 from rowtide.plans.spec import SyncJob, TableSpec
+from rowtide.session import scratch_scope
 from rowtide.sources.scan import scan
 from rowtide.sources.snapshots import (
     CHECKPOINT_TABLE,
@@ -38,7 +39,12 @@ def start(
     interval: int = 1,
 ) -> StreamingQuery:
     """Run ``handle`` for every micro-batch: all that is there now, or every ``interval`` seconds."""
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+
+    def tidy(batch: DataFrame, number: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            handle(batch, number)
+
+    writer = stream.writeStream.foreachBatch(tidy).option("checkpointLocation", checkpoint)
     if once:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{interval} seconds").start()

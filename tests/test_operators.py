@@ -8,7 +8,7 @@ from helpers import as_set
 from pyspark.sql import functions as F
 
 from rowtide.operators.changelog import collapse, run_batches
-from rowtide.operators.compare import classify, dedupe, inserts, updates
+from rowtide.operators.compare import classify, dedupe, dedupe_rare, inserts, updates
 from rowtide.operators.numbering import number_rows, paginate
 from rowtide.operators.sequences import sequence_plan, sequence_reconciled
 from rowtide.operators.twoway import suppress_echo
@@ -102,6 +102,9 @@ def test_dedupe_keeps_one_and_accounts_for_the_rest(spark):
     assert as_set(rejected) == sorted(want, key=repr)
     latest = dedupe(df, ["k"], ["v"], latest=True)[0]
     assert as_set(latest) == sorted([(1, "b"), (2, "c"), (3, "z")], key=repr)
+    for last in (False, True):
+        one, two = dedupe(df, ["k"], ["v"], latest=last), dedupe_rare(df, ["k"], ["v"], latest=last)
+        assert as_set(one[0]) == as_set(two[0]) and as_set(one[1]) == as_set(two[1])
     only_keys = dedupe(df.select("k"), ["k"], [])
     assert as_set(only_keys[0]) == [(1,), (2,), (3,)]
     assert as_set(only_keys[1]) == sorted([(1, 2), (3, 1), (None, 2)], key=repr)
