@@ -122,7 +122,9 @@ def only_newer(pending: DataFrame, applied: DataFrame, pk: Sequence[str]) -> Dat
     )
 
 
-def decide(source: DataFrame, pending: DataFrame, spec: TableSpec) -> DataFrame:
+def decide(
+    source: DataFrame, pending: DataFrame, spec: TableSpec, *, settled: bool = False
+) -> DataFrame:
     """Pending keys with the current source row (target names) and the ``_action`` to take.
 
     ===============  ===========  ==========================================
@@ -135,11 +137,12 @@ def decide(source: DataFrame, pending: DataFrame, spec: TableSpec) -> DataFrame:
     ===============  ===========  ==========================================
 
     The pending keys are fetched with a semi join first, so that a short log is
-    broadcast to the source instead of shuffling the source. The outcome, of the
-    size of the changes, is settled: what follows uses it more than once and must
-    not scan log and source again.
+    broadcast to the source instead of shuffling the source. Pending keys (unless
+    they come from settled ones) and the outcome, of the size of the changes, are
+    settled: they are used more than once and must not scan log and source again.
     """
-    pending = settle(pending)
+    if not settled:
+        pending = settle(pending)
     pk = spec.target_pk
     current = fetch_by_keys(project(source, spec.fields), pending, pk)
     joined = pending.join(current.withColumn("_there", F.lit(True)), pk, "left")

@@ -202,8 +202,8 @@ def exchange(
     lost_b = met.where(F.col("winner") == "source").select(
         *[F.col(t).alias(s) for s, t in same_names.items()]
     )
-    to_b = decide(a, from_a.join(lost_a, pk, "left_anti"), spec)
-    to_a = decide(b, from_b.join(lost_b, spec.pk, "left_anti"), back)
+    to_b = decide(a, from_a.join(lost_a, pk, "left_anti"), spec, settled=True)
+    to_a = decide(b, from_b.join(lost_b, spec.pk, "left_anti"), back, settled=True)
     return Exchange(to_a, to_b, met)
 
 

@@ -440,21 +440,26 @@ def apply_log(
         # read by every table of the job, so written down once
         collapsed = settle(collapse_mixed(log, job))
         states, seen_now, flux, errors = {}, {}, [], []
-        for spec in [t for stage in job.stages() for t in stage]:
+
+        def one(spec: TableSpec) -> None:
             pk = spec.target_pk
-            pending = pending_of(collapsed, spec)
+            pending = settle(pending_of(collapsed, spec))
             if guard:
-                pending = settle(pending)
                 kept = f"{spec.target}__applied"
                 ids = ", ".join(f"`{f.target}` {f.spark_type}" for f in spec.fields if f.pk)
                 seen = target.read(kept, schema=f"{ids}, last_id bigint")
                 pending = only_newer(pending, seen, pk)
                 seen_now[kept] = pending.select(*pk, "_log.last_id")
-            decided = decide(source.read(spec.source), pending, spec)
+            # after the guard the keys depend on a second table, so they are settled again
+            decided = decide(source.read(spec.source), pending, spec, settled=not guard)
             states[spec.target], effect = _apply(target, decided, spec.source, spec)
             flux.append(job_flux(effect, job, spec, cycle))
             bad = unreadable_keys(log, spec)
             errors.append(error_log(bad, job, spec, "unreadable key in the change log"))
+
+        # planning reads log and sources, so tables are planned side by side; they
+        # become visible together whatever their stage
+        _side_by_side(target.spark, one, job.tables)
         target.commit(states, appends=seen_now, job=name, batch_id=batch_id, base=base)
         _audit(target, job, flux, errors, cycle, name)
 
