@@ -17,7 +17,7 @@ from rowtide.operators.changelog import collapse
 from rowtide.operators.compare import has_key
 from rowtide.operators.writeback import complete, missing_rows
 from rowtide.plans.spec import SyncJob, TableSpec
-from rowtide.session import settle, small_frame
+from rowtide.session import settle, side_by_side, small_frame
 from rowtide.sources.log import read_log
 from rowtide.sources.scan import fetch_by_keys, project
 
@@ -218,9 +218,11 @@ def replay_many(
     sees a child without its parent.
     """
     collapsed = settle(collapse_mixed(log, job))
-    states = {}
-    for stage in job.stages():
-        for spec in stage:
-            decided = decide(sources[spec.source], pending_of(collapsed, spec), spec)
-            states[spec.target] = apply_decided(targets[spec.target], decided, spec)
-    return states
+    specs = [spec for stage in job.stages() for spec in stage]
+
+    def state(spec: TableSpec) -> DataFrame:
+        decided = decide(sources[spec.source], pending_of(collapsed, spec), spec)
+        return apply_decided(targets[spec.target], decided, spec)
+
+    states = side_by_side(log.sparkSession, state, specs)
+    return dict(zip([spec.target for spec in specs], states, strict=True))

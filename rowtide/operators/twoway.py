@@ -14,7 +14,7 @@ from rowtide.operators.compare import all_of
 from rowtide.operators.numbering import BUCKET_BITS, bucket_of
 from rowtide.operators.replay import ADD, DROP, PUT, apply_decided, decide, pending_keys
 from rowtide.plans.spec import TableSpec
-from rowtide.session import settle
+from rowtide.session import settle, side_by_side
 from rowtide.sources.log import same_table
 from rowtide.sources.scan import fetch_by_keys
 
@@ -188,13 +188,14 @@ def exchange(
     pk = spec.target_pk
     log_a = log_a.where(same_table(spec.source))
     log_b = log_b.where(same_table(spec.target))
-    if applied_a is not None:
-        log_a = suppress_echo(log_a, applied_a, hashed=hashed)
-    if applied_b is not None:
-        log_b = suppress_echo(log_b, applied_b, hashed=hashed)
+    spark = log_a.sparkSession
 
-    from_a = settle(pending_keys(log_a, spec))
-    from_b = settle(pending_keys(log_b, back))
+    def pending(log: DataFrame, applied: DataFrame | None, one: TableSpec) -> DataFrame:
+        own = log if applied is None else suppress_echo(log, applied, hashed=hashed)
+        return settle(pending_keys(own, one))
+
+    both = [(log_a, applied_a, spec), (log_b, applied_b, back)]
+    from_a, from_b = side_by_side(spark, lambda args: pending(*args), both)
     same_names = dict(zip(spec.pk, spec.target_pk, strict=True))
     met = find_conflicts(from_a, from_b.withColumnsRenamed(same_names), pk, conflict)
 
@@ -202,8 +203,11 @@ def exchange(
     lost_b = met.where(F.col("winner") == "source").select(
         *[F.col(t).alias(s) for s, t in same_names.items()]
     )
-    to_b = decide(a, from_a.join(lost_a, pk, "left_anti"), spec, settled=True)
-    to_a = decide(b, from_b.join(lost_b, spec.pk, "left_anti"), back, settled=True)
+    both = [
+        (a, from_a.join(lost_a, pk, "left_anti"), spec),
+        (b, from_b.join(lost_b, spec.pk, "left_anti"), back),
+    ]
+    to_b, to_a = side_by_side(spark, lambda args: decide(*args, settled=True), both)
     return Exchange(to_a, to_b, met)
 
 

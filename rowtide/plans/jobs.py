@@ -9,14 +9,11 @@ source after it, and keeps the audit tables in the target store.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextvars import copy_context
 from dataclasses import dataclass, replace
 from datetime import datetime
 from functools import cached_property, reduce
 from typing import Any
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +39,11 @@ from rowtide.operators.writeback import (
     present_keys,
 )
 from rowtide.plans.spec import SyncJob, TableSpec
-from rowtide.session import scratch_scope, settle, small_frame
+from rowtide.session import scratch_scope, settle, side_by_side, small_frame
 from rowtide.sources.log import LOG_SCHEMA, ack_log, read_log, same_table
 from rowtide.sources.scan import project, scan, scan_flagged
 from rowtide.sources.snapshots import (
     CHECKPOINT_TABLE,
-    PARALLEL_TABLES,
     CommitConflict,
     Partial,
     SnapshotStore,
@@ -199,15 +195,6 @@ def dated_table(
 # -- drivers ---------------------------------------------------------------------
 
 
-def _side_by_side(spark, work: Callable[[Any], Any], items: Sequence[Any]) -> list[Any]:
-    """Run ``work`` for every item in parallel; all finish before an error is raised."""
-    call = inheritable_thread_target(spark)(work)
-    with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
-        # each in a copy of this context, so that its scratch tables are removed, too
-        futures = [pool.submit(copy_context().run, call, item) for item in items]
-    return [f.result() for f in futures]
-
-
 def _retry(commit: Callable[[], Any]) -> None:
     """Read, plan and commit again if another writer rewrote the same table meanwhile."""
     for attempt in range(COMMIT_ATTEMPTS):
@@ -308,7 +295,7 @@ def _run_tables(
         _commit_results(job, source, target, group, results, cycle, bases, extra)
 
     with scratch_scope(target.spark):
-        _side_by_side(target.spark, lambda group: _retry(lambda: attempt(group)), _groups(job))
+        side_by_side(target.spark, lambda group: _retry(lambda: attempt(group)), _groups(job))
         # the plans hold on to the versions they were built from, so counting now
         # still compares with the state before this cycle
         done = [(t, results[t.source]) for t in job.tables]
@@ -459,7 +446,7 @@ def apply_log(
 
         # planning reads log and sources, so tables are planned side by side; they
         # become visible together whatever their stage
-        _side_by_side(target.spark, one, job.tables)
+        side_by_side(target.spark, one, job.tables)
         target.commit(states, appends=seen_now, job=name, batch_id=batch_id, base=base)
         _audit(target, job, flux, errors, cycle, name)
 

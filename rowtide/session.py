@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
 from typing import Any
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Tables worked on side by side.
+PARALLEL = 8
+
 _scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
@@ -81,6 +86,20 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def side_by_side(
+    spark: SparkSession, work: Callable[[Any], Any], items: Iterable[Any]
+) -> list[Any]:
+    """Results of ``work`` for every item, run in parallel; all end before an error is raised.
+
+    Spark shares the cluster between the jobs that the calls start.
+    """
+    call = inheritable_thread_target(spark)(work)
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        # each in a copy of this context, so that its scratch tables are removed, too
+        futures = [pool.submit(copy_context().run, call, item) for item in items]
+    return [f.result() for f in futures]
+
+
 def small_frame(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: str) -> DataFrame:
     """A few driver-side rows as a local relation, known to the planner by size."""
     if not rows:
