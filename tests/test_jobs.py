@@ -424,6 +424,29 @@ def test_two_way_settles_without_echo(spark, stores):
     assert a.read("t__applied").count() == 0 and b.read("t_copy__applied").count() == 0
 
 
+def test_two_way_repeats_after_a_crash_between_the_sides(spark, stores, monkeypatch):
+    a, b = stores
+    one = PAIR.tables[0]
+    start_a = frame(spark, [(n, f"v{n}") for n in range(10)])
+    start_b = start_a.toDF("k", "w")
+    a.commit({"t": start_a})
+    b.commit({"t_copy": start_b})
+    new_a = frame(spark, [(n, "A" if n < 3 else f"v{n}") for n in range(10) if n != 9])
+    new_b = frame(spark, [(n, "B" if n in (2, 5) else f"v{n}") for n in range(10)], "k bigint, w string")
+    capture(spark, a, "t", start_a, new_a, one, False, 1, at(10))
+    capture(spark, b, "t_copy", start_b, new_b, one, True, 1, at(20))
+    with monkeypatch.context() as m:
+        m.setattr(a, "commit", lambda *_, **__: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            jobs.run(PAIR, a, b, cycle=1)
+    # side b has been written, side a has not
+    assert as_set(a.read("t")) == as_set(new_a) and b.read("t_copy").count() == 9
+    jobs.run(PAIR, a, b, cycle=1)
+    want = [(0, "A"), (1, "A"), (2, "B"), (3, "v3"), (4, "v4"), (5, "B"), (6, "v6"), (7, "v7"), (8, "v8")]
+    assert as_set(a.read("t")) == want and as_set(b.read("t_copy")) == want
+    assert a.read("log").count() == 0 and b.read("log").count() == 0
+
+
 def test_sequences_job(spark):
     schema = "name string, last_number int, increment_by int, cache_size int"
     src = spark.createDataFrame([("S1", 10, 1, 1), ("S9", 1, 1, 1)], schema)
