@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import string
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +66,28 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Arrow batches of a task put together until they hold ``size`` bytes."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield pa.Table.from_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def per_process(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept for the later tasks of the same worker process.
+
+    Functions come to the workers by value, and their modules' globals with them; only
+    what is filed under ``sys.modules`` outlives a task.
+    """
+    kept = sys.modules.setdefault("_rowtide_kept", types.ModuleType("_rowtide_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
