@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rowtide.llm.bpe import round_trip
 from rowtide.llm.common import documents, pages
 from rowtide.llm.exact_dedup import exact_groups
+from rowtide.llm.html_extract import extract_main_text
 from rowtide.llm.line_dedup import MIN_SITES, remove_spread_lines
 from rowtide.llm.sharding import shuffle_into_shards
 from rowtide.llm.simhash import simhash_components
@@ -50,6 +51,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(pages(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_winnowing": op4_winnowing,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op7_html_extract": op7_html_extract,
     "op8_token_counts": op8_token_counts,
 }
 
