@@ -12,7 +12,9 @@ from rowtide.llm.bpe import round_trip
 from rowtide.llm.common import documents, pages
 from rowtide.llm.exact_dedup import exact_groups
 from rowtide.llm.html_extract import extract_main_text
+from rowtide.llm.language_id import identify_pages
 from rowtide.llm.line_dedup import MIN_SITES, remove_spread_lines
+from rowtide.llm.packing import pack_documents
 from rowtide.llm.sharding import shuffle_into_shards
 from rowtide.llm.simhash import simhash_components
 from rowtide.llm.transducer import count_tokens
@@ -59,6 +61,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_pages(pages(spark, sf_dir), documents(spark, sf_dir))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -68,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_html_extract": op7_html_extract,
     "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
