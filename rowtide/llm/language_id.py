@@ -110,7 +110,7 @@ def text_posterior(model: TextModel, text: str) -> tuple[list[float], int]:
     grams = trigrams(text)
     count = len(model.languages)
     if not len(grams) or not count:
-        return [1.0 / count] * count, 0
+        return [1.0 / max(1, count)] * count, 0
     mean = model.table[:, grams].mean(axis=1, dtype=np.float64)
     logs = mean * min(len(grams), ENOUGH)
     weights = np.exp(logs - logs.max())

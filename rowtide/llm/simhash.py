@@ -126,9 +126,8 @@ def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
         inner = dealt.join(large, "_shard", "left_semi").select(
             "_fp", F.col("_shard").alias("_outer"), F.explode(again).alias("_inner")
         )
-        dealt = dealt.join(large, "_shard", "left_anti").union(
-            inner.select("_fp", F.xxhash64("_outer", "_inner"))
-        )
+        small = dealt.join(large, "_shard", "left_anti").select("_fp", "_shard")
+        dealt = small.union(inner.select("_fp", F.xxhash64("_outer", "_inner").alias("_shard")))
 
     def work(batches):
         rest_s, rest_f = np.empty(0, np.int64), np.empty(0, np.uint64)
