@@ -58,18 +58,35 @@ def coerce(
     """
     if on_error not in ("null", "raise"):
         raise ValueError(f"on_error: {on_error}")
-    columns = []
+    cells = typed_cells(
+        df,
+        fields,
+        legacy_nulls=legacy_nulls,
+        lenient=on_error == "null",
+        clob_null_to_empty=clob_null_to_empty,
+    )
+    return df.select(*cells)
+
+
+def typed_cells(
+    df: DataFrame,
+    fields: Sequence[FieldSpec],
+    *,
+    legacy_nulls: bool = False,
+    lenient: bool = True,
+    clob_null_to_empty: bool = False,
+) -> list[Column]:
+    """The cells that :func:`coerce` selects, to be put beside other columns."""
+    cells = []
     for f in fields:
-        cell = coerce_cell(
-            F.col(f.source), df.schema[f.source].dataType, f, lenient=on_error == "null"
-        )
+        cell = coerce_cell(F.col(f.source), df.schema[f.source].dataType, f, lenient=lenient)
         jdbc = normalise_jdbc(f.jdbc_type)
         if legacy_nulls and jdbc in LEGACY_ZERO:
             cell = F.coalesce(cell, F.lit(LEGACY_ZERO[jdbc]).cast(f.spark_type))
         if clob_null_to_empty and jdbc in CHARACTER_LARGE:
             cell = F.coalesce(cell, F.lit(""))
-        columns.append(cell.alias(f.source))
-    return df.select(*columns)
+        cells.append(cell.alias(f.source))
+    return cells
 
 
 def failing_fields(df: DataFrame, fields: Sequence[FieldSpec]) -> Column:
@@ -91,21 +108,22 @@ def coerce_failures(df: DataFrame, fields: Sequence[FieldSpec]) -> DataFrame:
 
 
 def readable(
-    df: DataFrame, fields: Sequence[FieldSpec]
+    df: DataFrame, fields: Sequence[FieldSpec], *, clob_null_to_empty: bool = False
 ) -> tuple[DataFrame, DataFrame | None]:
     """Typed rows, and the rows turned away for an unreadable value (None if there can be none).
 
     The latter are typed too, with NULL for what could not be read, and say why
     in ``reason``.
     """
-    typed = coerce(df, fields)
+    typed = coerce(df, fields, clob_null_to_empty=clob_null_to_empty)
     doubtful = [
         f for f in fields if typed.schema[f.source].dataType != df.schema[f.source].dataType
     ]
     if not doubtful:
         return typed, None
     marked = df.withColumn("bad_fields", failing_fields(df, doubtful))
-    good = coerce(marked.where(F.size("bad_fields") == 0), fields)
+    whole = marked.where(F.size("bad_fields") == 0)
+    good = coerce(whole, fields, clob_null_to_empty=clob_null_to_empty)
     reason = F.concat(F.lit("unreadable value: "), F.array_join("bad_fields", ", "))
     bad = marked.where(F.size("bad_fields") > 0)
     cells = [

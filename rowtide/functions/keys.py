@@ -47,7 +47,7 @@ def key_text(value: Column, jdbc_type: str) -> Column:
 def cast_key(text: Column, jdbc_type: str) -> Column:
     """Key text as a typed value; unreadable text gives NULL."""
     jdbc = normalise_jdbc(jdbc_type)
-    if jdbc in ("DATE", "TIME", "TIMESTAMP"):
+    if jdbc in ("DATE", "TIMESTAMP"):
         return text.try_cast("timestamp_ntz")
     return text.try_cast(FieldSpec("", "", jdbc_type=jdbc).spark_type)
 

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from rowtide.functions.keys import encode_pks
 from rowtide.operators.compare import all_of
-from rowtide.operators.numbering import BUCKET_BITS, bucket_of, number_rows
+from rowtide.operators.numbering import (
+    BUCKET_BITS,
+    bucket_of,
+    number_rows,
+    parent_of,
+    upper_levels,
+)
 from rowtide.plans.spec import TableSpec
 
 # Op letters and the small numbers they are aggregated as.
@@ -111,8 +117,8 @@ def run_batches(
 
     The log is cut into id buckets, so that a table holding most of the log, or
     the undivided mixed log, is worked on by many tasks. Runs are numbered inside
-    each bucket; a summary of one row per bucket then says how many runs came
-    before and whether a run goes on across the border.
+    each bucket; summaries of one row per bucket, put together in levels, then say how
+    many runs came before and whether a run goes on across the border.
     """
     # a struct equals another with NULLs in the same places, so no row gets lost
     whole = F.struct(*partition) if partition else F.lit(0)
@@ -131,19 +137,42 @@ def run_batches(
         F.max_by(key, order).alias("_last"),
         F.sum("_starts").alias("_runs"),
     )
-    buckets = Window.partitionBy(*group).orderBy("_bucket")
+    shifts = _run_shifts(summary, upper_levels(bits))
+    return local.join(shifts, [*group, "_bucket"]).select(
+        *log.columns, (F.col("_local") + F.col("_shift")).cast("long").alias("run_no")
+    )
+
+
+def _run_shifts(summary: DataFrame, levels: int) -> DataFrame:
+    """``_group, _bucket, _shift``: what is added to a bucket's own run numbers.
+
+    That is how many runs came before, less one if a run goes on across the border.
+    Inside each parent of neighbouring buckets it is found by sums; the parent, again a
+    first and a last value and a number of runs, is shifted in the same way.
+    """
+    if levels:
+        summary = summary.withColumn("_parent", parent_of())
+    near = ["_group", *(["_parent"] if levels else [])]
+    buckets = Window.partitionBy(*near).orderBy("_bucket")
     up_to_here = buckets.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = buckets.rowsBetween(Window.unboundedPreceding, -1)
+    # struct against struct, also where the bucket is the first and there is none before
     goes_on = F.lag("_last").over(buckets).eqNullSafe(F.col("_first"))
-    summary = summary.withColumn("_joined", F.when(goes_on, 1).otherwise(0)).select(
-        *group,
-        "_bucket",
-        (
-            F.coalesce(F.sum("_runs").over(before), F.lit(0)) - F.sum("_joined").over(up_to_here)
-        ).alias("_shift"),
+    summary = summary.withColumn("_joined", F.when(goes_on, 1).otherwise(0))
+    shift = F.coalesce(F.sum("_runs").over(before), F.lit(0)) - F.sum("_joined").over(up_to_here)
+    if not levels:
+        return summary.select("_group", "_bucket", shift.alias("_shift"))
+    parents = summary.groupBy("_group", "_parent").agg(
+        F.min_by("_first", "_bucket").alias("_first"),
+        F.max_by("_last", "_bucket").alias("_last"),
+        F.sum(F.col("_runs") - F.col("_joined")).alias("_runs"),
     )
-    return local.join(summary, [*group, "_bucket"]).select(
-        *log.columns, (F.col("_local") + F.col("_shift")).cast("long").alias("run_no")
+    above = _run_shifts(parents.withColumnRenamed("_parent", "_bucket"), levels - 1)
+    above = above.withColumnsRenamed({"_bucket": "_parent", "_shift": "_above"})
+    return (
+        summary.select("_group", "_bucket", "_parent", shift.alias("_inside"))
+        .join(above, ["_group", "_parent"])
+        .select("_group", "_bucket", (F.col("_inside") + F.col("_above")).alias("_shift"))
     )
 
 

@@ -11,16 +11,64 @@ from pyspark.sql import types as T
 from rowtide.session import settle
 
 # A bucket covers 2**20 consecutive integer ids. Ids are unique, so this is also
-# the most rows a bucket can hold, whatever the data looks like.
+# the most rows a bucket can hold, whatever the data looks like. Summaries of buckets
+# are put together in levels, each of 2**20 numbers, so that no task gets more summary
+# rows than that either, however sparse the ids are.
 BUCKET_BITS = 20
+LEVEL_BITS = 20
 
-# Fixed value: the bucket of rows without an id, below all others.
+# The buckets of rows without an id, below all others.
 NO_ID = -(1 << 62)
+NO_ID_BUCKETS = 1024
 
 
-def bucket_of(order: str, bits: int = BUCKET_BITS) -> Column:
-    """Bucket of an integer column: equal spans of ``2**bits`` ids, in id order."""
-    return F.coalesce(F.shiftright(F.col(order).cast("long"), bits), F.lit(NO_ID))
+def bucket_of(order: str, bits: int = BUCKET_BITS, spread: Sequence[str] = ()) -> Column:
+    """Bucket of an integer column: equal spans of ``2**bits`` ids, in id order.
+
+    Rows without an id, which have no order, are spread by the columns ``spread``.
+    """
+    none = F.lit(NO_ID)
+    if spread:
+        none = none + F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(NO_ID_BUCKETS))
+    return F.coalesce(F.shiftright(F.col(order).cast("long"), bits), none)
+
+
+def upper_levels(bits: int = BUCKET_BITS) -> int:
+    """How many levels of parents lie above buckets of ``bits`` until few numbers are left."""
+    return max(0, -(-(64 - bits) // LEVEL_BITS) - 1)
+
+
+def parent_of(bucket: str = "_bucket") -> Column:
+    return F.shiftright(F.col(bucket), LEVEL_BITS)
+
+
+def earlier_sums(
+    counts: DataFrame, group: Sequence[str] = (), *, value: str = "_rows", levels: int = upper_levels()
+) -> DataFrame:
+    """``group, _bucket, _before``: the sum of ``value`` over all earlier buckets of the group.
+
+    ``counts`` has one row per group and bucket. Sums are made inside each parent of
+    neighbouring buckets, and what lies before the parent is found in the same way.
+    """
+    keys = [F.col(c) for c in group]
+    if levels == 0:
+        before = Window.partitionBy(*keys).orderBy("_bucket")
+    else:
+        counts = counts.withColumn("_parent", parent_of())
+        before = Window.partitionBy(*keys, "_parent").orderBy("_bucket")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(value).over(before), F.lit(0).cast("long"))
+    if levels == 0:
+        return counts.select(*keys, "_bucket", inside.alias("_before"))
+    parents = counts.groupBy(*keys, "_parent").agg(F.sum(value).alias(value))
+    above = earlier_sums(
+        parents.withColumnRenamed("_parent", "_bucket"), group, value=value, levels=levels - 1
+    ).withColumnsRenamed({"_bucket": "_parent", "_before": "_above"})
+    return (
+        counts.select(*keys, "_bucket", "_parent", inside.alias("_inside"))
+        .join(above, [*group, "_parent"])
+        .select(*keys, "_bucket", (F.col("_inside") + F.col("_above")).alias("_before"))
+    )
 
 
 def number_rows(
@@ -45,20 +93,15 @@ def number_rows(
 
 
 def _number_by_bucket(df: DataFrame, key: str, out: str, bits: int) -> DataFrame:
-    tagged = df.withColumn("_bucket", bucket_of(key, bits))
-    # one row per bucket, so the ordered sum below stays small: 1e12 ids, 1e6 rows
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    )
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tagged = df.withColumn("_bucket", bucket_of(key, bits, hashed))
+    counts = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
     return (
         tagged.withColumn("_inside", inside)
-        .join(offsets, "_bucket")
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_offset")
+        .join(earlier_sums(counts, levels=upper_levels(bits)), "_bucket")
+        .withColumn(out, F.col("_before") + F.col("_inside"))
+        .drop("_bucket", "_inside", "_before")
     )
 
 

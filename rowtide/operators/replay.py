@@ -8,17 +8,20 @@ walked through in order.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rowtide.functions.coerce import failing_fields, typed_cells
 from rowtide.functions.keys import key_columns
-from rowtide.operators.changelog import collapse
+from rowtide.operators.changelog import OP_CODES, collapse
 from rowtide.operators.compare import has_key
 from rowtide.operators.writeback import complete, missing_rows
 from rowtide.plans.spec import SyncJob, TableSpec
 from rowtide.session import settle, side_by_side, small_frame
-from rowtide.sources.log import read_log
+from rowtide.sources.log import read_log, same_table
 from rowtide.sources.scan import fetch_by_keys, project
 
 # What a collapsed key leads to: replace or add the row, add it only if absent,
@@ -96,6 +99,27 @@ def _typed(by_text: DataFrame, spec: TableSpec) -> DataFrame:
     )
 
 
+def unknown_op_rows(log: DataFrame) -> DataFrame:
+    """Log rows whose operation is none of the known letters."""
+    return log.where(~F.coalesce(F.col("op").isin(*OP_CODES), F.lit(False)))
+
+
+def unknown_ops(log: DataFrame, job: SyncJob) -> list[DataFrame]:
+    """For each table of the job its log rows with an unknown operation; one pass over the log."""
+    found = settle(unknown_op_rows(read_log(log)))
+    return [found.where(same_table(t.source)) for t in job.tables]
+
+
+def unreadable_texts(collapsed: DataFrame, spec: TableSpec) -> DataFrame:
+    """Key texts (``pks``) of a table in :func:`collapse_mixed` that cannot be read, each once."""
+    mine = collapsed.where(F.col("tablename") == F.lit(spec.source.upper())).select(
+        "pks", F.col("pks").alias("_text")
+    )
+    keys = _key_names(spec)
+    typed = key_columns(mine, spec.fields, out=keys)
+    return typed.where(~has_key(keys)).select(F.col("_text").alias("pks"))
+
+
 def unreadable_keys(log: DataFrame, spec: TableSpec) -> DataFrame:
     """Log rows of a table whose key text cannot be read."""
     rows = read_log(log, table=spec.source)
@@ -125,6 +149,39 @@ def only_newer(pending: DataFrame, applied: DataFrame, pk: Sequence[str]) -> Dat
 def decide(
     source: DataFrame, pending: DataFrame, spec: TableSpec, *, settled: bool = False
 ) -> DataFrame:
+    """What :func:`decide_typed` decides, without what it turns away."""
+    return decide_typed(source, pending, spec, settled=settled)[0]
+
+
+def current_rows(source: DataFrame, pending: DataFrame, spec: TableSpec) -> DataFrame:
+    """Typed source rows (target names) of the pending keys, one for each key.
+
+    ``_row`` is the row's other columns, the least of those that can be read;
+    ``_good`` counts these, and ``_why`` names columns that cannot be read.
+    """
+    pk = spec.target_pk
+    own = [replace(f, source=f.target) for f in spec.fields]
+    fetched = fetch_by_keys(project(source, spec.fields), pending, pk)
+    declared = {f.source: T.DataType.fromDDL(f.spark_type) for f in own}
+    doubtful = [f for f in own if fetched.schema[f.source].dataType != declared[f.source]]
+    failing = F.array_join(failing_fields(fetched, doubtful), ", ") if doubtful else F.lit("")
+    cells = typed_cells(fetched, own, clob_null_to_empty=spec.clob_null_to_empty)
+    good = F.col("_bad") == ""
+    row = F.struct(F.lit(True).alias("_"), *[f.target for f in spec.fields if not f.pk])
+    return (
+        fetched.select(*cells, failing.alias("_bad"))
+        .groupBy(*pk)
+        .agg(
+            F.min(F.when(good, row)).alias("_row"),
+            F.sum(F.when(good, 1).otherwise(0)).alias("_good"),
+            F.max(F.when(~good, F.col("_bad"))).alias("_why"),
+        )
+    )
+
+
+def decide_typed(
+    source: DataFrame, pending: DataFrame, spec: TableSpec, *, settled: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Pending keys with the current source row (target names) and the ``_action`` to take.
 
     ===============  ===========  ==========================================
@@ -134,8 +191,12 @@ def decide(
     I or U           present      put (insert-only: add if absent, unless the
                                   log also deleted the key: then put)
     I or U           gone         delete if the log deleted the key, else none
+    I or U           unreadable   none, turned away
     ===============  ===========  ==========================================
 
+    Also returns what was turned away: keys (source names) and ``reason``. Of several
+    source rows with one key one is taken and the others are reported.
+
     The pending keys are fetched with a semi join first, so that a short log is
     broadcast to the source instead of shuffling the source. Pending keys (unless
     they come from settled ones) and the outcome, of the size of the changes, are
@@ -144,17 +205,27 @@ def decide(
     if not settled:
         pending = settle(pending)
     pk = spec.target_pk
-    current = fetch_by_keys(project(source, spec.fields), pending, pk)
-    joined = pending.join(current.withColumn("_there", F.lit(True)), pk, "left")
-    gone = F.col("_there").isNull()
-    deleted = F.col("_log.has_delete")
+    values = [f.target for f in spec.fields if not f.pk]
+    joined = pending.join(current_rows(source, pending, spec), pk, "left")
+    there, unread = F.col("_row").isNotNull(), F.col("_why").isNotNull()
+    deleted, drop = F.col("_log.has_delete"), F.col("_log.last_op") == "D"
     put = F.when(deleted, PUT).otherwise(ADD) if spec.insert_only else F.lit(PUT)
-    action = (
-        F.when((F.col("_log.last_op") == "D") | (gone & deleted), DROP)
-        .when(~gone, put)
+    action = F.when(drop, DROP).when(there, put).when(deleted & ~unread, DROP)
+    why = F.concat(F.lit("unreadable value: "), F.col("_why"))
+    copies = F.concat(F.lit("duplicate key, copies: "), (F.col("_good") - 1).cast("string"))
+    reason = F.when(~drop, F.when(unread, why).when(F.col("_good") > 1, copies))
+    done = settle(
+        joined.withColumns({"_action": action, "_reason": reason})
+        .where(F.col("_action").isNotNull() | F.col("_reason").isNotNull())
+        .select(
+            *pk, *[F.col(f"_row.{c}").alias(c) for c in values], "_log", "_action", "_reason"
+        )
+    )
+    names = [F.col(t).alias(s) for s, t in zip(spec.pk, pk, strict=True)]
+    rejected = done.where(F.col("_reason").isNotNull()).select(
+        *names, F.col("_reason").alias("reason")
     )
-    decided = joined.withColumn("_action", action).where(F.col("_action").isNotNull())
-    return settle(decided.drop("_there"))
+    return done.where(F.col("_action").isNotNull()).drop("_reason"), rejected
 
 
 def apply_decided(target: DataFrame, decided: DataFrame, spec: TableSpec) -> DataFrame:

@@ -40,13 +40,31 @@ def _paired(src: DataFrame, tgt: DataFrame) -> DataFrame:
     )
 
 
-def sequence_plan(src: DataFrame, tgt: DataFrame) -> DataFrame:
+def sequence_plan(src: DataFrame, tgt: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Which side of each sequence pair lags, by how much, and how it catches up.
 
     ``step`` is ``single`` when one ordinary increment closes the gap, else
     ``temporary``: set the increment to ``delta``, draw one value, and set it back
-    to ``restore_increment``. Nothing is drawn from either sequence here.
+    to ``restore_increment``. Nothing is drawn from either sequence here. Of the
+    ``known`` pairs (``name``) those that a catalog lacks are ``missing``; ``side``
+    says where.
     """
+    plan = _both_sides(src, tgt)
+    if known is None:
+        return plan
+    found = known.select(F.upper("name").alias("name"))
+    for df, mark in ((src, "_src"), (tgt, "_tgt")):
+        names = df.select(F.upper("name").alias("name"), F.lit(True).alias(mark)).distinct()
+        found = found.join(names, "name", "left")
+    no_src, no_tgt = F.col("_src").isNull(), F.col("_tgt").isNull()
+    lacks = F.when(no_src & no_tgt, "both").when(no_src, "source").otherwise("target")
+    missing = found.where(no_src | no_tgt).select(
+        "name", lacks.alias("side"), F.lit("missing").alias("step")
+    )
+    return plan.unionByName(missing, allowMissingColumns=True)
+
+
+def _both_sides(src: DataFrame, tgt: DataFrame) -> DataFrame:
     lagging_inc = F.when(F.col("side") == "target", F.col("tgt_inc")).when(
         F.col("side") == "source", F.col("src_inc")
     )

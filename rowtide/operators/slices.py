@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,28 +28,56 @@ def _after(first: Column, slices: Column, seconds: int) -> Column:
     return first + F.make_dt_interval(secs=(slices * seconds).cast("decimal(18,6)"))
 
 
+def _moment(value: datetime) -> Column:
+    """A zoneless literal; as text it does not depend on any time zone on its way."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+# Fixed value: a range that holds no row.
+NOTHING = (datetime(1970, 1, 1), datetime(1970, 1, 1))
+
+
+def complete_range(
+    df: DataFrame, ts: str, start: datetime | None = None, seconds: int = SLICE_SECONDS
+) -> tuple[datetime, datetime] | None:
+    """Where the complete slices begin and end; None while there is none.
+
+    Slices are counted from ``start`` (the saved checkpoint), or from the earliest
+    value when there is none. The last slice waits until a later row shows that it is
+    complete: its end lies before the latest value. Runs one aggregate over the column.
+    """
+    marker = F.col(ts).cast("timestamp_ntz")
+    lo, hi = df.agg(F.min(marker), F.max(marker)).first()
+    lo = lo if start is None else start
+    if lo is None or hi is None:
+        return None
+    slices = (hi - lo - timedelta(microseconds=1)) // timedelta(seconds=seconds)
+    return (lo, lo + slices * timedelta(seconds=seconds)) if slices > 0 else None
+
+
+def rows_between(df: DataFrame, ts: str, bounds: tuple[datetime, datetime] | None) -> DataFrame:
+    """Rows of a half-open range; the limits are literals that reach the files."""
+    lo, hi = map(_moment, bounds or NOTHING)
+    return df.where((F.col(ts) >= lo) & (F.col(ts) < hi))
+
+
 def time_slices(
-    df: DataFrame, ts: str, start: datetime | Column | None = None, seconds: int = SLICE_SECONDS
+    df: DataFrame, ts: str, start: datetime | None = None, seconds: int = SLICE_SECONDS
 ) -> DataFrame:
     """Rows of complete slices, with ``slice_no`` (from 0), ``slice_start`` and ``slice_end``.
 
-    Slices are counted from ``start`` (the saved checkpoint), or from the earliest
-    value when there is none. Rows before ``start`` were handled earlier. The last
-    slice waits until a later row shows that it is complete: a slice is taken if
-    its end lies before the latest value.
+    See :func:`complete_range` for which slices are complete. Rows before ``start`` were
+    handled earlier; rows without a marker belong to no slice.
     """
-    first = df.agg(F.min(ts)).scalar() if start is None else (
-        start if isinstance(start, Column) else F.lit(start).cast("timestamp_ntz")
-    )
-    last = df.agg(F.max(ts)).scalar()
+    bounds = complete_range(df, ts, start, seconds)
+    first = _moment((bounds or NOTHING)[0])
     width = F.lit(seconds * 1_000_000).cast("long")
     number = F.floor(_micros_between(first, F.col(ts)) / width).cast("long")
     return (
-        df.where(F.col(ts) >= first)
+        rows_between(df, ts, bounds)
         .withColumn("slice_no", number)
         .withColumn("slice_start", _after(first, F.col("slice_no"), seconds))
         .withColumn("slice_end", _after(first, F.col("slice_no") + 1, seconds))
-        .where(F.col("slice_end") < last)
     )
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from rowtide.functions.keys import encode_pks
 from rowtide.operators.changelog import row_hash
 from rowtide.operators.compare import all_of
-from rowtide.operators.numbering import BUCKET_BITS, bucket_of
-from rowtide.operators.replay import ADD, DROP, PUT, apply_decided, decide, pending_keys
+from rowtide.operators.numbering import BUCKET_BITS, bucket_of, earlier_sums, upper_levels
+from rowtide.operators.replay import ADD, DROP, PUT, apply_decided, decide_typed, pending_keys
 from rowtide.plans.spec import TableSpec
 from rowtide.session import settle, side_by_side
 from rowtide.sources.log import same_table
@@ -47,19 +47,15 @@ def suppress_echo(
     """
     group = ["_digest", "_table", "_pks", "_op", *(["_hash"] if hashed else [])]
     budget = _echo_group(applied, hashed).groupBy(*group).agg(F.count(F.lit(1)).alias("_budget"))
-    tagged = _echo_group(captured, hashed).withColumn("_bucket", bucket_of("id", bits))
-    earlier = (
-        Window.partitionBy(*group)
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    every = _echo_group(captured, hashed)
+    # most changes have no echo to wait for: they pass without being counted or sorted
+    free = every.join(budget, group, "left_anti").select(*captured.columns)
+    tagged = every.join(budget, group, "left_semi").withColumn("_bucket", bucket_of("id", bits))
+    counts = tagged.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     spent = (
-        tagged.groupBy(*group, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        earlier_sums(counts, group, levels=upper_levels(bits))
         .join(budget, group)
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .where(F.col("_before") < F.col("_budget"))
-        .drop("_rows")
     )
     # the counts of a bucket go in front of its rows, so that one sort serves both
     marked = tagged.withColumn("_is_row", F.lit(1)).unionByName(
@@ -71,7 +67,8 @@ def suppress_echo(
     ranked = marked.withColumn("_counts", counts).withColumn("_place", F.row_number().over(here))
     nth = F.col("_counts._before") + F.col("_place") - 1
     sent = (F.col("_counts._is_row") == 1) | (nth > F.col("_counts._budget"))
-    return ranked.where((F.col("_is_row") == 1) & sent).select(*captured.columns)
+    rest = ranked.where((F.col("_is_row") == 1) & sent).select(*captured.columns)
+    return free.unionByName(rest)
 
 
 def apply_from_peer(
@@ -121,11 +118,17 @@ def apply_from_peer(
 
 @dataclass(frozen=True)
 class Exchange:
-    """What one two-way cycle sends each way, decided but not applied."""
+    """What one two-way cycle sends each way, decided but not applied.
+
+    ``rejected_a`` and ``rejected_b`` are the keys whose row could not go to that side
+    (or not all of its copies), named as where they came from, with ``reason``.
+    """
 
     to_a: DataFrame
     to_b: DataFrame
     conflicts: DataFrame
+    rejected_a: DataFrame
+    rejected_b: DataFrame
 
 
 @dataclass(frozen=True)
@@ -207,8 +210,10 @@ def exchange(
         (a, from_a.join(lost_a, pk, "left_anti"), spec),
         (b, from_b.join(lost_b, spec.pk, "left_anti"), back),
     ]
-    to_b, to_a = side_by_side(spark, lambda args: decide(*args, settled=True), both)
-    return Exchange(to_a, to_b, met)
+    (to_b, bad_b), (to_a, bad_a) = side_by_side(
+        spark, lambda args: decide_typed(*args, settled=True), both
+    )
+    return Exchange(to_a, to_b, met, bad_a, bad_b)
 
 
 def two_way(

@@ -22,14 +22,17 @@ from rowtide.operators.audit import error_log, job_flux, upsert_flux
 from rowtide.operators.compare import classify, dedupe, dedupe_rare, has_key
 from rowtide.operators.replay import (
     collapse_mixed,
-    decide,
+    decide_typed,
     only_newer,
     pending_of,
     policies,
+    unknown_op_rows,
+    unknown_ops,
     unreadable_keys,
+    unreadable_texts,
 )
 from rowtide.operators.sequences import sequence_plan
-from rowtide.operators.slices import SLICE_SECONDS, next_position, time_slices
+from rowtide.operators.slices import NOTHING, SLICE_SECONDS, complete_range, rows_between
 from rowtide.operators.twoway import APPLIED_SCHEMA, apply_from_peer, exchange, suppress_echo
 from rowtide.operators.writeback import (
     delete_by_key,
@@ -60,6 +63,11 @@ FLUX_SCHEMA = (
     "count_i bigint, count_d bigint, count_u bigint, flag int"
 )
 
+# Why rows were turned away, where several places say so.
+NO_MARKER = "marker is missing"
+BAD_KEY = "unreadable key in the change log"
+BAD_OP = "unknown operation in the change log"
+
 # How often a commit is built anew when other writers get in between.
 COMMIT_ATTEMPTS = 5
 
@@ -82,6 +90,7 @@ class TableResult:
     rest: Callable[[TableResult], DataFrame] | None = None
     added: DataFrame | None = None
     parts: list[int] | None = None
+    source_parts: list[int] | None = None
 
     @cached_property
     def rejected(self) -> DataFrame:
@@ -97,9 +106,15 @@ class TableResult:
 
     @cached_property
     def source(self) -> DataFrame | None:
-        """New state of the source, if the job changes it."""
+        """New state of the source (of its ``source_parts``), if the job changes it."""
         return None if self.rest is None else self.rest(self)
 
+    def source_state(self) -> DataFrame | Partial | None:
+        """What to publish for the source."""
+        if self.source is None or self.source_parts is None:
+            return self.source
+        return Partial(self.source, self.source_parts)
+
     def state(self) -> DataFrame | Partial:
         """What to publish for the target."""
         return self.target if self.parts is None else Partial(self.target, self.parts)
@@ -120,7 +135,7 @@ def full_table(
     some row was turned away: those stay until somebody has looked at them.
     """
     chosen = scan(source if rows is None else rows, spec)
-    good, bad = readable(chosen, spec.fields)
+    good, bad = readable(chosen, spec.fields, clob_null_to_empty=spec.clob_null_to_empty)
     kept, _ = dedupe(good, spec.pk, order_by)
     pk = spec.target_pk
     fresh = project(kept, spec.fields)
@@ -186,10 +201,24 @@ def dated_table(
     start: datetime | None = None,
     seconds: int = SLICE_SECONDS,
     order_by: Sequence[str] = (),
+    bounds: tuple[datetime, datetime] | None = None,
 ) -> TableResult:
-    """Copy the rows of all complete time slices since ``start`` in one go."""
-    rows = time_slices(source, spec.marker_column, start, seconds)
-    return full_table(source, target, spec, rows=rows, order_by=order_by)
+    """Copy the rows of all complete time slices since ``start`` in one go.
+
+    ``bounds`` are those slices' limits, see
+    :func:`~rowtide.operators.slices.complete_range`. Rows without a marker belong
+    to no slice and are turned away.
+    """
+    ts = spec.marker_column
+    bounds = bounds or complete_range(source, ts, start, seconds)
+    result = full_table(source, target, spec, rows=rows_between(source, ts, bounds), order_by=order_by)
+
+    def reject() -> DataFrame:
+        good, bad = readable(scan(source, spec).where(F.col(ts).isNull()), spec.fields)
+        bad = good if bad is None else good.unionByName(bad.drop("reason"))
+        return result.reject().unionByName(bad.withColumn("reason", F.lit(NO_MARKER)))
+
+    return replace(result, reject=reject)
 
 
 # -- drivers ---------------------------------------------------------------------
@@ -217,7 +246,7 @@ def _audit(
     def commit() -> None:
         tables, appends, base = {}, {}, target.version
         if flux:
-            old = target.read(FLUX_TABLE, schema=FLUX_SCHEMA)
+            old = target.read(FLUX_TABLE, schema=FLUX_SCHEMA, version=base)
             # one row per table of the job
             rows = reduce(DataFrame.unionByName, flux)
             tables[FLUX_TABLE] = upsert_flux(old, rows).coalesce(1)
@@ -264,7 +293,7 @@ def _commit_results(
     done = [(t, results[t.source]) for t in group]
     whole = {t.target: r.state() for t, r in done if r.added is None}
     more = {t.target: r.added for t, r in done if r.added is not None}
-    left = {t.source: r.source for t, r in done if r.source is not None}
+    left = {t.source: r.source_state() for t, r in done if r.source is not None}
     if left and source.has_batch(name, cycle):
         return
     last = None if left else cycle
@@ -281,16 +310,31 @@ def _run_tables(
     plan: Callable[[DataFrame, DataFrame, TableSpec], TableResult],
     choose: Callable[[DataFrame, TableSpec], DataFrame] | None = None,
     positions: Callable[[Sequence[TableSpec]], dict[str, DataFrame]] | None = None,
+    prepare: Callable[[TableSpec, DataFrame], None] | None = None,
 ) -> None:
-    """Plan and publish all tables; ``choose`` picks the rows a partial mode copies."""
+    """Plan and publish all tables; ``choose`` picks the rows a partial mode copies.
+
+    Everything is read from the versions the commits are based on. ``prepare`` sees
+    the source rows of a table before they are planned.
+    """
     results = {}
 
     def attempt(group: Sequence[TableSpec]) -> None:
         bases = source.version, target.version
         for t in group:
-            rows = source.read(t.source)
-            old, parts = target_of(target, t, choose(rows, t)) if choose else target_of(target, t)
-            results[t.source] = replace(plan(rows, old, t), parts=parts)
+            rows = source.read(t.source, version=bases[0])
+            if prepare:
+                prepare(t, rows)
+            picked = choose(rows, t) if choose else None
+            old, parts = target_of(target, t, picked, version=bases[1])
+            # of a source kept in parts, only those with chosen rows are rewritten
+            mine, left = rows, None
+            if picked is not None:
+                left = source.touched(t.source, picked, version=bases[0])
+            if left is not None:
+                mine = source.read(t.source, version=bases[0], parts=left)
+            result = plan(mine, old, t)
+            results[t.source] = replace(result, parts=parts, source_parts=left)
         extra = positions(group) if positions else None
         _commit_results(job, source, target, group, results, cycle, bases, extra)
 
@@ -310,14 +354,19 @@ def target_ddl(spec: TableSpec) -> str:
 
 
 def target_of(
-    store: SnapshotStore, spec: TableSpec, rows: DataFrame | None = None
+    store: SnapshotStore,
+    spec: TableSpec,
+    rows: DataFrame | None = None,
+    *,
+    version: int | None = None,
 ) -> tuple[DataFrame, list[int] | None]:
     """The target as it stands, or only the parts that the source ``rows`` go to."""
     parts = None
     if rows is not None:
         keys = project(rows.select(*spec.pk), [f for f in spec.fields if f.pk])
-        parts = store.touched(spec.target, keys)
-    return store.read(spec.target, schema=target_ddl(spec), parts=parts), parts
+        parts = store.touched(spec.target, keys, version=version)
+    old = store.read(spec.target, schema=target_ddl(spec), parts=parts, version=version)
+    return old, parts
 
 
 def run_full(
@@ -349,25 +398,26 @@ def run_date_marker(
     """Copy complete time slices; each table's new position is published with its rows."""
     number = _cycle(job, target, cycle)
     starts = {t.source: load_checkpoint(target, job.name, t.source) for t in job.tables}
+    ranges: dict[str, tuple[datetime, datetime] | None] = {}
+
+    def prepare(spec: TableSpec, rows: DataFrame) -> None:
+        # the position that is saved and the rows that are copied come from one look
+        ranges[spec.source] = complete_range(rows, spec.marker_column, starts[spec.source], seconds)
+
+    def choose(rows: DataFrame, spec: TableSpec) -> DataFrame:
+        return rows_between(rows, spec.marker_column, ranges[spec.source])
 
     def plan(src: DataFrame, tgt: DataFrame, spec: TableSpec) -> TableResult:
-        return dated_table(src, tgt, spec, start=starts[spec.source], seconds=seconds)
+        bounds = ranges[spec.source] or NOTHING
+        return dated_table(src, tgt, spec, start=starts[spec.source], seconds=seconds, bounds=bounds)
 
     def positions(group: Sequence[TableSpec]) -> dict[str, DataFrame]:
-        values = {}
-        for t in group:
-            rows = source.read(t.source)
-            value = next_position(rows, t.marker_column, starts[t.source], seconds).first()[0]
-            if value is not None:
-                values[t.source] = value
+        values = {t.source: ranges[t.source][1] for t in group if ranges[t.source]}
         if not values:
             return {}
         return {CHECKPOINT_TABLE: checkpoint_rows(target.spark, job.name, values, number)}
 
-    def choose(rows: DataFrame, spec: TableSpec) -> DataFrame:
-        return time_slices(rows, spec.marker_column, starts[spec.source], seconds)
-
-    _run_tables(job, source, target, number, plan, choose, positions)
+    _run_tables(job, source, target, number, plan, choose, positions, prepare)
 
 
 def _ack(store: SnapshotStore, log: str, taken: DataFrame, job: str, cycle: int) -> None:
@@ -375,8 +425,11 @@ def _ack(store: SnapshotStore, log: str, taken: DataFrame, job: str, cycle: int)
 
     def commit() -> None:
         base = store.version
-        left = ack_log(store.read(log), taken)
-        store.commit({log: left}, job=f"{job}/ack", batch_id=cycle, base=base)
+        # a log kept in parts (spans of ids) has only the parts of taken rows rewritten
+        parts = store.touched(log, taken, version=base)
+        left = ack_log(store.read(log, version=base, parts=parts), taken)
+        state = left if parts is None else Partial(left, parts)
+        store.commit({log: state}, job=f"{job}/ack", batch_id=cycle, base=base)
 
     _retry(commit)
 
@@ -393,11 +446,16 @@ def _take(log: DataFrame, job: SyncJob, side: str, limit: int | None) -> DataFra
 
 
 def _apply(
-    store: SnapshotStore, decided: DataFrame, origin: str, spec: TableSpec, hashed: bool = False
+    store: SnapshotStore,
+    decided: DataFrame,
+    origin: str,
+    spec: TableSpec,
+    version: int,
+    hashed: bool = False,
 ) -> tuple[DataFrame | Partial, DataFrame]:
     """What to publish for a table, and what took effect on it; reads only the parts touched."""
-    parts = store.touched(spec.target, decided.select(*spec.target_pk))
-    old = store.read(spec.target, schema=target_ddl(spec), parts=parts)
+    parts = store.touched(spec.target, decided.select(*spec.target_pk), version=version)
+    old = store.read(spec.target, schema=target_ddl(spec), parts=parts, version=version)
     new, effect = apply_from_peer(old, decided, origin, spec, skip_unchanged=hashed)
     return (new if parts is None else Partial(new, parts)), effect
 
@@ -422,11 +480,13 @@ def apply_log(
     name = stream or job.name
     if target.has_batch(name, batch_id):
         return
-    base = target.version
+    base, source_base = target.version, source.version
     with scratch_scope(target.spark):
         # read by every table of the job, so written down once
         collapsed = settle(collapse_mixed(log, job))
-        states, seen_now, flux, errors = {}, {}, [], []
+        states, flux, errors = {}, [], []
+        for spec, bad in zip(job.tables, unknown_ops(log, job), strict=True):
+            errors.append(error_log(bad, job, spec, BAD_OP))
 
         def one(spec: TableSpec) -> None:
             pk = spec.target_pk
@@ -434,20 +494,27 @@ def apply_log(
             if guard:
                 kept = f"{spec.target}__applied"
                 ids = ", ".join(f"`{f.target}` {f.spark_type}" for f in spec.fields if f.pk)
-                seen = target.read(kept, schema=f"{ids}, last_id bigint")
+                parts = target.touched(kept, pending.select(*pk), version=base)
+                seen = target.read(
+                    kept, schema=f"{ids}, last_id bigint", version=base, parts=parts
+                )
                 pending = only_newer(pending, seen, pk)
-                seen_now[kept] = pending.select(*pk, "_log.last_id")
+                # one row per key: the guard does not grow with the number of batches
+                new = pending.select(*pk, "_log.last_id")
+                state = merge(seen, new, pk)
+                states[kept] = state if parts is None else Partial(state, parts)
             # after the guard the keys depend on a second table, so they are settled again
-            decided = decide(source.read(spec.source), pending, spec, settled=not guard)
-            states[spec.target], effect = _apply(target, decided, spec.source, spec)
+            rows = source.read(spec.source, version=source_base)
+            decided, rejected = decide_typed(rows, pending, spec, settled=not guard)
+            states[spec.target], effect = _apply(target, decided, spec.source, spec, base)
             flux.append(job_flux(effect, job, spec, cycle))
-            bad = unreadable_keys(log, spec)
-            errors.append(error_log(bad, job, spec, "unreadable key in the change log"))
+            errors.append(error_log(unreadable_texts(collapsed, spec), job, spec, BAD_KEY))
+            errors.append(error_log(rejected, job, spec, F.col("reason")))
 
         # planning reads log and sources, so tables are planned side by side; they
         # become visible together whatever their stage
         side_by_side(target.spark, one, job.tables)
-        target.commit(states, appends=seen_now, job=name, batch_id=batch_id, base=base)
+        target.commit(states, job=name, batch_id=batch_id, base=base)
         _audit(target, job, flux, errors, cycle, name)
 
 
@@ -462,13 +529,15 @@ def run_cdc(
     """Replay the pending change log, then acknowledge exactly the rows that were taken.
 
     Rows that were replayed but not acknowledged, after a crash, are replayed
-    again, which leads to the same target.
+    again, which leads to the same target. At most ``limit`` rows are taken, by
+    default the ``maxrecords`` that the job declares, if it does.
     """
     number = _cycle(job, target, cycle)
     if source.has_batch(f"{job.name}/ack", number):
         return
+    limit = limit or job.max_records
     with scratch_scope(target.spark):
-        log = source.read(job.source_log, schema=LOG_SCHEMA)
+        log = source.read(job.source_log, schema=LOG_SCHEMA, version=source.version)
         taken = settle(_take(log, job, "source", limit)) if limit else _take(log, job, "source", None)
         _retry(lambda: apply_log(job, taken, source, target, cycle=number))
         _ack(source, job.source_log, taken, job.name, number)
@@ -499,21 +568,32 @@ def _two_way_cycle(
     job: SyncJob, a: SnapshotStore, b: SnapshotStore, number: int, conflict: str
 ) -> None:
     base_a, base_b = a.version, b.version
-    log_a = a.read(job.source_log, schema=LOG_SCHEMA)
-    log_b = b.read(job.target_log, schema=LOG_SCHEMA)
+    log_a = a.read(job.source_log, schema=LOG_SCHEMA, version=base_a)
+    log_b = b.read(job.target_log, schema=LOG_SCHEMA, version=base_b)
     hashed = "row_hash" in log_a.columns and "row_hash" in log_b.columns
-    taken_a, taken_b = _take(log_a, job, "source", None), _take(log_b, job, "target", None)
+    limit = job.max_records
+    taken_a, taken_b = _take(log_a, job, "source", limit), _take(log_b, job, "target", limit)
+    back_job = replace(
+        job,
+        source_db=job.target_db,
+        target_db=job.source_db,
+        tables=tuple(t.reversed() for t in job.tables),
+    )
     with scratch_scope(b.spark):
-        new_a, new_b, flux = {}, {}, []
-        for spec in [t for stage in job.stages() for t in stage]:
+        if limit:
+            taken_a, taken_b = settle(taken_a), settle(taken_b)
+        new_a, new_b, flux, flux_a, errors, errors_a = {}, {}, [], [], [], []
+
+        def one(spec: TableSpec) -> None:
+            back = spec.reversed()
             mark_a, mark_b = f"{spec.source}__applied", f"{spec.target}__applied"
-            seen_a = a.read(mark_a, schema=APPLIED_SCHEMA)
-            seen_b = b.read(mark_b, schema=APPLIED_SCHEMA)
+            seen_a = a.read(mark_a, schema=APPLIED_SCHEMA, version=base_a)
+            seen_b = b.read(mark_b, schema=APPLIED_SCHEMA, version=base_b)
             mine_a = taken_a.where(same_table(spec.source))
             mine_b = taken_b.where(same_table(spec.target))
             plan = exchange(
-                a.read(spec.source),
-                b.read(spec.target, schema=target_ddl(spec)),
+                a.read(spec.source, version=base_a),
+                b.read(spec.target, schema=target_ddl(spec), version=base_b),
                 mine_a,
                 mine_b,
                 spec,
@@ -522,27 +602,65 @@ def _two_way_cycle(
                 conflict=conflict,
                 hashed=hashed,
             )
-            state_b, on_b = _apply(b, plan.to_b, spec.source, spec, hashed)
-            state_a, on_a = _apply(a, plan.to_a, spec.target, spec.reversed(), hashed)
+            state_b, on_b = _apply(b, plan.to_b, spec.source, spec, base_b, hashed)
+            state_a, on_a = _apply(a, plan.to_a, spec.target, back, base_a, hashed)
             # applied rows whose echo has now been seen have done their work
             left_a = suppress_echo(seen_a, mine_a, hashed=hashed)
             left_b = suppress_echo(seen_b, mine_b, hashed=hashed)
-            new_a |= {spec.source: state_a, mark_a: left_a.unionByName(on_a)}
-            new_b |= {spec.target: state_b, mark_b: left_b.unionByName(on_b)}
+            new_a.update({spec.source: state_a, mark_a: left_a.unionByName(on_a)})
+            new_b.update({spec.target: state_b, mark_b: left_b.unionByName(on_b)})
             flux.append(job_flux(on_b, job, spec, number))
+            flux_a.append(job_flux(on_a, back_job, back, number))
+            lost = conflict_rows(plan.conflicts, spec)
+            errors.append(error_log(lost, job, spec, F.col("reason"), level="WARN"))
+            for found, name, one_job, way, bad in (
+                (errors, mine_a, job, spec, plan.rejected_b),
+                (errors_a, mine_b, back_job, back, plan.rejected_a),
+            ):
+                found.append(error_log(unreadable_keys(name, way), one_job, way, BAD_KEY))
+                found.append(error_log(unknown_op_rows(name), one_job, way, BAD_OP))
+                found.append(error_log(bad, one_job, way, F.col("reason")))
+
+        side_by_side(b.spark, one, job.tables)
         b.commit(new_b, base=base_b)
         a.commit(new_a, base=base_a)
         _ack(a, job.source_log, taken_a, job.name, number)
         _ack(b, job.target_log, taken_b, job.name, number)
-        _audit(b, job, flux, [], number)
+        _audit(a, back_job, flux_a, errors_a, number)
+        _audit(b, job, flux, errors, number)
+
+
+def conflict_rows(conflicts: DataFrame, spec: TableSpec) -> DataFrame:
+    """Keys changed on both sides as rejected rows: the losing change, and which side won."""
+    lost = F.when(F.col("winner") == "target", F.col("a_op")).otherwise(F.col("b_op"))
+    reason = F.concat(
+        F.lit("changed on both sides, "), "winner", F.lit(" wins over operation "), lost
+    )
+    same_names = dict(zip(spec.target_pk, spec.pk, strict=True))
+    return conflicts.select(
+        *[F.col(t).alias(s) for t, s in same_names.items()], reason.alias("reason")
+    )
+
+
+# The sequence catalog and the catch-up plan in a store.
+SEQUENCE_TABLE = "sequences"
+PLAN_TABLE = "sequence_plan"
 
 
-def run_sequences(job: SyncJob, source: DataFrame, target: DataFrame) -> DataFrame:
+def run_sequences(
+    job: SyncJob, source: DataFrame | SnapshotStore, target: DataFrame | SnapshotStore
+) -> DataFrame:
     """Catch-up plan for the sequence pairs of the job, named as on the source.
 
     ``source`` and ``target`` are the sequence catalogs of the two sides
-    (``name, last_number, increment_by, cache_size`` and perhaps ``currval``).
+    (``name, last_number, increment_by, cache_size`` and perhaps ``currval``), or
+    stores that hold them as ``sequences``; then the plan is published in the target
+    store as ``sequence_plan``. A pair with a side missing is in the plan, too.
     """
+    if isinstance(source, SnapshotStore):
+        plan = run_sequences(job, source.read(SEQUENCE_TABLE), target.read(SEQUENCE_TABLE))
+        target.commit({PLAN_TABLE: plan})
+        return target.read(PLAN_TABLE)
     spark = source.sparkSession
     pairs = small_frame(
         spark,
@@ -556,7 +674,8 @@ def run_sequences(job: SyncJob, source: DataFrame, target: DataFrame) -> DataFra
         .withColumn("name", F.col("_source"))
         .select(*target.columns)
     )
-    return sequence_plan(wanted, peer)
+    known = pairs.select(F.col("_source").alias("name"))
+    return sequence_plan(wanted, peer, known)
 
 
 # Mode names of the job file.
@@ -571,7 +690,9 @@ MODES: dict[str, Callable[..., Any]] = {
 
 
 def run(job: SyncJob, source: Any, target: Any, **options: Any) -> Any:
-    """Run a job in the mode its ``apptype`` names."""
+    """Run a job in the mode its ``apptype`` names; one that is not active does nothing."""
+    if not job.active:
+        return None
     if job.apptype not in MODES:
         raise ValueError(f"job {job.name}: unknown mode {job.apptype}")
     return MODES[job.apptype](job, source, target, **options)

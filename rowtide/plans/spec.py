@@ -79,6 +79,7 @@ class TableSpec:
     target_deletable: bool = False
     delete_source: bool = False
     only_once: bool = False
+    clob_null_to_empty: bool = False
 
     def __post_init__(self) -> None:
         if not self.fields:
@@ -150,6 +151,7 @@ class TableSpec:
             seqnumber=self.seqnumber,
             insert_only=self.insert_only,
             target_deletable=self.target_deletable,
+            clob_null_to_empty=self.clob_null_to_empty,
         )
 
     @classmethod
@@ -167,6 +169,7 @@ class TableSpec:
             target_deletable=_flag(d.get("target_deletable")),
             delete_source=_flag(d.get("delete_source")),
             only_once=_flag(d.get("only_once")),
+            clob_null_to_empty=_flag(d.get("clob_null_to_empty")),
         )
 
 
@@ -180,7 +183,7 @@ class SyncJob:
     target_db: str = "target"
     source_log: str | None = None
     target_log: str | None = None
-    max_records: int = 1000
+    max_records: int | None = None
     interval: int = 1
     active: bool = True
     description: str = ""
@@ -209,7 +212,7 @@ class SyncJob:
             target_db=d.get("target_db", "target"),
             source_log=d.get("source_log"),
             target_log=d.get("target_log"),
-            max_records=int(d.get("max_records", 1000)),
+            max_records=int(d["max_records"]) if d.get("max_records") else None,
             interval=int(d.get("interval", 1)),
             active=_flag(d.get("active", True)),
             description=d.get("description", ""),
@@ -238,7 +241,7 @@ class SyncJob:
                 "target_db": node.findtext("targetdb", "target"),
                 "source_log": node.findtext("sourcetemptable"),
                 "target_log": node.findtext("targettemptable"),
-                "max_records": node.findtext("maxrecords", "1000"),
+                "max_records": node.findtext("maxrecords"),
                 "interval": node.findtext("interval", "1"),
                 "active": node.findtext("isactive", "true"),
                 "tables": [_table_dict(t) for t in node.iterfind("tables/table")],

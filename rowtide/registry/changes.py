@@ -13,7 +13,6 @@ from rowtide.operators.compare import dedupe
 from rowtide.plans.spec import FieldSpec, SyncJob, TableSpec
 from rowtide.registry import fixtures as fx
 from rowtide.registry.base import query, rows, table, with_tables
-from rowtide.registry.tables import BITS
 from rowtide.sources.log import ack_log, read_log
 from rowtide.sources.scan import read_sequences
 from rowtide.sources.snapshots import latest_checkpoint
@@ -129,7 +128,7 @@ RUNS_MIXED = RUNS.format(part="1", same="last_op = op AND last_table = tablename
 @query("run_batches", f"SELECT id, tablename, op, CAST(run_no AS BIGINT) AS run_no FROM ({RUNS_TABLE}) t")
 def _(spark, sf):
     log = rows(spark, sf, fx.LOG).select("id", "tablename", "op")
-    return changelog.run_batches(log, bits=BITS)
+    return changelog.run_batches(log)
 
 
 @query(
@@ -138,7 +137,24 @@ def _(spark, sf):
 )
 def _(spark, sf):
     log = rows(spark, sf, fx.LOG).select("id", "tablename", "op")
-    return changelog.run_batches(log, by=("op", "tablename"), partition=(), bits=BITS)
+    return changelog.run_batches(log, by=("op", "tablename"), partition=())
+
+
+# The log with ids so far apart that every row has a bucket of its own.
+SPARSE_LOG = f"""SELECT id * 70000000000 AS id, dbname, tablename, pks, op, op_time FROM ({fx.LOG}) l"""
+SPARSE_PEER = f"""SELECT id * 70000000000 AS id, tablename, pks, op FROM ({fx.PEER}) p"""
+SPARSE_RUNS = RUNS.format(
+    part="1", same="last_op = op AND last_table = tablename", log=SPARSE_LOG
+)
+
+
+@query(
+    "run_batches_sparse",
+    f"SELECT id, tablename, op, CAST(run_no AS BIGINT) AS run_no FROM ({SPARSE_RUNS}) t",
+)
+def _(spark, sf):
+    log = rows(spark, sf, SPARSE_LOG).select("id", "tablename", "op")
+    return changelog.run_batches(log, by=("op", "tablename"), partition=())
 
 
 @query(
@@ -149,7 +165,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     log = rows(spark, sf, fx.LOG).select("id", "tablename", "op")
-    runs = changelog.run_batches(log, bits=BITS)
+    runs = changelog.run_batches(log)
     return changelog.run_sizes(runs, ["op"], ["tablename"])
 
 
@@ -377,7 +393,16 @@ ECHO_FREE = """SELECT {columns} FROM (SELECT *, row_number() OVER
 )
 def _(spark, sf):
     log, peer = rows(spark, sf, fx.LOG), rows(spark, sf, fx.PEER)
-    return twoway.suppress_echo(log, peer, bits=BITS).select("id", "tablename", "pks", "op")
+    return twoway.suppress_echo(log, peer).select("id", "tablename", "pks", "op")
+
+
+@query(
+    "suppress_echo_sparse",
+    ECHO_FREE.format(columns="id, tablename, pks, op", captured=SPARSE_LOG, applied=SPARSE_PEER),
+)
+def _(spark, sf):
+    log, peer = rows(spark, sf, SPARSE_LOG), rows(spark, sf, SPARSE_PEER)
+    return twoway.suppress_echo(log, peer).select("id", "tablename", "pks", "op")
 
 
 def _pending(log: str, applied: str) -> str:

@@ -15,8 +15,6 @@ from rowtide.registry import fixtures as fx
 from rowtide.registry.base import query, rows, table, with_tables
 from rowtide.sources import scan
 
-# Small buckets, so that the test data fills many of them.
-BITS = 10
 
 
 @query("scan_mapped", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
@@ -31,7 +29,21 @@ def _(spark, sf):
 )
 def _(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey")
-    return paginate(orders, ["o_orderkey"], 1000, bits=BITS)
+    return paginate(orders, ["o_orderkey"], 1000)
+
+
+# Ids so far apart that every row has a bucket of its own; some rows have none.
+SPARSE = """SELECT CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderkey * 70000000000 END AS k,
+                   o_custkey FROM orders"""
+
+
+@query(
+    "paginate_sparse",
+    f"""SELECT k, row_no, CAST(floor((row_no - 1) / 1000) AS BIGINT) + 1 AS page_no
+        FROM (SELECT k, row_number() OVER (ORDER BY k NULLS FIRST) AS row_no FROM ({SPARSE}) s) q""",
+)
+def _(spark, sf):
+    return paginate(rows(spark, sf, SPARSE), ["k"], 1000).select("k", "row_no", "page_no")
 
 
 @query(
