@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Rows per Arrow batch: a few MB of ordinary documents, some tens of MB of very long ones.
 BATCH_ROWS = 512
+# Rows of two longs that are broadcast at most: about 60 MB.
+BROADCAST_ROWS = 1 << 20
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -49,12 +51,6 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def parts_for(rows: int, per_part: int, least: int = 1, most: int | None = None) -> int:
-    """How many parts hold ``rows`` at ``per_part`` each."""
-    wanted = max(least, -(-rows // per_part))
-    return wanted if most is None else min(wanted, most)
-
-
 def quoted(name: str) -> str:
     """A column's name as Spark reads it literally, dots and all."""
     return "`" + name.replace("`", "``") + "`"
@@ -91,3 +87,21 @@ def per_process(key: tuple, make: Callable[[], Any]) -> Any:
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows that ``gone`` (written already) names by ``_id`` and ``_raw``.
+
+    ``_raw`` is :func:`raw_hash` of the text, so that rows which share an identifier are
+    told apart. Up to ``BROADCAST_ROWS`` rows of two longs the list goes to the texts;
+    beyond that Spark joins as it sees fit.
+    """
+    listed = gone.select(F.col("_id").alias("_gone_id"), F.col("_raw").alias("_gone_raw"))
+    if gone.count() <= BROADCAST_ROWS:
+        listed = F.broadcast(listed)
+    mine = F.col(quoted(id_col)).cast("long").eqNullSafe(listed["_gone_id"])
+    return docs.join(listed, mine & (raw_hash(text_col) == listed["_gone_raw"]), "left_anti")
+
+
+def raw_hash(text_col: str) -> Column:
+    return F.xxhash64(whole(F.col(quoted(text_col))))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import ascii_lower, free_name, quoted, whole
+from rowtide.llm.common import ascii_lower, free_name, quoted, raw_hash, whole, without
 from rowtide.session import settle
 
 # Runs merged at once: 2**BITS.
@@ -34,11 +34,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Identifier, SHA-256, what verifies it, and the run of each row; written once."""
     text = ascii_lower(whole(F.col(quoted(text_col))))
     return settle(
-        docs.select(F.col(quoted(id_col)).cast("long").alias("_id"), text.alias("_text")).select(
+        docs.select(
+            F.col(quoted(id_col)).cast("long").alias("_id"),
+            text.alias("_text"),
+            raw_hash(text_col).alias("_raw"),
+        ).select(
             "_id",
             sha256(F.col("_text")).alias("_sha"),
             F.octet_length("_text").cast("long").alias("_size"),
             F.xxhash64("_text").alias("_check"),
+            "_raw",
             F.spark_partition_id().alias("_run"),
         )
     )
@@ -139,31 +144,29 @@ def keep_one(
 ) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    What goes is looked up, not what stays: copies are far fewer than documents.
+    What goes is looked up, not what stays: copies are far fewer than documents. Rows that
+    repeat the identifier that stays are taken out, too, but for one.
     """
     rows = digests(docs, id_col, text_col)
-    found = classify(rows, bits, keep)
-    gone = settle(found.where(~F.col("kept")).select("_id", "_sha"))
-    many = rows.groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
-    dead = gone.select(F.col("_id").alias("_gone"), F.col("_sha").alias("_gone_text"))
-    again = settle(
-        many.join(
-            dead,
-            F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_text")),
-            "left_anti",
-        ).select("_id", "_sha")
+    groups = settle(merge_runs(rows, bits, keep).where("_n > 1"))
+    found = rows.select("_id", "_sha", "_raw").join(groups, "_sha")
+    best = F.col("_id").eqNullSafe(F.col("_best"))
+    # one row for each spelling of the text that the identifier which stays comes with
+    stay = settle(
+        found.where(best).groupBy("_sha", "_id", "_raw").agg(F.count(F.lit(1)).alias("_times"))
     )
-    names = [free_name(docs, "_gone_id"), free_name(docs, "_gone_sha")]
+    first = stay.groupBy("_sha").agg(F.min("_raw").alias("_first"))
+    stay = stay.join(first, "_sha")
+    other = stay.where("_raw <> _first").select("_id", "_raw")
+    gone = settle(found.where(~best).select("_id", "_raw").union(other).distinct())
+    again = settle(stay.where("_raw = _first and _times > 1").select("_id", "_raw"))
+    left = without(docs, gone, id_col, text_col)
+    if again.isEmpty():
+        return left
+    names = [free_name(docs, "_one_id"), free_name(docs, "_one_raw")]
     keyed = docs.withColumns(
-        {names[0]: F.col(quoted(id_col)).cast("long"), names[1]: sha256(ascii_lower(whole(F.col(quoted(text_col)))))}
+        {names[0]: F.col(quoted(id_col)).cast("long"), names[1]: raw_hash(text_col)}
     )
-
-    def matches(side: DataFrame):
-        return keyed[names[0]].eqNullSafe(side["_id"]) & (keyed[names[1]] == side["_sha"])
-
-    if again.isEmpty():
-        return keyed.join(gone, matches(gone), "left_anti").drop(*names)
-    both = gone.union(again)
-    single = keyed.join(both, matches(both), "left_anti")
-    first = keyed.join(again, matches(again), "left_semi").dropDuplicates(names)
-    return single.union(first).drop(*names)
+    same = keyed[names[0]].eqNullSafe(again["_id"]) & (keyed[names[1]] == again["_raw"])
+    once = keyed.join(again, same, "left_semi").dropDuplicates(names).drop(*names)
+    return without(left, again, id_col, text_col).union(once)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import bounded_batches, quoted, whole
+from rowtide.llm.common import bounded_batches, quoted, raw_hash, whole, without
 from rowtide.session import settle
 
 # Rows that the text model is fitted on at most (expected), and languages at most.
@@ -148,7 +148,7 @@ def evidence(
     host = none if host is None else host.cast("string")
     slim = rows.select(
         F.col(quoted(id_col)).alias("_id"),
-        F.xxhash64(text).alias("_check"),
+        raw_hash(text_col).alias("_check"),
         (none if declared is None else F.lower(F.substring(declared.cast("string"), 1, 2))).alias("_declared"),
         (none if address is None else address_code(address)).alias("_code"),
         host.alias("_host"),
@@ -259,11 +259,8 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that identification rejects, all columns as they were."""
-    gone = settle(identify_documents(docs).where("rejected").select(
-        F.col("_id").alias("_gone_id"), F.col("_check").alias("_gone_text")
-    ).distinct())
-    mine = F.col("doc_id").eqNullSafe(gone["_gone_id"])
-    return docs.join(gone, mine & (F.xxhash64(whole(F.col("text"))) == gone["_gone_text"]), "left_anti")
+    gone = identify_documents(docs).where("rejected").select("_id", F.col("_check").alias("_raw"))
+    return without(docs, settle(gone.distinct()))
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import bounded_batches, quoted, whole
+from rowtide.llm.common import bounded_batches, quoted, raw_hash, whole, without
 from rowtide.llm.components import components
 from rowtide.llm.vptree import LEAF, join_labels, spanning_links
 from rowtide.session import settle
@@ -83,7 +83,7 @@ def fingerprints(
     text = whole(F.col(quoted(text_col)))
     return docs.select(
         F.col(quoted(id_col)).cast("long").alias("_id"),
-        F.xxhash64(text).alias("_check"),
+        raw_hash(text_col).alias("_check"),
         text.alias("_text"),
     ).mapInArrow(work, "_id long, _check long, _fp long")
 
@@ -224,10 +224,8 @@ def keep_one_of_group(
     """``docs`` without those that another document of their component stands for."""
     rows = near_groups(settle(fingerprints(docs, id_col, text_col, words)), radius)
     gone = settle(
-        rows.where(~F.col("_id").eqNullSafe(F.col("component_id"))).select(
-            F.col("_id").alias("_gone_id"), F.col("_check").alias("_gone_text")
-        )
+        rows.where(~F.col("_id").eqNullSafe(F.col("component_id")))
+        .select("_id", F.col("_check").alias("_raw"))
+        .distinct()
     )
-    mine = F.col(quoted(id_col)).cast("long").eqNullSafe(gone["_gone_id"])
-    same = F.xxhash64(whole(F.col(quoted(text_col)))) == gone["_gone_text"]
-    return docs.join(gone, mine & same, "left_anti")
+    return without(docs, gone, id_col, text_col)
