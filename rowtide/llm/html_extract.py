@@ -1,6 +1,6 @@
 """Main text of web pages, from their markup and from what the pages of a host share.
 
-A page is read once into blocks. Those inside an article (or main) element that no
+A page is read into blocks. Those inside an article (or main) element that no
 boilerplate element or mark encloses are its main text. All other text is boilerplate if
 the markup says so, and otherwise open.
 
@@ -24,6 +24,7 @@ url); an empty table gives no rows; pages of any length are read whole.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from html import unescape
 
@@ -195,15 +196,15 @@ def suffix_classes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _streams(table: pa.Table) -> dict[str, list[tuple[int, int, np.ndarray]]]:
-    """For each host the pages' (row, page key, token codes) of what is not their article."""
+    """For each host the pages' (row name, page name, token codes) of what is not their article."""
     streams = defaultdict(list)
     digest = xxhash.xxh64_intdigest
-    columns = [table.column(c).to_pylist() for c in ("_uid", "_page", "_host", "_others")]
-    for uid, page, host, others in zip(*columns, strict=True):
+    columns = [table.column(c).to_pylist() for c in ("_row", "_page", "_host", "_others")]
+    for row, page, host, others in zip(*columns, strict=True):
         words = [w for block in others for w in block["text"].split()]
         if len(words) >= RUN:
             codes = np.fromiter((digest(w.encode()) for w in words), np.uint64, len(words))
-            streams[host].append((uid, page, codes))
+            streams[host].append((row, page, codes))
     return streams
 
 
@@ -254,52 +255,59 @@ def _positions(batches):
                 [
                     pa.array([host] * sum(counts), pa.string()),
                     pa.array(np.repeat(np.array([u for u, _, _ in pages]), counts)),
-                    pa.array(np.concatenate([np.arange(n) for n in counts])),
+                    pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in counts])),
                     pa.array(np.concatenate([_grams(c) for _, _, c in pages]).view(np.int64)),
                 ],
-                ["_host", "_uid", "_pos", "_gram"],
+                ["_host", "_row", "_pos", "_gram"],
             )
 
 
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("drop", pa.bool_())]))
+
+
 def parse_pages(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
-    """Each page's main text, and its other blocks, written once."""
+    """Each page's main text (compressed), and its other blocks.
+
+    ``_row`` names a row by all that is read of it, ``_page`` by its id and address.
+    """
     bounded_batches(pages.sparkSession)
-    schema = "page_id {id}, url string, _page long, _host string, _main string, _others array<struct<text: string, drop: boolean>>"
+    names = ["page_id", "url", "_row", "_page"]
 
     def work(batches):
         for batch in batches:
             read = [read_page(h) for h in batch.column("_html").to_pylist()]
-            urls = batch.column("url")
+            main = [" ".join(m).encode() for m, _ in read]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("page_id"),
-                    urls,
-                    batch.column("_page"),
-                    pa.array([host_of(u) for u in urls.to_pylist()], pa.string()),
-                    pa.array([" ".join(m) for m, _ in read], pa.string()),
-                    pa.array(
-                        [[{"text": t, "drop": d} for t, d in o] for _, o in read],
-                        pa.list_(pa.struct([("text", pa.string()), ("drop", pa.bool_())])),
-                    ),
+                    *[batch.column(c) for c in names],
+                    pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string()),
+                    pa.array([zlib.compress(m, 1) if m else None for m in main], pa.binary()),
+                    pa.array([[{"text": t, "drop": d} for t, d in o] for _, o in read], _BLOCKS),
                 ],
-                ["page_id", "url", "_page", "_host", "_main", "_others"],
+                [*names, "_host", "_main", "_others"],
             )
 
+    html = whole(F.col(quoted(html_col)))
     slim = pages.select(
         F.col(quoted(id_col)).alias("page_id"),
         F.col(quoted(url_col)).cast("string").alias("url"),
+        F.xxhash64(quoted(id_col), quoted(url_col), html).alias("_row"),
         F.xxhash64(quoted(id_col), quoted(url_col)).alias("_page"),
-        whole(F.col(quoted(html_col))).alias("_html"),
+        html.alias("_html"),
+    )
+    kind = slim.schema["page_id"].dataType.simpleString()
+    schema = (
+        f"page_id {kind}, url string, _row long, _page long, _host string, _main binary, "
+        "_others array<struct<text: string, drop: boolean>>"
     )
-    parsed = slim.mapInArrow(work, schema.format(id=slim.schema["page_id"].dataType.simpleString()))
-    return settle(parsed.withColumn("_uid", F.monotonically_increasing_id()))
+    return slim.mapInArrow(work, schema)
 
 
 def covered_positions(parsed: DataFrame) -> DataFrame:
-    """``_uid _covered``: for pages with shared substrings, where RUN covered tokens begin."""
-    slim = parsed.select("_uid", "_page", "_host", "_others")
+    """``_row _covered``: for pages with shared substrings, where RUN covered tokens begin."""
+    slim = settle(parsed.select("_row", "_page", "_host", "_others"))
     shared = settle(
         slim.mapInArrow(_shared_classes, "_host string, _gram long, _least long, _most long")
         .groupBy("_host", "_gram")
@@ -308,30 +316,32 @@ def covered_positions(parsed: DataFrame) -> DataFrame:
         .select("_host", "_gram")
     )
     return (
-        slim.mapInArrow(_positions, "_host string, _uid long, _pos long, _gram long")
+        slim.mapInArrow(_positions, "_host string, _row long, _pos int, _gram long")
         .join(shared, ["_host", "_gram"], "left_semi")
-        .groupBy("_uid")
-        .agg(F.collect_list("_pos").alias("_covered"))
+        .groupBy("_row")
+        .agg(F.collect_set("_pos").alias("_covered"))
     )
 
 
-def unique_runs(others: list[dict], covered: list[int] | None) -> tuple[str, int]:
-    """Open text without covered tokens, and how many tokens of the page are covered."""
+def covered_tokens(covered: list[int] | None) -> np.ndarray:
+    """The numbers of the tokens that runs of RUN tokens from these positions on cover."""
+    at = np.array(covered or [], np.int64)
+    return np.unique(at[:, None] + np.arange(RUN)[None, :])
+
+
+def unique_runs(others: list[dict], covered: np.ndarray) -> str:
+    """Open text without covered tokens."""
     words, keep = [], []
     for block in others:
         own = block["text"].split()
         words += own
         keep += [not block["drop"]] * len(own)
-    hit = np.zeros(len(words) + 1, np.int64)
-    at = np.array(covered or [], np.int64)
-    hit[at] += 1
-    np.subtract.at(hit, np.minimum(at + RUN, len(words)), 1)
-    repeated = np.cumsum(hit)[:-1] > 0
     open_ = np.array(keep, bool)
-    left = open_ & ~repeated
+    left = open_.copy()
+    left[covered] = False
     if left.sum() < (1 - COPY) * open_.sum():
         left = open_
-    return " ".join(words[i] for i in np.flatnonzero(left).tolist()), int(repeated.sum())
+    return " ".join(words[i] for i in np.flatnonzero(left).tolist())
 
 
 def extract_main_text(
@@ -347,24 +357,28 @@ def extract_main_text(
 
     def work(batches):
         for batch in batches:
-            found = [
-                unique_runs(o, c)
-                for o, c in zip(batch.column("_others").to_pylist(), batch.column("_covered").to_pylist())
-            ]
-            text = [m or f for m, (f, _) in zip(batch.column("_main").to_pylist(), found, strict=True)]
+            covered = [covered_tokens(c) for c in batch.column("_covered").to_pylist()]
+            rows = zip(
+                batch.column("_main").to_pylist(), batch.column("_open").to_pylist(), covered, strict=True
+            )
+            text = [zlib.decompress(m).decode() if m else unique_runs(o, c) for m, o, c in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id"),
                     batch.column("url"),
                     pa.array(text, pa.string()),
-                    pa.array([n for _, n in found], pa.int64()),
+                    pa.array([len(c) for c in covered], pa.int64()),
                 ],
                 names,
             )
 
+    # pages are read a second time here: cheaper than to keep all texts between the passes
+    texts = parsed.select(
+        "page_id", "url", "_row", "_main", F.when(F.col("_main").isNull(), F.col("_others")).alias("_open")
+    )
     return (
-        parsed.join(covered_positions(parsed), "_uid", "left")
-        .select("page_id", "url", "_main", "_others", "_covered")
+        texts.join(covered_positions(parsed), "_row", "left")
+        .select("page_id", "url", "_main", "_open", "_covered")
         .mapInArrow(work, f"page_id {kind}, url string, text string, n_repeated long")
         .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
     )
