@@ -235,7 +235,7 @@ def _retry(commit: Callable[[], Any]) -> None:
                 raise
 
 
-def _audit(
+def publish_audit(
     target: SnapshotStore,
     job: SyncJob,
     flux: Sequence[DataFrame],
@@ -243,6 +243,8 @@ def _audit(
     cycle: int,
     name: str | None = None,
 ) -> None:
+    """Replace the flux rows of the job's tables, and add to the error log."""
+
     def commit() -> None:
         tables, appends, base = {}, {}, target.version
         if flux:
@@ -345,7 +347,7 @@ def _run_tables(
         done = [(t, results[t.source]) for t in job.tables]
         flux = [job_flux(r.changes, job, t, cycle) for t, r in done]
         errors = [error_log(r.rejected, job, t, F.col("reason")) for t, r in done]
-        _audit(target, job, flux, errors, cycle)
+        publish_audit(target, job, flux, errors, cycle)
 
 
 def target_ddl(spec: TableSpec) -> str:
@@ -515,7 +517,7 @@ def apply_log(
         # become visible together whatever their stage
         side_by_side(target.spark, one, job.tables)
         target.commit(states, job=name, batch_id=batch_id, base=base)
-        _audit(target, job, flux, errors, cycle, name)
+        publish_audit(target, job, flux, errors, cycle, name)
 
 
 def run_cdc(
@@ -626,8 +628,8 @@ def _two_way_cycle(
         a.commit(new_a, base=base_a)
         _ack(a, job.source_log, taken_a, job.name, number)
         _ack(b, job.target_log, taken_b, job.name, number)
-        _audit(a, back_job, flux_a, errors_a, number)
-        _audit(b, job, flux, errors, number)
+        publish_audit(a, back_job, flux_a, errors_a, number)
+        publish_audit(b, job, flux, errors, number)
 
 
 def conflict_rows(conflicts: DataFrame, spec: TableSpec) -> DataFrame:

@@ -12,7 +12,7 @@ from rowtide.registry import fixtures as fx
 from rowtide.registry.base import query, rows, table, with_tables
 from rowtide.session import scratch_path
 from rowtide.sources.log import read_log_stream
-from rowtide.sources.snapshots import SnapshotStore
+from rowtide.sources.snapshots import Parts, SnapshotStore
 from rowtide.streaming import streams
 
 PLAIN = "SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status FROM orders"
@@ -202,6 +202,111 @@ def _(spark, sf):
     )
 
 
+# -- what is turned away, and what happens between reading and publishing ---------------
+
+ERRORS = "pk_value, audit_error, source_table_name"
+
+
+def _errors(store: SnapshotStore) -> DataFrame:
+    names = [c.strip() for c in ERRORS.split(",")]
+    return store.read(jobs.ERROR_TABLE).select(*names)
+
+
+# Events without a marker belong to no slice.
+UNDATED = """SELECT event_id, CASE WHEN event_id % 10 = 3 THEN NULL ELSE ts END AS ts, user_id, event_type
+             FROM events"""
+
+
+def _dated_job() -> SyncJob:
+    return SyncJob(name="events", apptype="db_sjbj", tables=(EVENTS,))
+
+
+@query(
+    "date_marker_errors",
+    f"""SELECT concat('event_id;BIGINT;', CAST(event_id AS STRING), ';') AS pk_value,
+               'marker is missing' AS audit_error, 'events' AS source_table_name
+        FROM ({UNDATED}) q WHERE ts IS NULL""",
+)
+def _(spark, sf):
+    source, target = _store(spark, "source"), _store(spark, "target")
+    source.commit({"events": rows(spark, sf, UNDATED)})
+    jobs.run(_dated_job(), source, target)
+    return _errors(target)
+
+
+@query(
+    "job_date_marker_cycles",
+    """SELECT event_id, ts AS seen_at, user_id, event_type FROM events e,
+              (SELECT min(ts) AS lo, max(ts) AS hi FROM events) b
+       WHERE ts < lo + to_seconds(60 * CAST(floor((epoch_us(hi) - epoch_us(lo) - 1) / 60000000) AS BIGINT))""",
+)
+def _(spark, sf):
+    """Two cycles; between them the source gets its later rows."""
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    half = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    source, target = _store(spark, "source"), _store(spark, "target")
+    source.commit({"events": events.where(F.col("event_id") <= half)})
+    jobs.run(_dated_job(), source, target)
+    source.commit(appends={"events": events.where(F.col("event_id") > half)})
+    jobs.run(_dated_job(), source, target)
+    return target.read("events_copy")
+
+
+# The log with keys that are no numbers and operations that are none.
+BAD_LOG = f"""
+SELECT id, dbname, tablename,
+       CASE WHEN id % 50 = 7 THEN 'user_id;NUMBER;none;' ELSE pks END AS pks,
+       CASE WHEN id % 50 = 8 THEN 'X' ELSE op END AS op, op_time
+FROM ({fx.LOG}) l"""
+BAD_OPS = f"""SELECT pks AS pk_value, 'unknown operation in the change log' AS audit_error,
+                     concat('t', right(tablename, 1)) AS source_table_name
+              FROM ({BAD_LOG}) q WHERE op = 'X'"""
+BAD_KEYS = f"""SELECT DISTINCT pks AS pk_value, 'unreadable key in the change log' AS audit_error,
+                      concat('t', right(tablename, 1)) AS source_table_name
+               FROM ({BAD_LOG}) q WHERE pks LIKE '%none%' AND op IN ('I', 'U')"""
+
+
+@query("job_cdc_errors", f"{BAD_OPS} UNION ALL {BAD_KEYS}")
+def _(spark, sf):
+    source, target = _store(spark, "source"), _store(spark, "target")
+    source.commit(
+        ch.split_by_table(rows(spark, sf, fx.STATE)) | {"change_log": rows(spark, sf, BAD_LOG)}
+    )
+    target.commit(ch.split_by_table(rows(spark, sf, fx.STALE), "_copy"))
+    jobs.run_cdc(fx.users_job(), source, target)
+    return _errors(target)
+
+
+@query("job_cdc_parts", ch.many_sql())
+def _(spark, sf):
+    """Log in spans of ids, targets in parts by key: only touched parts are written anew."""
+    layout = {f"t{m}_copy": Parts(("user_id",), count=16) for m in range(3)}
+    source = SnapshotStore(
+        spark, scratch_path(spark, "source"), {"change_log": Parts(("id",), span_bits=10)}
+    )
+    target = SnapshotStore(spark, scratch_path(spark, "target"), layout)
+    source.commit(
+        ch.split_by_table(rows(spark, sf, fx.STATE)) | {"change_log": rows(spark, sf, fx.LOG)}
+    )
+    target.commit(ch.split_by_table(rows(spark, sf, fx.STALE), "_copy"))
+    jobs.run_cdc(fx.users_job(), source, target)
+    return _copies(target)
+
+
+@query("job_marker_parts", "SELECT o_orderkey, o_totalprice, 1 AS sync_flag FROM orders")
+def _(spark, sf):
+    """Source in parts by key: only parts with flagged rows are written anew."""
+    source = SnapshotStore(
+        spark, scratch_path(spark, "source"), {"orders": Parts(("o_orderkey",), count=16)}
+    )
+    target = _store(spark, "target")
+    source.commit({"orders": rows(spark, sf, fx.FLAGGED)})
+    target.commit({"orders_copy": rows(spark, sf, fx.TARGET)})
+    job = SyncJob(name="marked", apptype="db_bj", tables=(fx.orders_spec(flag=FLAG),))
+    jobs.run(job, source, target)
+    return source.read("orders").select("o_orderkey", "o_totalprice", "sync_flag")
+
+
 # -- streams ------------------------------------------------------------------------------
 
 

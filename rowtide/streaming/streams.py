@@ -15,10 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rowtide.operators.audit import error_log
+from rowtide.operators.audit import error_log, job_flux
 from rowtide.operators.slices import SLICE_SECONDS, next_position
 from rowtide.operators.twoway import APPLIED_SCHEMA, suppress_echo
-from rowtide.plans.jobs import ERROR_TABLE, apply_log, full_table, run, target_of
+from rowtide.plans.jobs import (
+    ERROR_TABLE,
+    NO_MARKER,
+    apply_log,
+    full_table,
+    publish_audit,
+    run,
+    target_of,
+)
 from rowtide.plans.spec import SyncJob, TableSpec
 from rowtide.session import scratch_scope
 from rowtide.sources.scan import scan
@@ -86,14 +94,16 @@ def stream_full(
     def handle(batch: DataFrame, number: int) -> None:
         name = _stream_name(batch, f"{job.name}/{spec.source}")
         base = target.version
-        old, parts = target_of(target, spec, batch)
+        old, parts = target_of(target, spec, batch, version=base)
         result = replace(full_table(batch, old, spec), parts=parts)
         errors = error_log(result.rejected, job, spec, F.col("reason"))
         if result.added is None:
             tables, appends = {spec.target: result.state()}, {ERROR_TABLE: errors}
         else:
             tables, appends = {}, {spec.target: result.added, ERROR_TABLE: errors}
-        target.commit(tables, appends=appends, job=name, batch_id=number, base=base)
+        if target.commit(tables, appends=appends, job=name, batch_id=number, base=base):
+            flux = job_flux(result.changes, job, spec, number)
+            publish_audit(target, job, [flux], [], number, name)
 
     once = spec.only_once if once is None else once
     return start(stream, handle, checkpoint, once=once, interval=job.interval)
@@ -160,8 +170,8 @@ def stream_date_marker(
     """Upsert complete time slices as rows arrive.
 
     Rows of the slice still being filled wait in ``<source>__waiting``. A row
-    stamped before the saved position is too late; it goes to the error log
-    instead of vanishing.
+    stamped before the saved position is too late, one without a stamp belongs to
+    no slice; both go to the error log instead of vanishing.
     """
     ts = spec.marker_column
     waiting_table = f"{spec.source}__waiting"
@@ -172,22 +182,25 @@ def stream_date_marker(
             return
         spark, base = batch.sparkSession, target.version
         fresh = scan(batch, spec)
-        position = load_checkpoint(target, job.name, spec.source)
+        position = load_checkpoint(target, job.name, spec.source, version=base)
+        undated = fresh.where(F.col(ts).isNull())
+        fresh = fresh.where(F.col(ts).isNotNull())
         late = fresh.limit(0)
         if position is not None:
             late = fresh.where(F.col(ts) < F.lit(position))
             fresh = fresh.where(F.col(ts) >= F.lit(position))
-        waiting = target.read(waiting_table, schema=fresh._jdf.schema().toDDL())
+        waiting = target.read(waiting_table, schema=fresh._jdf.schema().toDDL(), version=base)
         known = waiting.unionByName(fresh)
         reached = next_position(known, ts, position, seconds).first()[0]
         too_late = "row is older than the saved position"
-        appends = {ERROR_TABLE: error_log(late, job, spec, too_late)}
+        errors = error_log(late, job, spec, too_late)
+        appends = {ERROR_TABLE: errors.unionByName(error_log(undated, job, spec, NO_MARKER))}
         if reached is None:
             tables = {waiting_table: known}
             target.commit(tables, appends=appends, job=name, batch_id=number, base=base)
             return
         ready = known.where(F.col(ts) < F.lit(reached))
-        old, parts = target_of(target, spec, ready)
+        old, parts = target_of(target, spec, ready, version=base)
         result = replace(full_table(ready, old, spec), parts=parts)
         rejected = error_log(result.rejected, job, spec, F.col("reason"))
         appends[ERROR_TABLE] = appends[ERROR_TABLE].unionByName(rejected)
@@ -198,7 +211,9 @@ def stream_date_marker(
             spec.target: result.state(),
             waiting_table: known.where(F.col(ts) >= F.lit(reached)),
         }
-        target.commit(tables, appends=appends, job=name, batch_id=number, base=base)
+        if target.commit(tables, appends=appends, job=name, batch_id=number, base=base):
+            flux = job_flux(result.changes, job, spec, number)
+            publish_audit(target, job, [flux], [], number, name)
 
     return start(stream, handle, checkpoint, once=once, interval=job.interval)
 
@@ -231,7 +246,7 @@ def stream_echo(
 
     def handle(batch: DataFrame, number: int) -> None:
         base = store.version
-        pending = store.read(PENDING_ECHO, schema=APPLIED_SCHEMA)
+        pending = store.read(PENDING_ECHO, schema=APPLIED_SCHEMA, version=base)
         columns = pending.columns
         captured = batch.where(F.col("side") == "captured").select(*columns)
         applied = pending.unionByName(batch.where(F.col("side") == "applied").select(*columns))
