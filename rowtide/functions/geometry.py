@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _part(text: Column, name: str) -> Column:
-    """Value of one member of the text, without quotes; empty if it is not there."""
-    return F.regexp_extract(text, rf"""[{{,]\s*["']?{name}["']?\s*:\s*["']*([^,"'}}]*)""", 1)
+# How lax the text may be, and its members; all are read as text first.
+_LAX = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowNonNumericNumbers": "true"}
+_MEMBERS = "g string, s string, x string, y string, z string, e string, o string"
 
 
 def _joined(array: Column) -> Column:
@@ -49,10 +49,11 @@ def split_numbers(text: Column, element: str) -> Column:
 
 def geometry_from_text(text: Column) -> Column:
     """Text to struct ``(g, s, x, y, z, e, o)``; unreadable text gives NULL."""
+    part = F.from_json(text, _MEMBERS, _LAX).getField
     value = F.struct(
-        *[_part(text, name).try_cast("int").alias(name) for name in ("g", "s")],
-        *[_part(text, name).try_cast("double").alias(name) for name in ("x", "y", "z")],
-        split_numbers(_part(text, "e"), "int").alias("e"),
-        split_numbers(_part(text, "o"), "double").alias("o"),
+        *[part(name).try_cast("int").alias(name) for name in ("g", "s")],
+        *[part(name).try_cast("double").alias(name) for name in ("x", "y", "z")],
+        split_numbers(part("e"), "int").alias("e"),
+        split_numbers(part("o"), "double").alias("o"),
     )
-    return F.when(_part(text, "g").try_cast("int").isNotNull(), value)
+    return F.when(part("g").try_cast("int").isNotNull(), value)

@@ -18,6 +18,7 @@ from rowtide.operators.numbering import (
     upper_levels,
 )
 from rowtide.plans.spec import TableSpec
+from rowtide.session import settle
 
 # Op letters and the small numbers they are aggregated as.
 OP_CODES = {"I": 0, "U": 1, "D": 2}
@@ -90,7 +91,8 @@ def capture_changes(
     side = "target" if reverse else "source"
     columns = [getattr(f, side) for f in spec.fields]
     pk = spec.target_pk if reverse else spec.pk
-    changes = changed_rows(before.select(*columns), after.select(*columns), pk, ops=ops)
+    # numbering looks at the changes twice; the join of both snapshots must run once
+    changes = settle(changed_rows(before.select(*columns), after.select(*columns), pk, ops=ops))
     numbered = number_rows(changes, pk, out="_no")
     when = F.current_timestamp() if op_time is None else F.lit(op_time)
     table = spec.target if reverse else spec.source
