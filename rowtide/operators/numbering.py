@@ -17,6 +17,8 @@ from rowtide.session import settle
 BUCKET_BITS = 20
 LEVEL_BITS = 20
 
+_NARROW = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 # The buckets of rows without an id, below all others.
 NO_ID = -(1 << 62)
 NO_ID_BUCKETS = 1024
@@ -93,8 +95,9 @@ def number_rows(
 
 
 def _number_by_bucket(df: DataFrame, key: str, out: str, bits: int) -> DataFrame:
-    hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    tagged = df.withColumn("_bucket", bucket_of(key, bits, hashed))
+    # rows without an id are spread by a narrow column or two: counting reads those, too
+    narrow = [f.name for f in df.schema if f.name != key and isinstance(f.dataType, _NARROW)]
+    tagged = df.withColumn("_bucket", bucket_of(key, bits, narrow[:2]))
     counts = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
     return (

@@ -22,6 +22,10 @@ from rowtide.sources.scan import fetch_by_keys
 APPLIED_SCHEMA = "origin string, tablename string, pks string, op string, id bigint, row_hash bigint"
 
 
+# Shares in which the changes of a key are looked up.
+SALTS = 32
+
+
 def _echo_group(df: DataFrame, hashed: bool) -> DataFrame:
     parts = {"_table": F.upper("tablename"), "_pks": F.col("pks"), "_op": F.col("op")}
     if hashed:
@@ -48,9 +52,13 @@ def suppress_echo(
     group = ["_digest", "_table", "_pks", "_op", *(["_hash"] if hashed else [])]
     budget = _echo_group(applied, hashed).groupBy(*group).agg(F.count(F.lit(1)).alias("_budget"))
     every = _echo_group(captured, hashed)
-    # most changes have no echo to wait for: they pass without being counted or sorted
-    free = every.join(budget, group, "left_anti").select(*captured.columns)
-    tagged = every.join(budget, group, "left_semi").withColumn("_bucket", bucket_of("id", bits))
+    # most changes have no echo to wait for: they pass without being counted or sorted.
+    # Salted, so that a key that fills the log is looked up by many tasks.
+    salted = every.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    each = budget.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    by = [*group, "_salt"]
+    free = salted.join(each, by, "left_anti").select(*captured.columns)
+    tagged = salted.join(each, by, "left_semi").drop("_salt").withColumn("_bucket", bucket_of("id", bits))
     counts = tagged.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     spent = (
         earlier_sums(counts, group, levels=upper_levels(bits))

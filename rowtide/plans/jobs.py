@@ -49,6 +49,7 @@ from rowtide.sources.snapshots import (
     CHECKPOINT_TABLE,
     CommitConflict,
     Partial,
+    Parts,
     SnapshotStore,
     checkpoint_rows,
     load_checkpoint,
@@ -68,6 +69,9 @@ NO_MARKER = "marker is missing"
 BAD_KEY = "unreadable key in the change log"
 BAD_OP = "unknown operation in the change log"
 
+# Parts of the table that keeps the ids applied per key, unless the store lays it out.
+GUARD_PARTS = 16
+
 # How often a commit is built anew when other writers get in between.
 COMMIT_ATTEMPTS = 5
 
@@ -495,6 +499,8 @@ def apply_log(
             pending = settle(pending_of(collapsed, spec))
             if guard:
                 kept = f"{spec.target}__applied"
+                # a store may say otherwise; whole rewrites would grow with all keys seen
+                target.layout.setdefault(kept, Parts(tuple(pk), count=GUARD_PARTS))
                 ids = ", ".join(f"`{f.target}` {f.spark_type}" for f in spec.fields if f.pk)
                 parts = target.touched(kept, pending.select(*pk), version=base)
                 seen = target.read(

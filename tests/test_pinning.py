@@ -227,3 +227,26 @@ def test_sequences_from_stores_report_missing_pairs(spark, stores):
     plan = {r["name"]: (r["side"], r["step"]) for r in jobs.run(job, a, b).collect()}
     assert plan == {"S1": ("target", "temporary"), "S2": ("target", "missing"), "S3": ("both", "missing")}
     assert sequence_plan(a.read("sequences"), b.read("sequences")).count() == 1
+
+
+def test_compaction_keeps_rows(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"), {"p": Parts(("id",), count=2)})
+    for i in range(4):
+        store.commit(appends={t: frame(spark, [(i, "a")]) for t in ("t", "p")})
+    store.commit({"small": frame(spark, [(1, "a")])})
+    before = store.manifest()["tables"]["small"]
+    store.compact(folders=2)
+    after = store.manifest()["tables"]
+    assert len(after["t"]["folders"]) == 1 and after["small"] == before
+    assert as_set(store.read("t")) == as_set(store.read("p")) == [(i, "a") for i in range(4)]
+
+
+def test_guard_keeps_one_row_per_key(spark, stores):
+    source, target = stores
+    source.commit({"t": frame(spark, [(1, "a"), (2, "b")])})
+    job = SyncJob(name="j", apptype="db_cf", source_log="log", tables=(spec(),))
+    for batch, ids in enumerate(([1, 2], [3], [2])):
+        log = log_rows(spark, [(i, 1 + i % 2, "U") for i in ids])
+        jobs.apply_log(job, log, source, target, cycle=batch, batch_id=batch, guard=True)
+    assert as_set(target.read("t_copy__applied")) == [(1, 2), (2, 3)]
+    assert as_set(target.read("t_copy")) == [(1, "a"), (2, "b")]

@@ -42,17 +42,31 @@ def test_filters_reach_the_files(spark):
 
 
 def test_numbering_gathers_only_bucket_counts(spark, no_broadcast):
-    orders = table(spark, SF, "orders").select("o_orderkey", "o_totalprice")
+    orders = table(spark, SF, "orders").select("o_orderkey", "o_orderpriority")
     numbered = number_rows(orders, ["o_orderkey"], bits=10)
     text = numbered._jdf.queryExecution().executedPlan().toString()
     # the one place that sees all buckets comes after the rows were counted
     place = text.index("Exchange SinglePartition")
     after = text[place : text.index("FileScan", place)]
-    assert "HashAggregate(keys=[_bucket" in after
+    assert "HashAggregate(keys=[_parent" in after
     assert text.count("SinglePartition") == 1
     # and the rows themselves are exchanged once
-    before = text[:place]
-    assert before.count("Exchange hashpartitioning") == 2
+    wide = [line for line in text.splitlines() if "FileScan" in line and "o_orderpriority" in line]
+    assert len(wide) == 1
+
+
+def test_sparse_ids_are_spread(spark, no_broadcast):
+    """Ids so far apart that each row has a bucket of its own: no task sees all of them."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        log = spark.range(64_000).selectExpr(
+            "id * 70000000000 AS id", "'T' AS tablename", "'k;N;1;' AS pks", "'U' AS op"
+        )
+        assert most_rows_in_one_task(number_rows(log, ["id"])) < 16_000
+        assert most_rows_in_one_task(run_batches(log)) < 16_000
+        assert most_rows_in_one_task(suppress_echo(log, log.where("id > 0"))) < 16_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def test_replay_aggregates_hash_and_combine_before_the_shuffle(spark):
