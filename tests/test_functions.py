@@ -12,6 +12,7 @@ from rowtide.functions.coerce import coerce, coerce_failures, readable
 from rowtide.functions.geometry import geometry_from_text, geometry_to_text
 from rowtide.functions.keys import cast_key, encode_pks, key_columns, parse_pks
 from rowtide.functions.types import type_catalog
+from rowtide.session import prepare
 
 TEXT = "{g:2001,s:8307,x:'1.5',y:'2.5',z:'NaN',e:'1|1003|1',o:'1.0|2.0'}"
 BARE = "{g:2001,s:8307,x:'1.5',y:'2.5',z:'NaN',e:'null',o:'null'}"
@@ -164,3 +165,14 @@ def test_parse_and_cast(spark):
     assert float(pick("2.5", "NUMERIC")) == 2.5
     assert pick("2024-01-01 00:00:01", "DATE") == dt.datetime(2024, 1, 1, 0, 0, 1)
     assert pick("no", "INTEGER") is None
+
+
+def test_time_keys_survive_the_trip(spark):
+    prepare(spark)
+    fields = (FieldSpec("t", "t", pk=True, jdbc_type="TIME"), FieldSpec("n", "n", pk=True, jdbc_type="BIGINT"))
+    df = spark.sql("SELECT TIME'12:34:56.25' AS t, 7L AS n UNION ALL SELECT TIME'00:00:00', 8L")
+    back = key_columns(df.select(encode_pks(fields).alias("pks")), fields)
+    assert back.schema["t"].dataType.simpleString() == "time(6)"
+    assert as_set(back.select(F.col("t").cast("string"), "n")) == as_set(df.select(F.col("t").cast("string"), "n"))
+    bad = spark.createDataFrame([("t,n;TIME,NUMBER;noon,1;",)], "pks string")
+    assert key_columns(bad, fields).first()["t"] is None
