@@ -49,11 +49,16 @@ def split_numbers(text: Column, element: str) -> Column:
 
 def geometry_from_text(text: Column) -> Column:
     """Text to struct ``(g, s, x, y, z, e, o)``; unreadable text gives NULL."""
-    part = F.from_json(text, _MEMBERS, _LAX).getField
-    value = F.struct(
-        *[part(name).try_cast("int").alias(name) for name in ("g", "s")],
-        *[part(name).try_cast("double").alias(name) for name in ("x", "y", "z")],
-        split_numbers(part("e"), "int").alias("e"),
-        split_numbers(part("o"), "double").alias("o"),
-    )
-    return F.when(part("g").try_cast("int").isNotNull(), value)
+
+    def shape(parsed: Column) -> Column:
+        part = parsed.getField
+        value = F.struct(
+            *[part(name).try_cast("int").alias(name) for name in ("g", "s")],
+            *[part(name).try_cast("double").alias(name) for name in ("x", "y", "z")],
+            split_numbers(part("e"), "int").alias("e"),
+            split_numbers(part("o"), "double").alias("o"),
+        )
+        return F.when(part("g").try_cast("int").isNotNull(), value)
+
+    # as the one element of an array the text is parsed once, not once for each member
+    return F.get(F.transform(F.array(F.from_json(text, _MEMBERS, _LAX)), shape), F.lit(0))

@@ -12,10 +12,10 @@ from rowtide.session import settle
 
 # A bucket covers 2**20 consecutive integer ids. Ids are unique, so this is also
 # the most rows a bucket can hold, whatever the data looks like. Summaries of buckets
-# are put together in levels, each of 2**20 numbers, so that no task gets more summary
-# rows than that either, however sparse the ids are.
+# are put together in levels, each of 2**22 numbers, so that no task gets more summary
+# rows than that, however sparse the ids are.
 BUCKET_BITS = 20
-LEVEL_BITS = 20
+LEVEL_BITS = 22
 
 _NARROW = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 

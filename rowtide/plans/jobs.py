@@ -632,10 +632,13 @@ def _two_way_cycle(
         side_by_side(b.spark, one, job.tables)
         b.commit(new_b, base=base_b)
         a.commit(new_a, base=base_a)
-        _ack(a, job.source_log, taken_a, job.name, number)
-        _ack(b, job.target_log, taken_b, job.name, number)
-        publish_audit(a, back_job, flux_a, errors_a, number)
-        publish_audit(b, job, flux, errors, number)
+        last = [
+            lambda: _ack(a, job.source_log, taken_a, job.name, number),
+            lambda: _ack(b, job.target_log, taken_b, job.name, number),
+            lambda: publish_audit(a, back_job, flux_a, errors_a, number),
+            lambda: publish_audit(b, job, flux, errors, number),
+        ]
+        side_by_side(b.spark, lambda step: step(), last)
 
 
 def conflict_rows(conflicts: DataFrame, spec: TableSpec) -> DataFrame:
