@@ -39,9 +39,10 @@ LANGUAGES = 64
 BUCKETS = 1 << 16
 # Trigrams from which on more text adds no certainty, and the weight of each.
 ENOUGH = 60
-# Rows that a prior of the level above counts for, and the least posterior accepted.
+# Rows that a prior of the level above counts for, and the least posterior accepted: a text in
+# two languages, which has half of either, is in order.
 STRENGTH = 20.0
-LEAST = 0.6
+LEAST = 0.4
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True

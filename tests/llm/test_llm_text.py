@@ -13,7 +13,13 @@ from tokenizers import Tokenizer
 from rowtide.llm import transducer
 from rowtide.llm.bpe import ByteCodec, decode_ids, encode_texts, round_trip
 from rowtide.llm.html_extract import RUN, extract_main_text, read_page, suffix_classes
-from rowtide.llm.language_id import fit, identify_documents, identify_pages, keep_identified
+from rowtide.llm.language_id import (
+    LEAST,
+    fit,
+    identify_documents,
+    identify_pages,
+    keep_identified,
+)
 from rowtide.llm.transducer import TokenCounter, count_tokens
 from rowtide.llm.winnowing import edited_fingerprints, fingerprints, gram_hashes, likeness, winnow
 
@@ -260,7 +266,7 @@ def test_languages_of_awkward_rows(spark):
     docs = awkward(spark)
     got = {(r._id, r._check): r for r in identify_documents(docs).collect()}
     assert len([1 for _ in identify_documents(docs).collect()]) == docs.count()
-    assert all(r.rejected == (r.language is None) or r.probability < 0.6 for r in got.values())
+    assert all(r.rejected == (r.language is None) or r.probability < LEAST for r in got.values())
     kept = keep_identified(docs)
     assert kept.columns == docs.columns
     assert {r.text for r in kept.collect()}.isdisjoint({None, "", "!!! 123"})
