@@ -89,6 +89,11 @@ def per_process(key: tuple, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def broadcast_small(settled: DataFrame, rows: int) -> DataFrame:
+    """A written table, to be broadcast if it has no more than so many rows."""
+    return F.broadcast(settled) if settled.count() <= rows else settled
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less the rows that ``gone`` (written already) names by ``_id`` and ``_raw``.
 
@@ -97,8 +102,7 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
     beyond that Spark joins as it sees fit.
     """
     listed = gone.select(F.col("_id").alias("_gone_id"), F.col("_raw").alias("_gone_raw"))
-    if gone.count() <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
+    listed = broadcast_small(listed, BROADCAST_ROWS)
     mine = F.col(quoted(id_col)).cast("long").eqNullSafe(listed["_gone_id"])
     return docs.join(listed, mine & (raw_hash(text_col) == listed["_gone_raw"]), "left_anti")
 

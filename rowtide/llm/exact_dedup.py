@@ -19,11 +19,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import ascii_lower, free_name, quoted, raw_hash, whole, without
+from rowtide.llm.common import (
+    ascii_lower,
+    broadcast_small,
+    free_name,
+    quoted,
+    raw_hash,
+    whole,
+    without,
+)
 from rowtide.session import settle
 
 # Runs merged at once: 2**BITS.
 BITS = 4
+# Groups (a digest and two longs) that are broadcast to the rows at most: about 30 MB.
+BROADCAST_GROUPS = 1 << 18
 
 
 def sha256(text: Column) -> Column:
@@ -96,7 +106,7 @@ def classify(rows: DataFrame, bits: int = BITS, keep: str = "largest") -> DataFr
 
     Only groups of several rows are joined back; the rest keep themselves.
     """
-    groups = settle(merge_runs(rows, bits, keep).where("_n > 1"))
+    groups = broadcast_small(settle(merge_runs(rows, bits, keep).where("_n > 1")), BROADCAST_GROUPS)
     found = rows.select("_id", "_sha").join(groups, "_sha", "left")
     once = found.where("_n is null").union(_each_once(found.where("_n is not null")))
     alone = F.col("_n").isNull()
@@ -148,7 +158,7 @@ def keep_one(
     repeat the identifier that stays are taken out, too, but for one.
     """
     rows = digests(docs, id_col, text_col)
-    groups = settle(merge_runs(rows, bits, keep).where("_n > 1"))
+    groups = broadcast_small(settle(merge_runs(rows, bits, keep).where("_n > 1")), BROADCAST_GROUPS)
     found = rows.select("_id", "_sha", "_raw").join(groups, "_sha")
     best = F.col("_id").eqNullSafe(F.col("_best"))
     # one row for each spelling of the text that the identifier which stays comes with
