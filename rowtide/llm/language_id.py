@@ -1,7 +1,7 @@
 """Language identification by fusing text with what is known about where it comes from.
 
 The likelihood of a text in each language comes from its byte trigrams, under a model
-fitted on a bounded sample of labelled rows. To it are added, as in Bayes' rule,
+fitted on a bounded sample of the labelled rows of each language. To it are added, as in Bayes' rule,
 
 * how often rows of each language declare what this row declares (markup language) or
   carry its address code (a language segment such as ``/fr/``), and
@@ -15,8 +15,8 @@ all rows is one row per task before the exchange.
 A row is rejected if its text has no letters, or if no language reaches ``LEAST``.
 
 Defined results: a null text is an empty one and is rejected with a null language; null
-declarations, addresses and hosts are no evidence; without any labelled row all rows are
-rejected; rows with equal identifiers are rows of their own; an empty table gives no rows.
+declarations, addresses and hosts are no evidence; without any labelled row the language is
+null and rows with letters are not rejected; rows with equal identifiers are rows of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import bounded_batches, quoted, raw_hash, whole, without
+from rowtide.llm.common import BROADCAST_ROWS, bounded_batches, broadcast_small, quoted, raw_hash, whole, without
 from rowtide.session import settle
 
-# Rows that the text model is fitted on at most (expected), and languages at most.
+# Distinct texts of each language that the text model is fitted on at most (expected).
 FIT_ROWS = 4000
-LANGUAGES = 64
 BUCKETS = 1 << 16
 # Trigrams from which on more text adds no certainty, and the weight of each.
 ENOUGH = 60
@@ -68,16 +67,32 @@ def trigrams(text: str) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = FIT_ROWS) -> TextModel:
-    """Fit on about ``rows`` labelled rows, chosen by a hash of the text; at most ``LANGUAGES``."""
+def fit(
+    labelled: DataFrame,
+    text_col: str = "text",
+    label_col: str = "lang",
+    rows: int = FIT_ROWS,
+    id_col: str = "doc_id",
+) -> TextModel:
+    """Fit on about ``rows`` distinct texts of each label, all of a label that has fewer.
+
+    They are chosen by a hash of identifier and text. The table takes 256 KB a language.
+    """
     bounded_batches(labelled.sparkSession)
     text = F.col(quoted(text_col))
-    slim = labelled.select(F.col(quoted(label_col)).cast("string").alias("_label"), whole(text).alias("_text"))
-    slim = slim.where("_label is not null")
-    n = slim.select("_label").count()
-    share = min(1.0, rows / n) if n else 1.0
-    top = int(share * (1 << 62))
-    chosen = slim.where(F.shiftrightunsigned(F.xxhash64("_text"), 2) <= top)
+    slim = labelled.select(
+        F.col(quoted(label_col)).cast("string").alias("_label"),
+        F.xxhash64(F.col(quoted(id_col)), whole(text)).alias("_rank"),
+        raw_hash(text_col).alias("_raw"),
+        whole(text).alias("_text"),
+    ).where("_label is not null")
+    # copies are one text
+    once = settle(slim.groupBy("_label", "_raw").agg(F.min("_rank").alias("_rank")))
+    counts = broadcast_small(settle(once.groupBy("_label").agg(F.count(F.lit(1)).alias("_all"))), BROADCAST_ROWS)
+    place = F.shiftrightunsigned("_rank", 11) / F.lit(float(1 << 53))
+    few = settle(once.join(counts, "_label").where(place * F.col("_all") <= rows).select("_label", "_raw", "_rank"))
+    chosen = slim.join(broadcast_small(few, BROADCAST_ROWS), ["_label", "_raw", "_rank"], "left_semi")
+    chosen = chosen.dropDuplicates(["_label", "_raw"])
 
     def work(batches):
         sums: dict[str, np.ndarray] = {}
@@ -93,17 +108,17 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ro
             )
 
     counted = settle(
-        chosen.mapInArrow(work, "_label string, _bucket long, _n long").groupBy("_label", "_bucket").agg(F.sum("_n").alias("_n"))
+        chosen.select("_label", "_text").mapInArrow(work, "_label string, _bucket long, _n long").groupBy("_label", "_bucket").agg(F.sum("_n").alias("_n"))
     )
-    most = counted.groupBy("_label").agg(F.sum("_n").alias("_all")).orderBy(F.desc("_all"), "_label").limit(LANGUAGES)
-    languages = sorted(r[0] for r in most.collect())
-    place = {name: i for i, name in enumerate(languages)}
-    table = np.full((len(languages), BUCKETS), 0.5)
-    # at most LANGUAGES x BUCKETS rows
-    for label, bucket, n_ in counted.where(F.col("_label").isin(languages)).collect():
-        table[place[label], bucket] += n_
-    table = np.log(table / table.sum(axis=1, keepdims=True)) if len(languages) else table
-    return TextModel(languages, table.astype(np.float32))
+    languages = sorted(r[0] for r in counted.select("_label").distinct().collect())
+    index = {name: i for i, name in enumerate(languages)}
+    table = np.full((len(languages), BUCKETS), 0.5, np.float32)
+    # at most BUCKETS rows a language
+    for label, bucket, n_ in counted.toLocalIterator():
+        table[index[label], bucket] += n_
+    for row in table:
+        row[:] = np.log(row / row.sum(dtype=np.float64))
+    return TextModel(languages, table)
 
 
 def text_posterior(model: TextModel, text: str) -> tuple[list[float], int]:
@@ -111,7 +126,7 @@ def text_posterior(model: TextModel, text: str) -> tuple[list[float], int]:
     grams = trigrams(text)
     count = len(model.languages)
     if not len(grams) or not count:
-        return [1.0 / max(1, count)] * count, 0
+        return [1.0 / max(1, count)] * count, len(grams)
     mean = model.table[:, grams].mean(axis=1, dtype=np.float64)
     logs = mean * min(len(grams), ENOUGH)
     weights = np.exp(logs - logs.max())
@@ -199,7 +214,7 @@ def fuse(rows: DataFrame, model: TextModel, least: float = LEAST) -> DataFrame:
     names, count = model.languages, len(model.languages)
     if not count:
         return rows.select(
-            "_id", "_check", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(True).alias("rejected")
+            "_id", "_check", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), (F.col("_n") == 0).alias("rejected")
         )
     first = _sums(rows, None, count).first()
     totals = [float(x or 0.0) for x in (first[0] or [0.0] * count)]
