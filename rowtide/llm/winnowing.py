@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 
 from rowtide.llm.common import bounded_batches, quoted, whole
 
-K = 16
-WINDOW = 32
+# Texts that share K + WINDOW - 1 = 10 code points in a row share a hash.
+K = 6
+WINDOW = 5
 # Parts of ascending identifiers for each shuffle partition.
 PARTS_EACH = 6
 
