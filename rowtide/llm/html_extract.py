@@ -13,8 +13,13 @@ prefix doubling, and keep one row for each class of suffixes that agree so far;
 of all tasks are merged by aggregation, so that a host with a third of all pages, or a
 menu that all of them have, never meets in one task.
 
-Repetition never removes text of an article: copies of an article are whole articles. A
-page without article that is covered all but ``COPY`` is a copy, too, and stays as it is.
+Unique runs are kept in page order, beside the article if there is one. Repetition never
+removes text of an article: copies of an article are whole articles. On a page without
+article, blocks with a shared run of ``COPY`` tokens or more stay if that run is longer than
+all that is unique: they are a copied text, where what templates repeat are short runs.
+
+Marks do not drop an article (or main) element itself. If marks and forms leave a page
+nothing at all, it is read again without them.
 
 Defined results: a null or empty page has an empty text; a null address is a host of its
 own; rows of one page_id are pages of their own, but runs count once for one (page_id,
@@ -23,6 +28,7 @@ url); an empty table gives no rows; pages of any length are read whole.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -37,9 +43,9 @@ from pyspark.sql import functions as F
 from rowtide.llm.common import bounded_batches, gathered, quoted, whole
 from rowtide.session import settle
 
-# Tokens of a shared substring at least, and the covered part from which a page is a copy.
+# Tokens of a shared substring at least, and of one from which it is a copied text.
 RUN = 8
-COPY = 0.9
+COPY = 32
 # Bytes of parsed pages sorted together in a task.
 GATHER = 8 << 20
 # Part of a block's letters inside links from which it is a menu.
@@ -56,6 +62,7 @@ BOILERPLATE = frozenset(
     "head nav footer aside form button select option optgroup menu dialog svg canvas object audio "
     "video map fieldset datalist".split()
 )
+FORMS = ("form", "fieldset")
 CLOSES_P = frozenset(
     "address article aside blockquote div dl dd dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "li main menu nav ol p pre section table ul".split()
@@ -64,11 +71,15 @@ CLOSES_P = frozenset(
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
-    "signup login paywall share sharing social sidebar rail widget widgets menu menus nav navbar navigation "
-    "breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments reply "
-    "replies respond disqus discussion related recommended recommendations outbrain taboola trending "
-    "copyright legal disclaimer complementary contentinfo search skip".split()
+    "signup login paywall share sharing rail widget widgets menu menus nav navbar navigation "
+    "breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar reply "
+    "replies respond disqus outbrain taboola trending copyright disclaimer complementary contentinfo skip".split()
 )
+# Words that mark only as a whole class, id or role.
+WIDE = frozenset("sidebar comment comments legal social related recommended recommendations discussion search".split())
+
+# Kinds of blocks: of the main region, boilerplate, undecided.
+MAIN, DROP, OPEN = range(3)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -80,28 +91,41 @@ _WORD = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes mark it as boilerplate, or as the main region."""
-    marked = main = False
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes hide an element, mark it as boilerplate, or as the main region."""
+    hidden = marked = main = False
     for name, value in _MARKED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden":
-            marked = True
+            hidden = True
         elif name == "aria-hidden":
-            marked |= value == "true"
+            hidden |= value == "true"
         elif name == "style":
-            marked |= "display:none" in value.replace(" ", "")
+            hidden |= "display:none" in value.replace(" ", "")
         else:
             words = _WORD.findall(value)
-            marked |= not MARKS.isdisjoint(words)
+            marked |= not MARKS.isdisjoint(words) or not WIDE.isdisjoint(value.split())
             main |= name == "role" and "main" in words
-    return marked, main
+    return hidden, marked, main
 
 
 def read_page(html: str) -> tuple[list[str], list[tuple[str, bool]]]:
     """Blocks of the main region, and all other blocks with whether they are boilerplate."""
-    main_blocks: list[str] = []
-    others: list[tuple[str, bool]] = []
+    blocks = page_blocks(html)
+    return [t for t, kind in blocks if kind == MAIN], [(t, kind == DROP) for t, kind in blocks if kind != MAIN]
+
+
+def page_blocks(html: str) -> list[tuple[str, int]]:
+    """All blocks in page order with their kinds."""
+    blocks = _blocks(html, True)
+    if blocks and all(kind == DROP for _, kind in blocks):
+        blocks = _blocks(html, False)
+    return blocks
+
+
+def _blocks(html: str, strict: bool) -> list[tuple[str, int]]:
+    """Blocks and kinds; only if ``strict`` do marks and forms drop what they hold."""
+    blocks: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, dropped, in main
     pieces: list[str] = []
     linked = 0
@@ -113,10 +137,10 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, bool]]]:
             if text:
                 _, drop, main = stack[-1]
                 if main and not drop:
-                    main_blocks.append(text)
+                    blocks.append((text, MAIN))
                 else:
                     menu = linked >= LINKS * sum(map(len, pieces))
-                    others.append((text, drop or menu))
+                    blocks.append((text, DROP if drop or menu else OPEN))
             pieces.clear()
         linked = 0
 
@@ -160,15 +184,17 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, bool]]]:
         if tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack[-1][0] == tag:
             stack.pop()
         _, drop, main = stack[-1]
-        marked, is_main = _marks(found[3]) if found[3].strip() else (False, False)
+        hidden, marked, is_main = _marks(found[3]) if found[3].strip() else (False, False, False)
         is_main |= tag in ("article", "main")
-        own = tag in BOILERPLATE or (marked and tag not in ("html", "body"))
+        own = hidden and tag not in ("html", "body")
+        own |= tag in BOILERPLATE and (strict or tag not in FORMS)
+        own |= strict and marked and tag not in ("html", "body", "article", "main")
         own |= tag == "header" and not main
         if own and not drop:
             flush()
         stack.append((tag, drop or own, main or is_main))
     flush()
-    return main_blocks, others
+    return blocks
 
 
 def host_of(url: str | None) -> str:
@@ -268,7 +294,7 @@ _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("drop", pa.bool_())]))
 def parse_pages(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
-    """Each page's main text (compressed), and its other blocks.
+    """Each page's blocks in order (compressed; of dropped ones the number of tokens), and its other blocks.
 
     ``_row`` names a row by all that is read of it, ``_page`` by its id and address.
     """
@@ -277,16 +303,16 @@ def parse_pages(
 
     def work(batches):
         for batch in batches:
-            read = [read_page(h) for h in batch.column("_html").to_pylist()]
-            main = [" ".join(m).encode() for m, _ in read]
+            read = [page_blocks(h) for h in batch.column("_html").to_pylist()]
+            packed = [json.dumps([[len(t.split()) if k == DROP else t, k] for t, k in b]) for b in read]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in names],
                     pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string()),
-                    pa.array([zlib.compress(m, 1) if m else None for m in main], pa.binary()),
-                    pa.array([[{"text": t, "drop": d} for t, d in o] for _, o in read], _BLOCKS),
+                    pa.array([zlib.compress(p.encode(), 1) for p in packed], pa.binary()),
+                    pa.array([[{"text": t, "drop": k == DROP} for t, k in b if k != MAIN] for b in read], _BLOCKS),
                 ],
-                [*names, "_host", "_main", "_others"],
+                [*names, "_host", "_blocks", "_others"],
             )
 
     html = whole(F.col(quoted(html_col)))
@@ -299,7 +325,7 @@ def parse_pages(
     )
     kind = slim.schema["page_id"].dataType.simpleString()
     schema = (
-        f"page_id {kind}, url string, _row long, _page long, _host string, _main binary, "
+        f"page_id {kind}, url string, _row long, _page long, _host string, _blocks binary, "
         "_others array<struct<text: string, drop: boolean>>"
     )
     return slim.mapInArrow(work, schema)
@@ -329,19 +355,33 @@ def covered_tokens(covered: list[int] | None) -> np.ndarray:
     return np.unique(at[:, None] + np.arange(RUN)[None, :])
 
 
-def unique_runs(others: list[dict], covered: np.ndarray) -> str:
-    """Open text without covered tokens."""
-    words, keep = [], []
-    for block in others:
-        own = block["text"].split()
-        words += own
-        keep += [not block["drop"]] * len(own)
-    open_ = np.array(keep, bool)
-    left = open_.copy()
-    left[covered] = False
-    if left.sum() < (1 - COPY) * open_.sum():
-        left = open_
-    return " ".join(words[i] for i in np.flatnonzero(left).tolist())
+def unique_runs(blocks: list, covered: np.ndarray) -> str:
+    """The main blocks and the open text without covered tokens, in page order.
+
+    Token numbers leave out the main blocks.
+    """
+    taken = set(covered.tolist())
+    at, unique, longest, parts, main = 0, 0, 0, [], False
+    for text, kind in blocks:
+        if kind == MAIN:
+            main = True
+            parts.append(([text], [text], 0))
+            continue
+        if kind == DROP:
+            at += text
+            continue
+        words = text.split()
+        own = [w for i, w in enumerate(words, at) if i not in taken]
+        run = most = 0
+        for i in range(at, at + len(words)):
+            run = run + 1 if i in taken else 0
+            most = max(most, run)
+        at += len(words)
+        unique += len(own)
+        longest = max(longest, most)
+        parts.append((own, words, most))
+    copied = not main and longest >= COPY and longest > unique
+    return " ".join(w for own, words, run in parts for w in (words if copied and run >= COPY else own))
 
 
 def extract_main_text(
@@ -358,10 +398,8 @@ def extract_main_text(
     def work(batches):
         for batch in batches:
             covered = [covered_tokens(c) for c in batch.column("_covered").to_pylist()]
-            rows = zip(
-                batch.column("_main").to_pylist(), batch.column("_open").to_pylist(), covered, strict=True
-            )
-            text = [zlib.decompress(m).decode() if m else unique_runs(o, c) for m, o, c in rows]
+            rows = zip(batch.column("_blocks").to_pylist(), covered, strict=True)
+            text = [unique_runs(json.loads(zlib.decompress(b)), c) for b, c in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id"),
@@ -373,12 +411,10 @@ def extract_main_text(
             )
 
     # pages are read a second time here: cheaper than to keep all texts between the passes
-    texts = parsed.select(
-        "page_id", "url", "_row", "_main", F.when(F.col("_main").isNull(), F.col("_others")).alias("_open")
-    )
+    texts = parsed.select("page_id", "url", "_row", "_blocks")
     return (
         texts.join(covered_positions(parsed), "_row", "left")
-        .select("page_id", "url", "_main", "_open", "_covered")
+        .select("page_id", "url", "_blocks", "_covered")
         .mapInArrow(work, f"page_id {kind}, url string, text string, n_repeated long")
         .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
     )
