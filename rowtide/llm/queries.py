@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.llm.bpe import round_trip
-from rowtide.llm.common import documents, pages
+from rowtide.llm.common import documents, embeddings, pages
 from rowtide.llm.exact_dedup import exact_groups
 from rowtide.llm.html_extract import extract_main_text
 from rowtide.llm.language_id import identify_pages
 from rowtide.llm.line_dedup import MIN_SITES, remove_spread_lines
+from rowtide.llm.merkle import manifest
+from rowtide.llm.mixture import pack_mixture
 from rowtide.llm.packing import pack_documents
 from rowtide.llm.sharding import shuffle_into_shards
 from rowtide.llm.simhash import simhash_components
 from rowtide.llm.transducer import count_tokens
+from rowtide.llm.whitening import whiten
 from rowtide.llm.winnowing import edited_fingerprints
 
 
@@ -69,6 +72,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(embeddings(spark, sf_dir))
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the ids themselves are the operator's; the query returns their checksums
+    return pack_mixture(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -80,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_merkle": op11_merkle,
+    "op12_whitening": op12_whitening,
+    "op13_mixture_packing": op13_mixture_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
