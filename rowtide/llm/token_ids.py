@@ -1,20 +1,55 @@
 """Token ids of whole texts by the tokenizers library, remembered by word.
 
 Where a tokenizer drops white space, the ids of a text are those of its words, one after
-the other; so the library is asked once for each word that a worker has not met yet. For
-any other tokenizer whole texts are encoded.
+the other; so the library is asked once for each word that a worker has not met yet. If
+it lower-cases and then cuts by the pattern below, texts of Latin letters are cut here, and
+only the fragments, far fewer, are asked for, from the library's merge model. For any other
+tokenizer whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
+
 import numpy as np
 from tokenizers import Tokenizer
 
-# Words remembered by a worker, and their longest; longer ones are encoded each time.
-REMEMBER = 300_000
+from rowtide.llm.bpe import byte_letters
+
+# What lower-cases, and how it cuts.
+NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# The same on lower-cased text up to U+017F (without U+0130, which becomes two characters) and
+# of dashes and quotation marks; normalising leaves such text as it is.
+_LETTER, _DIGIT, _SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027]")
+# Words and fragments remembered by a worker, and the longest of them.
+REMEMBER = 500_000
 LONGEST = 64
 
 
+class _Known(dict):
+    """Ids as bytes by fragment; what is not known is looked up, and remembered if it is short."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.find(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Ids without added tokens, truncation or padding."""
 
@@ -24,32 +59,51 @@ class Encoder:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         probe = ["a", "b", "a b", "a\n\n b", " a b "]
         a, b, *both = (e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False))
-        self.by_word = all(ids == a + b for ids in both) and not any(len(t.split()) > 1 for t in added)
-        self.known: dict[str, bytes] = {}
+        self.by_word = all(ids == a + b for ids in both) and not any(len(t.split()) > 1 for t in self.added)
+        spec = json.loads(self.tokenizer.to_str())
+        cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_fragment = (
+            self.by_word
+            and (spec["normalizer"] or {}).get("normalizers") == NORMALIZERS
+            and cut[0].get("pattern") == {"Regex": PATTERN}
+            and [c["type"] for c in cut] == ["Split", "ByteLevel"]
+        )
+        # the model is asked in the letters that stand for bytes
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+        self.code = self.kind.char
+        self.words, self.fragments = _Known(self._word), _Known(self._fragment)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+    def _word(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _fragment(self, text: str) -> bytes:
+        letters = self.letters
+        spelled = "".join([letters[b] for b in text.encode()])
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _cut(self, text: str) -> bytes | None:
+        """Ids of a text that can be cut here."""
+        if not self.by_fragment or _OTHER.search(text) or any(t in text for t in self.added):
+            return None
+        return b"".join(map(self.fragments.__getitem__, _CUT.findall(text.lower())))
+
+    def _text(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._word(text)
+        whole = self._cut(text)
+        if whole is not None:
+            return whole
+        parts = []
+        for word in text.replace("\n", " ").split(" "):
+            if word:
+                found = self._cut(word)
+                parts.append(self.words[word] if found is None else found)
+        return b"".join(parts)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as numbers of ``kind``."""
-        if not self.by_word:
-            return [np.frombuffer(b, self.kind) for b in self._encode(texts)]
-        if len(self.known) > REMEMBER:
-            self.known = {"": b""}
-        self.known[""] = b""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        ids = dict(zip(new, self._encode(new), strict=True))
-        self.known.update((w, i) for w, i in ids.items() if len(w) <= LONGEST)
-        out = []
-        for words in split:
-            try:
-                found = b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                found = b"".join(ids[w] if w in ids else self.known[w] for w in words)
-            out.append(np.frombuffer(found, self.kind))
-        return out
+        return [np.frombuffer(self._text(t), self.kind) for t in texts]
