@@ -15,6 +15,7 @@ from rowtide.llm.html_extract import extract_main_text
 from rowtide.llm.language_id import identify_pages
 from rowtide.llm.line_dedup import MIN_SITES, remove_spread_lines
 from rowtide.llm.merkle import manifest
+from rowtide.llm.merkle_sql import MERKLE_SQL
 from rowtide.llm.mixture import pack_mixture
 from rowtide.llm.packing import pack_documents
 from rowtide.llm.sharding import shuffle_into_shards
@@ -126,4 +127,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM base WINDOW w AS (PARTITION BY t)""",
+    "op11_merkle": MERKLE_SQL,
 }
