@@ -30,21 +30,27 @@ PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _LETTER, _DIGIT, _SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027]")
-# Words and fragments remembered by a worker, and the longest of them.
-REMEMBER = 500_000
-LONGEST = 64
+# Words and fragments remembered by a worker (as many again from before), and the longest of them.
+REMEMBER = 300_000
+LONGEST = 16
 
 
 class _Known(dict):
-    """Ids as bytes by fragment; what is not known is looked up, and remembered if it is short."""
+    """Ids as bytes by fragment; what is not known is looked up, and remembered if it is short.
+
+    When it is full it begins anew, and takes over what is asked for again.
+    """
 
     def __init__(self, find):
-        self.find = find
+        self.find, self.before = find, {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self.find(key)
+        found = self.before.get(key)
+        if found is None:
+            found = self.find(key)
         if len(key) <= LONGEST:
             if len(self) >= REMEMBER:
+                self.before = dict(self)
                 self.clear()
             self[key] = found
         return found
