@@ -18,7 +18,8 @@ removes text of an article: copies of an article are whole articles. On a page w
 article, blocks with a shared run of ``COPY`` tokens or more stay if that run is longer than
 all that is unique: they are a copied text, where what templates repeat are short runs.
 
-Marks do not drop an article (or main) element itself. If marks and forms leave a page
+Marks are words of a class, id or role; an article (or main) element itself is marked only as a reader's
+comment. If marks and forms leave a page
 nothing at all, it is read again without them.
 
 Defined results: a null or empty page has an empty text; a null address is a host of its
@@ -31,7 +32,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html import unescape
 
 import numpy as np
@@ -67,45 +68,92 @@ CLOSES_P = frozenset(
     "address article aside blockquote div dl dd dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "li main menu nav ol p pre section table ul".split()
 )
-# Words in class, id or role that mark what is not the article.
+# Words that mark what is not the article, as the last word of a class, id or role.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
-    "signup login paywall share sharing rail widget widgets menu menus nav navbar navigation "
-    "breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar reply "
-    "replies respond disqus outbrain taboola trending copyright disclaimer complementary contentinfo skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored "
+    "cookie cookies consent gdpr newsletter subscribe subscription "
+    "signup login paywall share sharing rail menu menus nav navbar navigation sidebar sidebars "
+    "breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments reply "
+    "replies respond disqus outbrain taboola trending related recommended recommendations discussion "
+    "copyright disclaimer complementary contentinfo skip".split()
 )
-# Words that mark only as a whole class, id or role.
-WIDE = frozenset("sidebar comment comments legal social related recommended recommendations discussion search".split())
+# Words that mark only if no word of the class, id or role says more than where it stands.
+NOTICES = frozenset("banner promo promotion notice notices alert popup modal overlay widget widgets legal social search".split())
+# Words for a container or a place, which the word that matters stands before or behind.
+PLACES = frozenset(
+    "area bar block body box column container content entries feed form holder inner item items link links list "
+    "module outer panel part post posts row section slot stories thread unit widget wrap wrapper zone articles "
+    "left right top bottom main page site global primary secondary".split()
+)
+# Words that say an element has or lacks something elsewhere.
+STATES = frozenset("has have with without no not hide hides hidden show shows is enable enabled disable disabled".split())
+# What an article element is marked by, itself.
+REMARKS = frozenset("comment comments reply replies".split())
 
 # Kinds of blocks: of the main region, boilerplate, undecided.
 MAIN, DROP, OPEN = range(3)
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
-_MARKED = re.compile(r"""(?:^|\s)(class|id|role|aria-label|aria-hidden|style|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_OPENS = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r">|=\s*[\"']?")
+_VALUE_ENDS = re.compile(r"[\s>]")
+_ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
-def _marks(attributes: str) -> tuple[bool, bool, bool]:
+def tag_end(html: str, at: int) -> int:
+    """Where the tag whose name ends at ``at`` is over, behind its ``>``; -1 if it never is.
+
+    Quotation marks count only where a value begins, so every character is passed once.
+    """
+    while True:
+        found = _STOP.search(html, at)
+        if found is None:
+            return -1
+        at = found.end()
+        if found[0] == ">":
+            return at
+        if found[0][-1] in "\"'":
+            at = html.find(found[0][-1], at) + 1
+            if not at:
+                return -1
+        else:
+            ends = _VALUE_ENDS.search(html, at)
+            if ends is None:
+                return -1
+            at = ends.start()
+
+
+def is_mark(name: str, marks: frozenset = MARKS) -> bool:
+    """Whether one class, id or role names boilerplate: ``post-comments`` and ``commentList`` do,
+    ``has-comments`` and ``story-banner`` do not."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if not words or words[0] in STATES:
+        return False
+    telling = [w for w in words if w not in PLACES] or words[-1:]
+    if telling[-1] in marks:
+        return True
+    return marks is MARKS and all(w in NOTICES or w in MARKS for w in telling)
+
+
+def _marks(attributes: str, tag: str) -> tuple[bool, bool, bool]:
     """Whether attributes hide an element, mark it as boilerplate, or as the main region."""
     hidden = marked = main = False
-    for name, value in _MARKED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+    marks = REMARKS if tag in ("article", "main") else MARKS
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
         if name == "hidden":
             hidden = True
         elif name == "aria-hidden":
-            hidden |= value == "true"
+            hidden |= value.lower() == "true"
         elif name == "style":
-            hidden |= "display:none" in value.replace(" ", "")
-        else:
-            words = _WORD.findall(value)
-            marked |= not MARKS.isdisjoint(words) or not WIDE.isdisjoint(value.split())
-            main |= name == "role" and "main" in words
+            hidden |= "display:none" in value.lower().replace(" ", "")
+        elif name in ("class", "id", "role"):
+            marked |= any(is_mark(one, marks) for one in value.split())
+            main |= name == "role" and "main" in value.lower().split()
+        elif name == "aria-label":
+            marked |= is_mark(value, marks)
     return hidden, marked, main
 
 
@@ -146,53 +194,70 @@ def _blocks(html: str, strict: bool) -> list[tuple[str, int]]:
 
     at, anchors = 0, 0
     end = len(html)
-    while at < end:
-        found = _TAG.search(html, at)
-        stop = found.start() if found else end
+    opened: Counter = Counter()
+
+    def take(stop: int) -> None:
+        nonlocal linked
         if stop > at:
             pieces.append(html[at:stop])
             linked += (stop - at) if anchors else 0
+
+    def leave() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    while at < end:
+        found = _OPENS.search(html, at)
+        take(found.start() if found else end)
         if not found:
             break
         at = found.end()
-        tag = found[2]
-        if tag is None:
+        name = _NAME.match(html, at)
+        if name is None:
+            # a comment or a declaration, or an end tag without a name
+            mark = next((m for o, m in (("!--", "-->"), ("![CDATA[", "]]>")) if html.startswith(o, at)), ">")
+            over = html.find(mark, at)
+            at = over + len(mark) if over >= 0 else end
             continue
-        tag, closing = tag.lower(), bool(found[1])
+        over = tag_end(html, name.end())
+        if over < 0:
+            break  # the page ends inside a tag
+        attributes, at = html[name.end() : over - 1], over
+        tag, closing = name[0].lower().lstrip("/"), name[0][0] == "/"
         if tag == "a":
             anchors = 0 if closing else 1
         if tag == "br" or (tag not in INLINE and tag != "img"):
             flush()
         if closing:
-            if any(entry[0] == tag for entry in stack):
+            if opened[tag]:
                 if stack[-1][0] != tag:
                     flush()
                 while stack[-1][0] != tag:
-                    stack.pop()
+                    leave()
                 if stack[-1][1] or tag not in INLINE:
                     flush()
-                stack.pop()
+                leave()
             continue
         if tag in RAW:
-            over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = over.end() if over else end
             continue
-        if tag in VOID or found[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in CLOSES_P and stack[-1][0] == "p":
-            stack.pop()
+            leave()
         if tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack[-1][0] == tag:
-            stack.pop()
+            leave()
         _, drop, main = stack[-1]
-        hidden, marked, is_main = _marks(found[3]) if found[3].strip() else (False, False, False)
+        hidden, marked, is_main = _marks(attributes, tag) if attributes.strip() else (False, False, False)
         is_main |= tag in ("article", "main")
         own = hidden and tag not in ("html", "body")
         own |= tag in BOILERPLATE and (strict or tag not in FORMS)
-        own |= strict and marked and tag not in ("html", "body", "article", "main")
+        own |= strict and marked and tag not in ("html", "body")
         own |= tag == "header" and not main
         if own and not drop:
             flush()
         stack.append((tag, drop or own, main or is_main))
+        opened[tag] += 1
     flush()
     return blocks
 
