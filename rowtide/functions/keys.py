@@ -76,6 +76,48 @@ def parse_pks(pks: Column) -> Column:
     )
 
 
+def comparable_pks(
+    pks: Column, fields: Sequence[FieldSpec] | None = None, *, side: str = "source"
+) -> Column:
+    """Key text that is equal for equal keys, whatever type names it carries.
+
+    With the ``fields`` of the table the key columns are compared by typed values, in the
+    order of the spec; a key that cannot be read, or any key without the fields, by its
+    names (without regard to case) and its values' texts, in the order of the names.
+    """
+    # types are left out; a single column, the usual case, needs no sorting
+    parts = F.split(pks, ";")
+    names, values = F.upper(F.get(parts, F.lit(0))), F.get(parts, F.lit(2))
+    split_names = F.transform(F.split(names, ","), lambda n: F.trim(n))
+    both = F.arrays_zip(split_names.alias("n"), F.split(values, ",").alias("v"))
+    several = F.array_join(
+        F.transform(F.array_sort(both), lambda z: F.concat(z["n"], F.lit("="), F.coalesce(z["v"], F.lit("")))), ","
+    )
+    plain = F.when(~F.contains(names, F.lit(",")), F.concat(F.trim(names), F.lit("="), values)).otherwise(several)
+    plain = F.coalesce(plain, pks)
+    if not fields:
+        return plain
+    # a value typed and written again is the same text for 1, 01 and 1.0 of a whole number
+    typed = [
+        F.concat(
+            F.lit(getattr(f, side).upper() + "="),
+            _escape(key_text(_typed_key(split_names, values, f, side), f.jdbc_type)),
+        )
+        for f in fields
+        if f.pk
+    ]
+    text = typed[0]
+    for one in typed[1:]:
+        text = F.concat(text, F.lit(","), one)
+    return F.coalesce(text, plain)
+
+
+def _typed_key(names: Column, values: Column, field: FieldSpec, side: str) -> Column:
+    place = F.array_position(names, F.lit(getattr(field, side).upper()))
+    value = F.when(place > 0, F.get(F.split(values, ","), (place - 1).cast("int")))
+    return cast_key(_unescape(value), field.jdbc_type).cast(field.spark_type)
+
+
 def key_columns(
     log: DataFrame,
     fields: Sequence[FieldSpec],
