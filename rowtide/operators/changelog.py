@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from rowtide.functions.keys import encode_pks
 from rowtide.operators.compare import all_of
 from rowtide.operators.numbering import (
-    BUCKET_BITS,
     bucket_of,
+    fitting_bits,
     number_rows,
     parent_of,
     upper_levels,
@@ -113,7 +113,7 @@ def run_batches(
     partition: Sequence[str] = ("tablename",),
     *,
     order: str = "id",
-    bits: int = BUCKET_BITS,
+    bits: int | None = None,
 ) -> DataFrame:
     """Number the runs of equal ``by`` in id order, per ``partition`` (or over all rows).
 
@@ -123,6 +123,7 @@ def run_batches(
     many runs came before and whether a run goes on across the border.
     """
     # a struct equals another with NULLs in the same places, so no row gets lost
+    bits, levels = fitting_bits(log, order) if bits is None else (bits, upper_levels(bits))
     whole = F.struct(*partition) if partition else F.lit(0)
     group = ["_group"]
     tagged = log.withColumn("_group", whole).withColumn("_bucket", bucket_of(order, bits))
@@ -139,7 +140,7 @@ def run_batches(
         F.max_by(key, order).alias("_last"),
         F.sum("_starts").alias("_runs"),
     )
-    shifts = _run_shifts(summary, upper_levels(bits))
+    shifts = _run_shifts(summary, levels)
     return local.join(shifts, [*group, "_bucket"]).select(
         *log.columns, (F.col("_local") + F.col("_shift")).cast("long").alias("run_no")
     )

@@ -40,6 +40,26 @@ def upper_levels(bits: int = BUCKET_BITS) -> int:
     return max(0, -(-(64 - bits) // LEVEL_BITS) - 1)
 
 
+# Rows of a bucket, about, and buckets of a table, while buckets need not be larger.
+BUCKET_ROWS = 1 << 12
+BUCKETS = 64
+
+
+def fitting_bits(df: DataFrame, order: str) -> tuple[int, int]:
+    """Bits of the buckets of a table, and levels of parents above them, by its rows and range of ids.
+
+    One pass over the ids. Small tables get buckets enough to keep several tasks busy; none is
+    larger than ``2**BUCKET_BITS`` ids. Numbers do not depend on how they are cut.
+    """
+    n, low, high = df.agg(F.count(order), F.min(order), F.max(order)).first()
+    if not n:
+        return BUCKET_BITS, 0
+    width = int(high) - int(low) + 1
+    ids = max(BUCKET_ROWS, n // BUCKETS) * width // n
+    bits = max(0, min(BUCKET_BITS, ids.bit_length() - 1))
+    return bits, max(0, -(-((width >> bits).bit_length() - LEVEL_BITS) // LEVEL_BITS))
+
+
 def parent_of(bucket: str = "_bucket") -> Column:
     return F.shiftright(F.col(bucket), LEVEL_BITS)
 
@@ -78,12 +98,13 @@ def number_rows(
     order_by: Sequence[str],
     *,
     out: str = "row_no",
-    bits: int = BUCKET_BITS,
+    bits: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = 1, 2, 3 ... in the order of ``order_by``, a unique key of ``df``.
 
-    A single integer key is cut into id buckets: rows are counted per bucket, the
-    counts summed up to offsets, and each bucket numbered on its own. Other keys
+    A single integer key is cut into id buckets (of ``2**bits`` ids, or as many as fit the
+    table): rows are counted per bucket, the counts summed up to offsets, and each
+    bucket numbered on its own. Other keys
     are range partitioned on the sampled key order instead; that layout is
     written down once so that counting and numbering see the same partitions.
     """
@@ -94,7 +115,8 @@ def number_rows(
     return _number_by_range(df, order, out)
 
 
-def _number_by_bucket(df: DataFrame, key: str, out: str, bits: int) -> DataFrame:
+def _number_by_bucket(df: DataFrame, key: str, out: str, bits: int | None) -> DataFrame:
+    bits, levels = fitting_bits(df, key) if bits is None else (bits, upper_levels(bits))
     # rows without an id are spread by a narrow column or two: counting reads those, too
     narrow = [f.name for f in df.schema if f.name != key and isinstance(f.dataType, _NARROW)]
     tagged = df.withColumn("_bucket", bucket_of(key, bits, narrow[:2]))
@@ -102,7 +124,7 @@ def _number_by_bucket(df: DataFrame, key: str, out: str, bits: int) -> DataFrame
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
     return (
         tagged.withColumn("_inside", inside)
-        .join(earlier_sums(counts, levels=upper_levels(bits)), "_bucket")
+        .join(earlier_sums(counts, levels=levels), "_bucket")
         .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_bucket", "_inside", "_before")
     )

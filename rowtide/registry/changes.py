@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.functions.keys import encode_pks, key_columns
-from rowtide.operators import audit, changelog, replay, sequences, slices, twoway
+from rowtide.operators import audit, changelog, digests, replay, sequences, slices, twoway
 from rowtide.operators.compare import dedupe
 from rowtide.plans.spec import FieldSpec, SyncJob, TableSpec
 from rowtide.registry import fixtures as fx
@@ -266,6 +266,13 @@ def _(spark, sf):
     return log.select(*LOG_PART)
 
 
+@query("capture_by_digest", _captured_sql("o_orderkey,o_orderpriority", "ORDERS", "'I', 'U', 'D'"))
+def _(spark, sf):
+    before, after = rows(spark, sf, fx.BEFORE), rows(spark, sf, fx.AFTER)
+    log = digests.capture_by_digest(before, after, fx.priced_spec(), span_bits=6, op_time=CAPTURED_AT)
+    return log.select(*LOG_PART)
+
+
 @query("capture_subset", _captured_sql("o_orderkey,o_orderpriority", "ORDERS", "'I', 'D'"))
 def _(spark, sf):
     before, after = rows(spark, sf, fx.BEFORE), rows(spark, sf, fx.AFTER)

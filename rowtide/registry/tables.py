@@ -9,6 +9,7 @@ from rowtide.functions.geometry import geometry_from_text, geometry_to_text
 from rowtide.functions.types import type_catalog
 from rowtide.operators import compare, writeback
 from rowtide.operators.numbering import page_count, paginate
+from rowtide.operators.paging import page_index, read_page
 from rowtide.operators.stages import table_stages
 from rowtide.plans.spec import FieldSpec
 from rowtide.registry import fixtures as fx
@@ -58,6 +59,29 @@ def _(spark, sf):
     return paginate(part, ["p_brand", "p_partkey"], 250)
 
 
+PAGE = """SELECT {columns}, row_no, CAST({page} AS BIGINT) AS page_no
+          FROM (SELECT {columns}, row_number() OVER (ORDER BY {keys}) AS row_no FROM {table}) q
+          WHERE row_no > {size} * ({page} - 1) AND row_no <= {size} * {page}"""
+
+
+@query(
+    "read_page",
+    PAGE.format(columns="o_orderkey, o_totalprice", keys="o_orderkey", table="orders", page=7, size=100),
+)
+def _(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return read_page(orders, page_index(orders, ["o_orderkey"], ranges=64), 7, 100)
+
+
+@query(
+    "read_page_by_text",
+    PAGE.format(columns="p_brand, p_partkey, p_size", keys="p_brand, p_partkey", table="part", page=3, size=40),
+)
+def _(spark, sf):
+    part = table(spark, sf, "part").select("p_brand", "p_partkey", "p_size")
+    return read_page(part, page_index(part, ["p_brand", "p_partkey"], ranges=16), 3, 40)
+
+
 @query("scan_flagged", f"SELECT o_orderkey, sync_flag FROM ({fx.FLAGGED}) q WHERE sync_flag = 0")
 def _(spark, sf):
     flagged = rows(spark, sf, fx.FLAGGED)
