@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.functions.keys import encode_pks
+from rowtide.operators.compare import all_of
 from rowtide.operators.writeback import upsert
 from rowtide.plans.spec import SyncJob, TableSpec
+from rowtide.session import small_frame
 
 # Key columns and column order of the two audit tables.
 FLUX_KEY = [
@@ -67,6 +69,29 @@ def job_flux(changes: DataFrame, job: SyncJob, spec: TableSpec, cycle: int = 1)
     )
 
 
+def counted_flux(
+    spark: SparkSession, counts: Mapping[str, int], job: SyncJob, spec: TableSpec, cycle: int = 1
+) -> DataFrame:
+    """The audit row of a table of a job from counts made while it was written."""
+    found = {f"count_{letter}": int(counts.get(f"count_{letter}", 0)) for letter in "idu"}
+    pair = (job.name, job.source_db, spec.source, job.target_db, spec.target)
+    names = ", ".join(f"{c} string" for c in FLUX_KEY)
+    schema = f"{names}, cycle int, count_i bigint, count_d bigint, count_u bigint, flag int"
+    return small_frame(spark, [(*pair, cycle, *found.values(), 0)], schema)
+
+
+def new_errors(errors: DataFrame, known: DataFrame) -> DataFrame:
+    """Errors that are not in the log yet: a row that stays bad is reported in its first cycle only.
+
+    Several of one cycle that agree in everything else stay as many.
+    """
+    same = [*FLUX_KEY, "pk_value", "audit_error"]
+    mine = errors.alias("_new")
+    match = [F.col(f"_new.{c}").eqNullSafe(F.col(f"_known_{c}")) for c in same]
+    before = known.select(*[F.col(c).alias(f"_known_{c}") for c in same])
+    return mine.join(before, all_of(match), "left_anti").select(*errors.columns)
+
+
 def upsert_flux(existing: DataFrame, delta: DataFrame) -> DataFrame:
     """Audit table after a cycle: the row of each job and table pair replaced or added."""
     return upsert(existing, delta, FLUX_KEY)

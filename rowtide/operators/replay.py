@@ -20,7 +20,7 @@ from rowtide.operators.changelog import OP_CODES, collapse
 from rowtide.operators.compare import has_key
 from rowtide.operators.writeback import complete, missing_rows
 from rowtide.plans.spec import SyncJob, TableSpec
-from rowtide.session import settle, side_by_side, small_frame
+from rowtide.session import settle, settle_parted, side_by_side, small_frame
 from rowtide.sources.log import read_log, same_table
 from rowtide.sources.scan import fetch_by_keys, project
 
@@ -271,6 +271,11 @@ def collapse_mixed(log: DataFrame, job: SyncJob) -> DataFrame:
     return collapse(allowed.withColumn("tablename", F.upper("tablename")), ["tablename", "pks"])
 
 
+def collapse_routed(log: DataFrame, job: SyncJob) -> DataFrame:
+    """:func:`collapse_mixed` written down by table, so that each table reads its own part only."""
+    return settle_parted(collapse_mixed(log, job), "tablename")
+
+
 def pending_of(collapsed: DataFrame, spec: TableSpec) -> DataFrame:
     """The part of :func:`collapse_mixed` that belongs to one table, with typed keys."""
     mine = collapsed.where(F.col("tablename") == F.lit(spec.source.upper())).drop("tablename")
@@ -288,7 +293,7 @@ def replay_many(
     :func:`rowtide.plans.jobs.run_cdc` publishes them all at once, so no reader
     sees a child without its parent.
     """
-    collapsed = settle(collapse_mixed(log, job))
+    collapsed = collapse_routed(log, job)
     specs = [spec for stage in job.stages() for spec in stage]
 
     def state(spec: TableSpec) -> DataFrame:

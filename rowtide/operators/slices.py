@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,27 @@ def rows_between(df: DataFrame, ts: str, bounds: tuple[datetime, datetime] | Non
     return df.where((F.col(ts) >= lo) & (F.col(ts) < hi))
 
 
+def rows_before(df: DataFrame, ts: str, moment: datetime) -> DataFrame:
+    """Rows stamped before a moment."""
+    return df.where(F.col(ts) < _moment(moment))
+
+
+def digests_before(
+    df: DataFrame, columns: Sequence[str], ts: str, moments: Sequence[datetime]
+) -> list[tuple[int, int]]:
+    """For each moment a digest of the rows before it: their number and the xor of their hashes.
+
+    One narrow pass; two looks with the same digest have seen the same rows.
+    """
+    hashed = F.xxhash64(*columns)
+    parts = []
+    for i, moment in enumerate(moments):
+        before = F.col(ts) < _moment(moment)
+        parts += [F.count(F.when(before, 1)).alias(f"n{i}"), F.bit_xor(F.when(before, hashed)).alias(f"x{i}")]
+    row = df.agg(*parts).first()
+    return [(row[f"n{i}"], row[f"x{i}"] or 0) for i in range(len(moments))]
+
+
 def time_slices(
     df: DataFrame, ts: str, start: datetime | None = None, seconds: int = SLICE_SECONDS
 ) -> DataFrame:

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowtide.functions.keys import encode_pks
+from rowtide.functions.keys import comparable_pks, encode_pks
 from rowtide.operators.changelog import row_hash
 from rowtide.operators.compare import all_of
 from rowtide.operators.numbering import BUCKET_BITS, bucket_of, earlier_sums, upper_levels
 from rowtide.operators.replay import ADD, DROP, PUT, apply_decided, decide_typed, pending_keys
-from rowtide.plans.spec import TableSpec
+from rowtide.plans.spec import FieldSpec, TableSpec
 from rowtide.session import settle, side_by_side
 from rowtide.sources.log import same_table
 from rowtide.sources.scan import fetch_by_keys
@@ -22,8 +22,13 @@ from rowtide.sources.scan import fetch_by_keys
 APPLIED_SCHEMA = "origin string, tablename string, pks string, op string, id bigint, row_hash bigint"
 
 
-def _echo_group(df: DataFrame, hashed: bool) -> DataFrame:
-    parts = {"_table": F.upper("tablename"), "_pks": F.col("pks"), "_op": F.col("op")}
+# Rows that still have an echo to cancel up to which they are broadcast to the log.
+BROADCAST_BUDGETS = 1 << 17
+
+
+def _echo_group(df: DataFrame, hashed: bool, fields: Sequence[FieldSpec] | None, side: str) -> DataFrame:
+    key = comparable_pks(F.col("pks"), fields, side=side)
+    parts = {"_table": F.upper("tablename"), "_pks": key, "_op": F.col("op")}
     if hashed:
         parts["_hash"] = F.coalesce("row_hash", F.lit(0).cast("long"))
     # in front of the exact columns: sorting mostly compares this number only
@@ -36,18 +41,34 @@ def suppress_echo(
     *,
     hashed: bool = False,
     bits: int = BUCKET_BITS,
+    fields: Sequence[FieldSpec] | None = None,
+    side: str = "source",
 ) -> DataFrame:
     """Captured changes that did not come from the peer.
 
     Every applied row cancels one captured row of the same table, key and op (and
     row hash, with ``hashed``, for logs captured by comparing snapshots), the
-    earliest first. Captured rows are counted per group and id bucket, so that
+    earliest first. Keys are compared without the type names in their text, and by typed
+    values where the ``fields`` of the table are given. Captured rows are counted per group and id bucket, so that
     only the bucket where the applied rows run out has to be ranked and a key
-    that fills a third of the log is split over many tasks.
+    that fills a third of the log is split over many tasks. While few keys have an
+    echo to come, their list is broadcast, and all other rows pass unsorted.
     """
     group = ["_digest", "_table", "_pks", "_op", *(["_hash"] if hashed else [])]
-    budget = _echo_group(applied, hashed).groupBy(*group).agg(F.count(F.lit(1)).alias("_budget"))
-    tagged = _echo_group(captured, hashed).withColumn("_bucket", bucket_of("id", bits))
+    mine = _echo_group(applied, hashed, fields, side)
+    budget = settle(mine.groupBy(*group).agg(F.count(F.lit(1)).alias("_budget")))
+    tagged = _echo_group(captured, hashed, fields, side).withColumn("_bucket", bucket_of("id", bits))
+    others = None
+    if budget.count() <= BROADCAST_BUDGETS:
+        listed = F.broadcast(budget.select(*group))
+        others = tagged.join(listed, group, "left_anti").select(*captured.columns)
+        tagged = tagged.join(listed, group, "left_semi")
+    left = _beyond_budget(tagged, budget, group, bits).select(*captured.columns)
+    return left if others is None else others.unionByName(left)
+
+
+def _beyond_budget(tagged: DataFrame, budget: DataFrame, group: list[str], bits: int) -> DataFrame:
+    """Rows of ``tagged`` but for the first ``_budget`` of each group, by id."""
     counts = tagged.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     spent = (
         earlier_sums(counts, group, levels=upper_levels(bits))
@@ -64,7 +85,7 @@ def suppress_echo(
     ranked = marked.withColumn("_counts", counts).withColumn("_place", F.row_number().over(here))
     nth = F.col("_counts._before") + F.col("_place") - 1
     sent = (F.col("_counts._is_row") == 1) | (nth > F.col("_counts._budget"))
-    return ranked.where((F.col("_is_row") == 1) & sent).select(*captured.columns)
+    return ranked.where((F.col("_is_row") == 1) & sent)
 
 
 def apply_from_peer(
@@ -190,7 +211,9 @@ def exchange(
     spark = log_a.sparkSession
 
     def pending(log: DataFrame, applied: DataFrame | None, one: TableSpec) -> DataFrame:
-        own = log if applied is None else suppress_echo(log, applied, hashed=hashed)
+        own = log
+        if applied is not None:
+            own = suppress_echo(log, applied, hashed=hashed, fields=one.fields)
         return settle(pending_keys(own, one))
 
     both = [(log_a, applied_a, spec), (log_b, applied_b, back)]

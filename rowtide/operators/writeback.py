@@ -81,12 +81,15 @@ def upsert(target: DataFrame, rows: DataFrame, pk: Sequence[str]) -> DataFrame:
     return kept.unionByName(complete(rows, target, pk))
 
 
-def merge(target: DataFrame, rows: DataFrame, pk: Sequence[str]) -> DataFrame:
+def merge(
+    target: DataFrame, rows: DataFrame, pk: Sequence[str], *, op: str | None = None
+) -> DataFrame:
     """Same result as :func:`upsert`, for ``rows`` as large as the target.
 
     One full join by key: both sides are read and shuffled once, while
     :func:`upsert` reads ``rows`` twice but can broadcast them when they are few.
-    ``rows`` must hold a key at most once.
+    ``rows`` must hold a key at most once. With ``op`` a column of that name says what
+    became of each row: I, U, or null where nothing did.
     """
 
     def packed(df: DataFrame, name: str) -> DataFrame:
@@ -100,7 +103,9 @@ def merge(target: DataFrame, rows: DataFrame, pk: Sequence[str]) -> DataFrame:
         return new.otherwise(F.col(f"_old.{c}")).alias(c)
 
     both = packed(target, "_old").join(packed(rows, "_new"), list(pk), "full")
-    return both.select(*[c if c in pk else cell(c) for c in target.columns])
+    brought, there = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    became = [] if op is None else [F.when(brought & there, "U").when(brought, "I").alias(op)]
+    return both.select(*[c if c in pk else cell(c) for c in target.columns], *became)
 
 
 def move(

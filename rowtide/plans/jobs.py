@@ -11,19 +11,27 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime
-from functools import cached_property, reduce
+from functools import cached_property, partial, reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rowtide.functions.coerce import readable
-from rowtide.operators.audit import error_log, job_flux, upsert_flux
+from rowtide.functions.keys import encode_pks
+from rowtide.operators.audit import (
+    counted_flux,
+    error_log,
+    job_flux,
+    new_errors,
+    upsert_flux,
+)
 from rowtide.operators.compare import classify, dedupe, dedupe_rare, has_key
 from rowtide.operators.replay import (
-    collapse_mixed,
+    collapse_routed,
     decide_typed,
     only_newer,
+    pending_keys,
     pending_of,
     policies,
     unknown_op_rows,
@@ -32,7 +40,14 @@ from rowtide.operators.replay import (
     unreadable_texts,
 )
 from rowtide.operators.sequences import sequence_plan
-from rowtide.operators.slices import NOTHING, SLICE_SECONDS, complete_range, rows_between
+from rowtide.operators.slices import (
+    NOTHING,
+    SLICE_SECONDS,
+    complete_range,
+    digests_before,
+    rows_before,
+    rows_between,
+)
 from rowtide.operators.twoway import APPLIED_SCHEMA, apply_from_peer, exchange, suppress_echo
 from rowtide.operators.writeback import (
     delete_by_key,
@@ -42,11 +57,12 @@ from rowtide.operators.writeback import (
     present_keys,
 )
 from rowtide.plans.spec import SyncJob, TableSpec
-from rowtide.session import scratch_scope, settle, side_by_side, small_frame
-from rowtide.sources.log import LOG_SCHEMA, ack_log, read_log, same_table
+from rowtide.session import scratch_scope, settle, settle_parted, side_by_side, small_frame
+from rowtide.sources.log import LOG_SCHEMA, ROUTE, ack_log, read_log, route_log, routed_to
 from rowtide.sources.scan import project, scan, scan_flagged
 from rowtide.sources.snapshots import (
     CHECKPOINT_TABLE,
+    OP,
     CommitConflict,
     Partial,
     Parts,
@@ -64,8 +80,21 @@ FLUX_SCHEMA = (
     "count_i bigint, count_d bigint, count_u bigint, flag int"
 )
 
+ERROR_SCHEMA = (
+    "log_time timestamp_ntz, level string, business_name string, source_jdbc_name string, "
+    "source_table_name string, target_jdbc_name string, target_table_name string, pk_value string, "
+    "audit_error string, operator string, flag int"
+)
+
+# What lay below the position of a date-marker job when it was saved.
+DIGEST_TABLE = "marker_digests"
+DIGEST_SCHEMA = (
+    "job string, tablename string, version bigint, position timestamp_ntz, n bigint, x bigint"
+)
+
 # Why rows were turned away, where several places say so.
 NO_MARKER = "marker is missing"
+TOO_LATE = "row is older than the saved position"
 BAD_KEY = "unreadable key in the change log"
 BAD_OP = "unknown operation in the change log"
 
@@ -83,7 +112,9 @@ class TableResult:
     ``changes`` holds one row per key written, with ``op``. ``added`` is set where
     the target only gained rows, so that they can be appended instead of writing
     the table anew. If the target is kept in parts, ``target`` holds the rows of
-    ``parts``. What was rejected is looked for only when it is asked for.
+    ``parts``. What was rejected is looked for only when it is asked for. With ``count``
+    the rows to be written carry :data:`~rowtide.sources.snapshots.OP`, and the pass that
+    writes them counts the changes; ``changes`` would compare both sides again.
     """
 
     target: DataFrame
@@ -95,6 +126,7 @@ class TableResult:
     added: DataFrame | None = None
     parts: list[int] | None = None
     source_parts: list[int] | None = None
+    count: Observation | None = None
 
     @cached_property
     def rejected(self) -> DataFrame:
@@ -131,6 +163,7 @@ def full_table(
     *,
     rows: DataFrame | None = None,
     order_by: Sequence[str] = (),
+    counted: bool = False,
 ) -> TableResult:
     """Copy ``source`` (or the chosen ``rows`` of it) to the target by key.
 
@@ -148,12 +181,14 @@ def full_table(
         added = missing_rows(target, fresh, pk)
         changes = added.select(*pk, F.lit("I").alias("op"))
         new = target.unionByName(added, allowMissingColumns=True)
+        if counted:
+            added = added.withColumn(OP, F.lit("I"))
         there = present_keys(target, fresh, pk)
         back = there.select(*[F.col(t).alias(s) for s, t in zip(spec.pk, pk, strict=True)])
         refused = kept.join(back, spec.pk, "left_semi").select(*kept.columns)
     else:
         changes = classify(fresh.select(*pk), target, pk)
-        new = merge(target, fresh, pk)
+        new = merge(target, fresh, pk, op=OP if counted else None)
 
     def reject() -> DataFrame:
         _, twice = dedupe_rare(good, spec.pk, order_by)
@@ -176,18 +211,24 @@ def full_table(
         pk=spec.pk,
         rest=rest if spec.delete_source else None,
         added=added,
+        count=Observation() if counted else None,
     )
 
 
 def marked_table(
-    source: DataFrame, target: DataFrame, spec: TableSpec, *, order_by: Sequence[str] = ()
+    source: DataFrame,
+    target: DataFrame,
+    spec: TableSpec,
+    *,
+    order_by: Sequence[str] = (),
+    counted: bool = False,
 ) -> TableResult:
     """Copy the rows whose flag has its *before* value, then set it to *after*."""
     flag = spec.flag
     if flag is None:
         raise ValueError(f"table {spec.source}: no flag is declared")
     rows = scan_flagged(source, flag.name, flag.before)
-    result = full_table(source, target, spec, rows=rows, order_by=order_by)
+    result = full_table(source, target, spec, rows=rows, order_by=order_by, counted=counted)
     if spec.delete_source:
         return result
 
@@ -206,21 +247,30 @@ def dated_table(
     seconds: int = SLICE_SECONDS,
     order_by: Sequence[str] = (),
     bounds: tuple[datetime, datetime] | None = None,
+    late: DataFrame | None = None,
+    counted: bool = False,
 ) -> TableResult:
     """Copy the rows of all complete time slices since ``start`` in one go.
 
     ``bounds`` are those slices' limits, see
     :func:`~rowtide.operators.slices.complete_range`. Rows without a marker belong
-    to no slice and are turned away.
+    to no slice and are turned away, and so are ``late`` rows, whose slices were copied
+    before they came.
     """
     ts = spec.marker_column
     bounds = bounds or complete_range(source, ts, start, seconds)
-    result = full_table(source, target, spec, rows=rows_between(source, ts, bounds), order_by=order_by)
+    chosen = rows_between(source, ts, bounds)
+    result = full_table(source, target, spec, rows=chosen, order_by=order_by, counted=counted)
 
     def reject() -> DataFrame:
         good, bad = readable(scan(source, spec).where(F.col(ts).isNull()), spec.fields)
         bad = good if bad is None else good.unionByName(bad.drop("reason"))
-        return result.reject().unionByName(bad.withColumn("reason", F.lit(NO_MARKER)))
+        found = result.reject().unionByName(bad.withColumn("reason", F.lit(NO_MARKER)))
+        if late is None:
+            return found
+        good, bad = readable(scan(late, spec), spec.fields)
+        bad = good if bad is None else good.unionByName(bad.drop("reason"))
+        return found.unionByName(bad.withColumn("reason", F.lit(TOO_LATE)))
 
     return replace(result, reject=reject)
 
@@ -244,10 +294,16 @@ def publish_audit(
     job: SyncJob,
     flux: Sequence[DataFrame],
     errors: Sequence[DataFrame],
-    cycle: int,
+    cycle: int | None,
     name: str | None = None,
+    *,
+    once: bool = False,
 ) -> None:
-    """Replace the flux rows of the job's tables, and add to the error log."""
+    """Replace the flux rows of the job's tables, and add to the error log.
+
+    With ``once`` errors that the log already holds are left out: jobs that look at whole
+    tables meet the same bad rows in every cycle. Without a ``cycle`` nothing is recorded as done.
+    """
 
     def commit() -> None:
         tables, appends, base = {}, {}, target.version
@@ -257,7 +313,11 @@ def publish_audit(
             rows = reduce(DataFrame.unionByName, flux)
             tables[FLUX_TABLE] = upsert_flux(old, rows).coalesce(1)
         if errors:
-            appends[ERROR_TABLE] = reduce(DataFrame.unionByName, errors)
+            found = reduce(DataFrame.unionByName, errors)
+            if once:
+                known = target.read(ERROR_TABLE, schema=ERROR_SCHEMA, version=base)
+                found = new_errors(found, known.where(F.col("business_name") == job.name))
+            appends[ERROR_TABLE] = found
         target.commit(
             tables, appends=appends, job=f"{name or job.name}/audit", batch_id=cycle, base=base
         )
@@ -288,10 +348,10 @@ def _commit_results(
     cycle: int,
     bases: tuple[int, int],
     extra: dict[str, DataFrame] | None = None,
-) -> None:
+) -> bool:
     """Target first, source after it; ``bases`` are the versions of source and target read.
 
-    The batch is recorded with the last commit only. After a crash in between,
+    False if this cycle of the tables was published before. The batch is recorded with the last commit only. After a crash in between,
     the whole step runs again on what the source holds by then; putting a row
     twice changes nothing.
     """
@@ -301,11 +361,15 @@ def _commit_results(
     more = {t.target: r.added for t, r in done if r.added is not None}
     left = {t.source: r.source_state() for t, r in done if r.source is not None}
     if left and source.has_batch(name, cycle):
-        return
+        return False
     last = None if left else cycle
-    target.commit(whole, appends=more | (extra or {}), job=name, batch_id=last, base=bases[1])
+    counts = {t.target: r.count for t, r in done if r.count is not None}
+    new = target.commit(
+        whole, appends=more | (extra or {}), job=name, batch_id=last, base=bases[1], counts=counts
+    )
     if left:
         source.commit(left, job=name, batch_id=cycle, base=bases[0])
+    return new
 
 
 def _run_tables(
@@ -321,9 +385,12 @@ def _run_tables(
     """Plan and publish all tables; ``choose`` picks the rows a partial mode copies.
 
     Everything is read from the versions the commits are based on. ``prepare`` sees
-    the source rows of a table before they are planned.
+    the source rows of a table before they are planned. Tables that are published together
+    fail together; the others, and what there is to say about them, are published all the
+    same, and the first failure is raised in the end. Such a cycle is not over: the next
+    one has its number and does what is missing.
     """
-    results = {}
+    results, written, failed = {}, set(), []
 
     def attempt(group: Sequence[TableSpec]) -> None:
         bases = source.version, target.version
@@ -342,16 +409,42 @@ def _run_tables(
             result = plan(mine, old, t)
             results[t.source] = replace(result, parts=parts, source_parts=left)
         extra = positions(group) if positions else None
-        _commit_results(job, source, target, group, results, cycle, bases, extra)
+        if _commit_results(job, source, target, group, results, cycle, bases, extra):
+            written.update(t.source for t in group)
+
+    def guarded(group: Sequence[TableSpec]) -> None:
+        spark = target.spark
+        # what the tables of a failing group have started can be told from the others' work
+        spark.addTag(f"{TAG}-{group[0].source}")
+        try:
+            _retry(lambda: attempt(group))
+        except Exception as error:
+            failed.append((group, error))
+        finally:
+            spark.removeTag(f"{TAG}-{group[0].source}")
 
     with scratch_scope(target.spark):
-        side_by_side(target.spark, lambda group: _retry(lambda: attempt(group)), _groups(job))
-        # the plans hold on to the versions they were built from, so counting now
-        # still compares with the state before this cycle
-        done = [(t, results[t.source]) for t in job.tables]
-        flux = [job_flux(r.changes, job, t, cycle) for t, r in done]
+        side_by_side(target.spark, guarded, _groups(job))
+        # what was rejected is found by the plans, which hold on to the versions they were built from
+        done = [(t, results[t.source]) for t in job.tables if t.source in written]
+        flux = [counted_flux(target.spark, r.count.get, job, t, cycle) for t, r in done]
         errors = [error_log(r.rejected, job, t, F.col("reason")) for t, r in done]
-        publish_audit(target, job, flux, errors, cycle)
+        for group, error in failed:
+            errors += [_failure(target, job, t, error) for t in group]
+        publish_audit(target, job, flux, errors, None if failed else cycle, once=True)
+    if failed:
+        raise failed[0][1]
+
+
+# Fixed value: begin of the tags of the Spark jobs of a group of tables.
+TAG = "rowtide-table"
+
+
+def _failure(store: SnapshotStore, job: SyncJob, spec: TableSpec, error: Exception) -> DataFrame:
+    """An error row for a table that could not be published."""
+    text = " ".join(str(error).split())[:500]
+    none = small_frame(store.spark, [("",)], "pks string")
+    return error_log(none, job, spec, f"table failed: {type(error).__name__}: {text}")
 
 
 def target_ddl(spec: TableSpec) -> str:
@@ -379,7 +472,8 @@ def run_full(
     job: SyncJob, source: SnapshotStore, target: SnapshotStore, *, cycle: int | None = None
 ) -> None:
     """Copy all tables whole."""
-    _run_tables(job, source, target, _cycle(job, target, cycle), full_table)
+    plan = partial(full_table, counted=True)
+    _run_tables(job, source, target, _cycle(job, target, cycle), plan)
 
 
 def run_marker(
@@ -390,7 +484,8 @@ def run_marker(
     def choose(rows: DataFrame, spec: TableSpec) -> DataFrame:
         return scan_flagged(rows, spec.flag.name, spec.flag.before)
 
-    _run_tables(job, source, target, _cycle(job, target, cycle), marked_table, choose)
+    plan = partial(marked_table, counted=True)
+    _run_tables(job, source, target, _cycle(job, target, cycle), plan, choose)
 
 
 def run_date_marker(
@@ -405,36 +500,104 @@ def run_date_marker(
     number = _cycle(job, target, cycle)
     starts = {t.source: load_checkpoint(target, job.name, t.source) for t in job.tables}
     ranges: dict[str, tuple[datetime, datetime] | None] = {}
+    late: dict[str, DataFrame | None] = {}
+    below: dict[str, tuple] = {}
 
     def prepare(spec: TableSpec, rows: DataFrame) -> None:
         # the position that is saved and the rows that are copied come from one look
-        ranges[spec.source] = complete_range(rows, spec.marker_column, starts[spec.source], seconds)
+        name, ts, start = spec.source, spec.marker_column, starts[spec.source]
+        ranges[name] = complete_range(rows, ts, start, seconds)
+        reached = ranges[name][1] if ranges[name] else start
+        late[name] = None
+        if reached is None:
+            return
+        was, is_ = digests_before(rows, [*spec.pk, ts], ts, [start or reached, reached])
+        below[name] = (reached, *is_)
+        if start is not None and was != _saved_digest(target, job, spec, start):
+            late[name] = _late_rows(rows, target, job, spec, start)
 
     def choose(rows: DataFrame, spec: TableSpec) -> DataFrame:
         return rows_between(rows, spec.marker_column, ranges[spec.source])
 
     def plan(src: DataFrame, tgt: DataFrame, spec: TableSpec) -> TableResult:
-        bounds = ranges[spec.source] or NOTHING
-        return dated_table(src, tgt, spec, start=starts[spec.source], seconds=seconds, bounds=bounds)
+        return dated_table(
+            src,
+            tgt,
+            spec,
+            start=starts[spec.source],
+            seconds=seconds,
+            bounds=ranges[spec.source] or NOTHING,
+            late=late[spec.source],
+            counted=True,
+        )
 
     def positions(group: Sequence[TableSpec]) -> dict[str, DataFrame]:
         values = {t.source: ranges[t.source][1] for t in group if ranges[t.source]}
-        if not values:
-            return {}
-        return {CHECKPOINT_TABLE: checkpoint_rows(target.spark, job.name, values, number)}
+        looks = [(job.name, t.source, number, *below[t.source]) for t in group if t.source in below]
+        found = {}
+        if values:
+            found[CHECKPOINT_TABLE] = checkpoint_rows(target.spark, job.name, values, number)
+        if looks:
+            found[DIGEST_TABLE] = small_frame(target.spark, looks, DIGEST_SCHEMA)
+        return found
 
     _run_tables(job, source, target, number, plan, choose, positions, prepare)
 
 
+def _saved_digest(
+    target: SnapshotStore, job: SyncJob, spec: TableSpec, position: datetime
+) -> tuple[int, int] | None:
+    """What lay below the position when it was last looked at."""
+    saved = target.read(DIGEST_TABLE, schema=DIGEST_SCHEMA)
+    mine = saved.where((F.col("job") == job.name) & (F.col("tablename") == spec.source))
+    row = mine.agg(F.max_by(F.struct("position", "n", "x"), "version").alias("last")).first()["last"]
+    return None if row is None or row["position"] != position else (row["n"], row["x"])
+
+
+def _late_rows(
+    rows: DataFrame, target: SnapshotStore, job: SyncJob, spec: TableSpec, position: datetime
+) -> DataFrame:
+    """Source rows below the position that are not on the target.
+
+    Rows whose key the error log already names for another reason were turned away in their time.
+    """
+    ts, pk = spec.marker_column, spec.pk
+    marker = next(f.target for f in spec.fields if f.source == ts)
+    there = target.read(spec.target, schema=target_ddl(spec))
+    copied = there.select(
+        *[F.col(t).alias(f"_key_{i}") for i, t in enumerate(spec.target_pk)],
+        F.col(marker).cast("timestamp_ntz").alias("_marker"),
+    )
+    old = rows_before(rows, ts, position).select(*rows.columns)
+    same = [F.col(s) == F.col(f"_key_{i}") for i, s in enumerate(pk)]
+    missed = old.join(
+        copied, reduce(lambda a, b: a & b, same) & (F.col(ts).cast("timestamp_ntz") == F.col("_marker")), "left_anti"
+    )
+    known = target.read(ERROR_TABLE, schema=ERROR_SCHEMA).where(
+        (F.col("business_name") == job.name)
+        & (F.col("source_table_name") == spec.source)
+        & (F.col("audit_error") != TOO_LATE)
+    )
+    told = known.select(F.col("pk_value").alias("_told")).distinct()
+    return missed.join(told, encode_pks(spec.fields) == F.col("_told"), "left_anti")
+
+
+def _acked(
+    store: SnapshotStore, log: str, taken: DataFrame, version: int
+) -> DataFrame | Partial:
+    """What to publish for a log to take the rows in ``taken`` out of it."""
+    # a log kept in parts (spans of ids) has only the parts of taken rows rewritten
+    parts = store.touched(log, taken, version=version)
+    left = ack_log(store.read(log, version=version, parts=parts), taken)
+    return left if parts is None else Partial(left, parts)
+
+
 def _ack(store: SnapshotStore, log: str, taken: DataFrame, job: str, cycle: int) -> None:
     """Take the rows in ``taken`` out of a log to which a capture may be adding meanwhile."""
 
     def commit() -> None:
         base = store.version
-        # a log kept in parts (spans of ids) has only the parts of taken rows rewritten
-        parts = store.touched(log, taken, version=base)
-        left = ack_log(store.read(log, version=base, parts=parts), taken)
-        state = left if parts is None else Partial(left, parts)
+        state = _acked(store, log, taken, base)
         store.commit({log: state}, job=f"{job}/ack", batch_id=cycle, base=base)
 
     _retry(commit)
@@ -489,7 +652,7 @@ def apply_log(
     base, source_base = target.version, source.version
     with scratch_scope(target.spark):
         # read by every table of the job, so written down once
-        collapsed = settle(collapse_mixed(log, job))
+        collapsed = collapse_routed(log, job)
         states, flux, errors = {}, [], []
         for spec, bad in zip(job.tables, unknown_ops(log, job), strict=True):
             errors.append(error_log(bad, job, spec, BAD_OP))
@@ -546,7 +709,8 @@ def run_cdc(
     limit = limit or job.max_records
     with scratch_scope(target.spark):
         log = source.read(job.source_log, schema=LOG_SCHEMA, version=source.version)
-        taken = settle(_take(log, job, "source", limit)) if limit else _take(log, job, "source", None)
+        # the log is read here, once; tables and acknowledgement go by what was taken
+        taken = route_log(_take(log, job, "source", limit)).drop(ROUTE)
         _retry(lambda: apply_log(job, taken, source, target, cycle=number))
         _ack(source, job.source_log, taken, job.name, number)
 
@@ -561,84 +725,153 @@ def run_two_way(
 ) -> None:
     """Bring both sides in step.
 
-    Side b is published first, then side a, and only then are the logs
-    acknowledged. A crash in between repeats steps that change nothing more.
-    Logs captured by comparing snapshots carry ``row_hash``; then an echo must
-    match it, too.
+    Each side is published once per cycle: its tables, the applied rows whose echo is to
+    come, its log without the rows that were taken, and its audit, all together. Side b comes first and
+    is published with an outbox, what was decided to go to side a; side a is brought up to
+    date from there. So after a crash or a conflict between the sides nothing is decided
+    or recorded twice. Logs captured by comparing snapshots carry ``row_hash``; then an
+    echo must match it, too.
     """
-    number = _cycle(job, b, cycle)
-    if b.has_batch(f"{job.name}/ack", number):
-        return
-    _retry(lambda: _two_way_cycle(job, a, b, number, conflict))
+    name = f"{job.name}/two_way"
+    if cycle is None:
+        done_a, done_b = (s.manifest()["batches"].get(name, 0) for s in (a, b))
+        cycle = done_b if done_a < done_b else done_b + 1
+    with scratch_scope(b.spark):
+        if not b.has_batch(name, cycle):
+            _retry(lambda: _publish_b(job, a, b, cycle, conflict, name))
+        if not a.has_batch(name, cycle):
+            _retry(lambda: _publish_a(job, a, b, cycle, conflict, name))
 
 
-def _two_way_cycle(
-    job: SyncJob, a: SnapshotStore, b: SnapshotStore, number: int, conflict: str
-) -> None:
-    base_a, base_b = a.version, b.version
-    log_a = a.read(job.source_log, schema=LOG_SCHEMA, version=base_a)
-    log_b = b.read(job.target_log, schema=LOG_SCHEMA, version=base_b)
-    hashed = "row_hash" in log_a.columns and "row_hash" in log_b.columns
-    limit = job.max_records
-    taken_a, taken_b = _take(log_a, job, "source", limit), _take(log_b, job, "target", limit)
-    back_job = replace(
+def _outbox(job: SyncJob, what: str) -> str:
+    return f"{job.name}__outbox_{what}"
+
+
+def _back_job(job: SyncJob) -> SyncJob:
+    """The job as side b sees it."""
+    return replace(
         job,
         source_db=job.target_db,
         target_db=job.source_db,
         tables=tuple(t.reversed() for t in job.tables),
     )
-    with scratch_scope(b.spark):
-        if limit:
-            taken_a, taken_b = settle(taken_a), settle(taken_b)
-        new_a, new_b, flux, flux_a, errors, errors_a = {}, {}, [], [], [], []
 
-        def one(spec: TableSpec) -> None:
-            back = spec.reversed()
-            mark_a, mark_b = f"{spec.source}__applied", f"{spec.target}__applied"
-            seen_a = a.read(mark_a, schema=APPLIED_SCHEMA, version=base_a)
-            seen_b = b.read(mark_b, schema=APPLIED_SCHEMA, version=base_b)
-            mine_a = taken_a.where(same_table(spec.source))
-            mine_b = taken_b.where(same_table(spec.target))
-            plan = exchange(
-                a.read(spec.source, version=base_a),
-                b.read(spec.target, schema=target_ddl(spec), version=base_b),
-                mine_a,
-                mine_b,
-                spec,
-                applied_a=seen_a,
-                applied_b=seen_b,
-                conflict=conflict,
-                hashed=hashed,
+
+def _log_state(
+    store: SnapshotStore, log: str | None, taken: DataFrame, version: int
+) -> dict[str, DataFrame | Partial]:
+    there = log is not None and log in store.manifest(version)["tables"]
+    return {log: _acked(store, log, taken, version)} if there else {}
+
+
+def _flux_state(store: SnapshotStore, flux: Sequence[DataFrame], version: int) -> DataFrame:
+    old = store.read(FLUX_TABLE, schema=FLUX_SCHEMA, version=version)
+    return upsert_flux(old, reduce(DataFrame.unionByName, flux)).coalesce(1)
+
+
+def _publish_b(
+    job: SyncJob, a: SnapshotStore, b: SnapshotStore, number: int, conflict: str, name: str
+) -> None:
+    """Decide both directions, publish side b and what is to go to side a."""
+    base_a, base_b = a.version, b.version
+    log_a = a.read(job.source_log, schema=LOG_SCHEMA, version=base_a)
+    log_b = b.read(job.target_log, schema=LOG_SCHEMA, version=base_b)
+    hashed = "row_hash" in log_a.columns and "row_hash" in log_b.columns
+    # either log is read once, whatever the number of tables
+    taken_a = route_log(_take(log_a, job, "source", job.max_records))
+    taken_b = route_log(_take(log_b, job, "target", job.max_records))
+    back_job = _back_job(job)
+    tables, flux, errors, errors_a = {}, [], [], []
+
+    def one(spec: TableSpec) -> None:
+        back, mark = spec.reversed(), f"{spec.target}__applied"
+        seen_a = a.read(f"{spec.source}__applied", schema=APPLIED_SCHEMA, version=base_a)
+        seen_b = b.read(mark, schema=APPLIED_SCHEMA, version=base_b)
+        mine_a, mine_b = routed_to(taken_a, spec.source), routed_to(taken_b, spec.target)
+        plan = exchange(
+            a.read(spec.source, version=base_a),
+            b.read(spec.target, schema=target_ddl(spec), version=base_b),
+            mine_a,
+            mine_b,
+            spec,
+            applied_a=seen_a,
+            applied_b=seen_b,
+            conflict=conflict,
+            hashed=hashed,
+        )
+        state_b, on_b = _apply(b, plan.to_b, spec.source, spec, base_b, hashed)
+        on_b = settle(on_b)
+        # applied rows whose echo has now been seen have done their work
+        left_b = suppress_echo(seen_b, mine_b, hashed=hashed, fields=back.fields)
+        tables.update({spec.target: state_b, mark: left_b.unionByName(on_b)})
+        tables[_outbox(job, spec.source)] = plan.to_a
+        flux.append(job_flux(on_b, job, spec, number))
+        lost = conflict_rows(plan.conflicts, spec)
+        errors.append(error_log(lost, job, spec, F.col("reason"), level="WARN"))
+        for found, rows, one_job, way, bad in (
+            (errors, mine_a, job, spec, plan.rejected_b),
+            (errors_a, mine_b, back_job, back, plan.rejected_a),
+        ):
+            found.append(error_log(unreadable_keys(rows, way), one_job, way, BAD_KEY))
+            found.append(error_log(unknown_op_rows(rows), one_job, way, BAD_OP))
+            found.append(error_log(bad, one_job, way, F.col("reason")))
+
+    side_by_side(b.spark, one, job.tables)
+    tables |= _log_state(b, job.target_log, taken_b.drop(ROUTE), base_b)
+    tables[_outbox(job, "taken")] = taken_a.select("tablename", "id")
+    tables[_outbox(job, "errors")] = reduce(DataFrame.unionByName, errors_a)
+    tables[FLUX_TABLE] = _flux_state(b, flux, base_b)
+    appends = {ERROR_TABLE: reduce(DataFrame.unionByName, errors)}
+    b.commit(tables, appends=appends, job=name, batch_id=number, base=base_b)
+
+
+def _publish_a(
+    job: SyncJob, a: SnapshotStore, b: SnapshotStore, number: int, conflict: str, name: str
+) -> None:
+    """Bring side a up to date from the outbox that side b was published with.
+
+    What applications changed on side a meanwhile is in its log and was not taken: such a
+    key is left alone, unless side b always wins, and goes to side b in the next cycle.
+    """
+    base, box = a.version, b.version
+    log = a.read(job.source_log, schema=LOG_SCHEMA, version=base)
+    hashed = "row_hash" in log.columns and "row_hash" in b.read(job.target_log, schema=LOG_SCHEMA).columns
+    taken = b.read(_outbox(job, "taken"), version=box)
+    mine = policies(a.spark, job.tables).select(F.col("tablename").alias("_table"))
+    pending = read_log(log).join(F.broadcast(mine), F.upper("tablename") == F.col("_table"), "left_semi")
+    ids = taken.select(F.upper("tablename").alias("_of"), F.col("id").alias("_id"))
+    same = (F.upper("tablename") == F.col("_of")) & (F.col("id") == F.col("_id"))
+    then = route_log(pending.join(ids, same, "left_semi"))
+    since = route_log(pending.join(ids, same, "left_anti"))
+    back_job = _back_job(job)
+    tables, flux, errors = {}, [], [b.read(_outbox(job, "errors"), version=box)]
+
+    def one(spec: TableSpec) -> None:
+        back, mark = spec.reversed(), f"{spec.source}__applied"
+        decided = b.read(_outbox(job, spec.source), version=box)
+        seen = a.read(mark, schema=APPLIED_SCHEMA, version=base)
+        if conflict != "target":
+            newer = routed_to(since, spec.source)
+            newer = suppress_echo(newer, seen, hashed=hashed, fields=spec.fields)
+            names = dict(zip(spec.target_pk, spec.pk, strict=True))
+            newer = settle(pending_keys(newer, spec).select(*spec.target_pk).withColumnsRenamed(names))
+            lost = decided.join(newer, spec.pk, "left_semi").withColumnsRenamed(
+                dict(zip(spec.pk, back.pk, strict=True))
             )
-            state_b, on_b = _apply(b, plan.to_b, spec.source, spec, base_b, hashed)
-            state_a, on_a = _apply(a, plan.to_a, spec.target, back, base_a, hashed)
-            # applied rows whose echo has now been seen have done their work
-            left_a = suppress_echo(seen_a, mine_a, hashed=hashed)
-            left_b = suppress_echo(seen_b, mine_b, hashed=hashed)
-            new_a.update({spec.source: state_a, mark_a: left_a.unionByName(on_a)})
-            new_b.update({spec.target: state_b, mark_b: left_b.unionByName(on_b)})
-            flux.append(job_flux(on_b, job, spec, number))
-            flux_a.append(job_flux(on_a, back_job, back, number))
-            lost = conflict_rows(plan.conflicts, spec)
-            errors.append(error_log(lost, job, spec, F.col("reason"), level="WARN"))
-            for found, name, one_job, way, bad in (
-                (errors, mine_a, job, spec, plan.rejected_b),
-                (errors_a, mine_b, back_job, back, plan.rejected_a),
-            ):
-                found.append(error_log(unreadable_keys(name, way), one_job, way, BAD_KEY))
-                found.append(error_log(unknown_op_rows(name), one_job, way, BAD_OP))
-                found.append(error_log(bad, one_job, way, F.col("reason")))
-
-        side_by_side(b.spark, one, job.tables)
-        b.commit(new_b, base=base_b)
-        a.commit(new_a, base=base_a)
-        last = [
-            lambda: _ack(a, job.source_log, taken_a, job.name, number),
-            lambda: _ack(b, job.target_log, taken_b, job.name, number),
-            lambda: publish_audit(a, back_job, flux_a, errors_a, number),
-            lambda: publish_audit(b, job, flux, errors, number),
-        ]
-        side_by_side(b.spark, lambda step: step(), last)
+            reason = F.concat(F.lit("changed on both sides meanwhile, operation left out: "), "_log.last_op")
+            errors.append(error_log(lost, back_job, back, reason, level="WARN"))
+            decided = settle(decided.join(newer, spec.pk, "left_anti"))
+        state, effect = _apply(a, decided, spec.target, back, base, hashed)
+        effect = settle(effect)
+        left = suppress_echo(seen, routed_to(then, spec.source), hashed=hashed, fields=spec.fields)
+        tables.update({spec.source: state, mark: left.unionByName(effect)})
+        flux.append(job_flux(effect, back_job, back, number))
+
+    side_by_side(a.spark, one, job.tables)
+    tables |= _log_state(a, job.source_log, taken, base)
+    tables[FLUX_TABLE] = _flux_state(a, flux, base)
+    appends = {ERROR_TABLE: reduce(DataFrame.unionByName, errors)}
+    a.commit(tables, appends=appends, job=name, batch_id=number, base=base)
 
 
 def conflict_rows(conflicts: DataFrame, spec: TableSpec) -> DataFrame:

@@ -12,8 +12,11 @@ from rowtide.registry import fixtures as fx
 from rowtide.registry.base import query, rows, table, with_tables
 from rowtide.session import scratch_path
 from rowtide.sources.log import read_log_stream
-from rowtide.sources.snapshots import Parts, SnapshotStore
+from rowtide.sources.snapshots import CommitConflict, Parts, SnapshotStore
 from rowtide.streaming import streams
+from rowtide.streaming.appends import stream_cdc_table
+from rowtide.streaming.echo_state import FORWARD, stream_echo_state
+from rowtide.streaming.progress import ProgressLog
 
 PLAIN = "SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status FROM orders"
 UPSERTED = """SELECT k, price, status FROM src UNION ALL
@@ -171,8 +174,7 @@ SIDES = f"""SELECT 'a' AS side, user_id, n_events, last_event FROM ({ch.SQL_A})
             UNION ALL SELECT 'b', uid, cnt, last_ev FROM ({ch.SQL_B}) y"""
 
 
-@query("job_two_way", SIDES)
-def _(spark, sf):
+def _pair_stores(spark, sf) -> tuple[SnapshotStore, SnapshotStore]:
     a, b = _store(spark, "a"), _store(spark, "b")
     empty_hash = F.lit(None).cast("long").alias("row_hash")
     a.commit(
@@ -189,10 +191,16 @@ def _(spark, sf):
             "people__applied": rows(spark, sf, fx.APPLIED_B).select("*", empty_hash),
         }
     )
-    job = SyncJob(
+    return a, b
+
+
+def _pair_job() -> SyncJob:
+    return SyncJob(
         name="pair", apptype="db_sx", source_log="log_a", target_log="log_b", tables=(fx.pair_spec(),)
     )
-    jobs.run(job, a, b)
+
+
+def _sides(a: SnapshotStore, b: SnapshotStore) -> DataFrame:
     names = {"uid": "user_id", "cnt": "n_events", "last_ev": "last_event"}
     side_b = b.read("people").withColumnsRenamed(names)
     return (
@@ -202,6 +210,13 @@ def _(spark, sf):
     )
 
 
+@query("job_two_way", SIDES)
+def _(spark, sf):
+    a, b = _pair_stores(spark, sf)
+    jobs.run(_pair_job(), a, b)
+    return _sides(a, b)
+
+
 # -- what is turned away, and what happens between reading and publishing ---------------
 
 ERRORS = "pk_value, audit_error, source_table_name"
@@ -212,6 +227,48 @@ def _errors(store: SnapshotStore) -> DataFrame:
     return store.read(jobs.ERROR_TABLE).select(*names)
 
 
+@query(
+    "job_full_flux",
+    with_tables(
+        """SELECT 'orders' AS source_table_name, 'orders_copy' AS target_table_name,
+                  count(CASE WHEN k NOT IN (SELECT k FROM tgt) THEN 1 END) AS count_i,
+                  CAST(0 AS BIGINT) AS count_d,
+                  count(CASE WHEN k IN (SELECT k FROM tgt) THEN 1 END) AS count_u FROM src""",
+        src=PLAIN,
+        tgt=fx.TARGET,
+    ),
+)
+def _(spark, sf):
+    """The changes of a job, counted by the pass that writes them."""
+    source, target = _store(spark, "source"), _store(spark, "target")
+    source.commit({"orders": table(spark, sf, "orders")})
+    target.commit({"orders_copy": rows(spark, sf, fx.TARGET)})
+    jobs.run(SyncJob(name="orders", apptype="db_qb", tables=(fx.orders_spec(),)), source, target)
+    names = ["source_table_name", "target_table_name", "count_i", "count_d", "count_u"]
+    return target.read(jobs.FLUX_TABLE).select(*names)
+
+
+class _FailingOnce(SnapshotStore):
+    """A store whose next commit fails after the other side was published."""
+
+    failed = False
+
+    def commit(self, *args, **options) -> bool:
+        if not self.failed:
+            self.failed = True
+            raise CommitConflict("another writer was here")
+        return super().commit(*args, **options)
+
+
+@query("job_two_way_retry", SIDES)
+def _(spark, sf):
+    """A conflict between the sides: what side b was given is neither decided nor recorded again."""
+    a, b = _pair_stores(spark, sf)
+    failing = _FailingOnce(spark, a.path)
+    jobs.run(_pair_job(), failing, b)
+    return _sides(a, b)
+
+
 # Events without a marker belong to no slice.
 UNDATED = """SELECT event_id, CASE WHEN event_id % 10 = 3 THEN NULL ELSE ts END AS ts, user_id, event_type
              FROM events"""
@@ -234,6 +291,43 @@ def _(spark, sf):
     return _errors(target)
 
 
+@query(
+    "error_log_once",
+    f"""SELECT concat('event_id;BIGINT;', CAST(event_id AS STRING), ';') AS pk_value,
+               'marker is missing' AS audit_error, 'events' AS source_table_name
+        FROM ({UNDATED}) q WHERE ts IS NULL""",
+)
+def _(spark, sf):
+    """Three cycles over rows that stay bad: each is reported in the first."""
+    source, target = _store(spark, "source"), _store(spark, "target")
+    source.commit({"events": rows(spark, sf, UNDATED)})
+    for _ in range(3):
+        jobs.run(_dated_job(), source, target)
+    return _errors(target)
+
+
+# Rows that come when their slices have been copied.
+LATE = """SELECT event_id + 1000000000 AS event_id, ts, user_id, event_type FROM events
+          WHERE event_id % 40 = 1 AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+
+
+@query(
+    "date_marker_late",
+    f"""SELECT concat('event_id;BIGINT;', CAST(event_id AS STRING), ';') AS pk_value,
+               'row is older than the saved position' AS audit_error, 'events' AS source_table_name
+        FROM ({LATE}) q""",
+)
+def _(spark, sf):
+    """Late rows are reported in the cycle that first sees them, and not again."""
+    source, target = _store(spark, "source"), _store(spark, "target")
+    source.commit({"events": table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")})
+    jobs.run(_dated_job(), source, target)
+    source.commit(appends={"events": rows(spark, sf, LATE)})
+    for _ in range(2):
+        jobs.run(_dated_job(), source, target)
+    return _errors(target)
+
+
 @query(
     "job_date_marker_cycles",
     """SELECT event_id, ts AS seen_at, user_id, event_type FROM events e,
@@ -386,12 +480,9 @@ def _(spark, sf):
     return target.read("events_copy")
 
 
-@query(
-    "stream_echo",
-    ch.ECHO_FREE.format(columns="id, tablename, pks, op", captured=fx.LOG, applied=fx.PEER),
-)
-def _(spark, sf):
-    tagged = (
+def _echo_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as captured rows, and the even ids as rows applied for the peer."""
+    return (
         _log_stream(spark, sf)
         .withColumn("origin", F.lit("peer"))
         .withColumn("row_hash", F.lit(None).cast("long"))
@@ -404,7 +495,85 @@ def _(spark, sf):
             ),
         )
     )
+
+
+@query(
+    "stream_echo",
+    ch.ECHO_FREE.format(columns="id, tablename, pks, op", captured=fx.LOG, applied=fx.PEER),
+)
+def _(spark, sf):
+    tagged = _echo_stream(spark, sf)
     store = _store(spark, "echo")
     run = streams.stream_echo(tagged, store, "echo", scratch_path(spark, "offsets"), once=True)
     run.awaitTermination()
     return store.read(streams.FORWARDED).select("id", "tablename", "pks", "op")
+
+
+SPAN_BITS = 8
+SPANNED = f"""SELECT *, id // {1 << SPAN_BITS} AS span FROM ({{log}}) q"""
+
+
+@query(
+    "stream_echo_state",
+    ch.ECHO_FREE.replace("PARTITION BY tablename", "PARTITION BY span, tablename")
+    .replace("a.n = c.n", "a.n = c.n AND a.span = c.span")
+    .format(
+        columns="id, tablename, pks, op",
+        captured=SPANNED.format(log=fx.LOG),
+        applied=SPANNED.format(log=fx.PEER),
+    ),
+)
+def _(spark, sf):
+    """Pending echoes in the state store, keys spread over spans of ids."""
+    path = scratch_path(spark, "echo")
+    run = stream_echo_state(
+        _echo_stream(spark, sf), path, scratch_path(spark, "offsets"), once=True, span_bits=SPAN_BITS
+    )
+    run.awaitTermination()
+    sent = spark.read.parquet(path).where(F.col("kind") == FORWARD)
+    return sent.select("id", "tablename", "pks", "op")
+
+
+@query("stream_progress", "SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS n_rows FROM orders")
+def _(spark, sf):
+    """Rows per micro-batch, as the listener notes them."""
+    target, noted = _store(spark, "target"), ProgressLog().watch(spark)
+    try:
+        job = SyncJob(name="orders", apptype="db_qb", tables=(fx.orders_spec(only_once=True),))
+        orders = _file_stream(spark, sf, "orders")
+        run = streams.stream_full(orders, target, job, job.tables[0], scratch_path(spark, "offsets"))
+        run.awaitTermination()
+        noted.wait(run)
+    finally:
+        noted.unwatch(spark)
+    noted.publish(target)
+    mine = target.read("stream_progress").where(F.col("query_id") == str(run.id))
+    return mine.select("batch_id", "n_rows")
+
+
+@query(
+    "stream_collapse",
+    f"""SELECT tablename, pks, arg_max(op, id) AS last_op, max(id) AS last_id,
+               bool_or(op = 'D') AS has_delete, arg_max(op_time, id) AS last_time
+        FROM ({fx.LOG}) q GROUP BY tablename, pks""",
+)
+def _(spark, sf):
+    """The last op per key as a streaming aggregation."""
+    store = _store(spark, "collapsed")
+    run = streams.stream_collapse(
+        _log_stream(spark, sf), store, "last_ops", "collapse", scratch_path(spark, "offsets"), once=True
+    )
+    run.awaitTermination()
+    return store.read("last_ops")
+
+
+@query("stream_cdc_table", ch.many_sql())
+def _(spark, sf):
+    """The change log as a table of the source store that captures append to."""
+    source, target = _user_stores(spark, sf, with_log=False)
+    log = rows(spark, sf, fx.LOG)
+    for part in range(2):
+        source.commit(appends={"change_log": log.where(F.col("id") % 2 == part)})
+    run = stream_cdc_table(source, target, fx.users_job(), scratch_path(spark, "offsets"), once=True)
+    run.awaitTermination()
+    return _copies(target)

@@ -68,6 +68,22 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_parted(df: DataFrame, column: str) -> DataFrame:
+    """:func:`settle` with one folder per value of ``column`` (a string, few values).
+
+    Reading one value afterwards opens its folder only.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
+    df.write.partitionBy(column).parquet(path)
+    kept = [f for f in df.schema.fields if f.name != column]
+    schema = T.StructType([*kept, df.schema[column]])
+    return spark.read.schema(schema).parquet(path).select(*df.columns)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Remove the scratch tables written inside the block when it ends.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowtide.session import settle_parted
+
 # Columns of the change log.
 LOG_COLUMNS = ["id", "dbname", "tablename", "pks", "op", "op_time"]
 LOG_SCHEMA = (
@@ -29,6 +31,20 @@ def read_log(log: DataFrame, *, table: str | None = None, limit: int | None = No
     return pending if limit is None else pending.orderBy("id").limit(limit)
 
 
+# Partition column of a log that has been routed.
+ROUTE = "_route"
+
+
+def route_log(log: DataFrame) -> DataFrame:
+    """The log read once and written by table, for jobs that look at each table's rows several times."""
+    return settle_parted(log.withColumn(ROUTE, F.upper("tablename")), ROUTE)
+
+
+def routed_to(routed: DataFrame, table: str) -> DataFrame:
+    """One table's rows of a routed log; only their folder is read."""
+    return routed.where(F.col(ROUTE) == F.lit(table.upper())).drop(ROUTE)
+
+
 def read_log_stream(
     spark: SparkSession,
     path: str,

@@ -8,19 +8,23 @@ needs no acknowledgement of its own: its offsets are in the stream's checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rowtide.operators.audit import error_log, job_flux
+from rowtide.operators.audit import counted_flux, error_log
+from rowtide.operators.changelog import collapse
 from rowtide.operators.slices import SLICE_SECONDS, next_position
 from rowtide.operators.twoway import APPLIED_SCHEMA, suppress_echo
+from rowtide.operators.writeback import merge
 from rowtide.plans.jobs import (
     ERROR_TABLE,
+    GUARD_PARTS,
     NO_MARKER,
+    TOO_LATE,
     apply_log,
     full_table,
     publish_audit,
@@ -28,14 +32,17 @@ from rowtide.plans.jobs import (
     target_of,
 )
 from rowtide.plans.spec import SyncJob, TableSpec
-from rowtide.session import scratch_scope
+from rowtide.session import scratch_scope, settle
 from rowtide.sources.scan import scan
 from rowtide.sources.snapshots import (
     CHECKPOINT_TABLE,
+    Partial,
+    Parts,
     SnapshotStore,
     checkpoint_rows,
     load_checkpoint,
 )
+from rowtide.streaming.echo_state import ROCKSDB
 
 
 def start(
@@ -45,14 +52,20 @@ def start(
     *,
     once: bool,
     interval: int = 1,
+    mode: str = "append",
 ) -> StreamingQuery:
-    """Run ``handle`` for every micro-batch: all that is there now, or every ``interval`` seconds."""
+    """Run ``handle`` for every micro-batch: all that is there now, or every ``interval`` seconds.
+
+    A batch is read from its source once and written down: what a handler looks at
+    several times is the same each time, and the progress Spark reports counts each row once.
+    """
 
     def tidy(batch: DataFrame, number: int) -> None:
         with scratch_scope(batch.sparkSession):
-            handle(batch, number)
+            handle(settle(batch), number)
 
-    writer = stream.writeStream.foreachBatch(tidy).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(tidy)
+    writer = writer.option("checkpointLocation", checkpoint)
     if once:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{interval} seconds").start()
@@ -74,7 +87,7 @@ def poll(
     return start(clock, handle, checkpoint, once=False, interval=job.interval)
 
 
-def _stream_name(batch: DataFrame, name: str) -> str:
+def stream_name(batch: DataFrame, name: str) -> str:
     """Batch numbers count per stream; a stream begun anew must not reuse old ones."""
     query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
     return f"{name}@{query}"
@@ -92,17 +105,18 @@ def stream_full(
     """Upsert arriving source rows; stops at the end of the input for a run-once table."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        name = _stream_name(batch, f"{job.name}/{spec.source}")
+        name = stream_name(batch, f"{job.name}/{spec.source}")
         base = target.version
         old, parts = target_of(target, spec, batch, version=base)
-        result = replace(full_table(batch, old, spec), parts=parts)
+        result = replace(full_table(batch, old, spec, counted=True), parts=parts)
         errors = error_log(result.rejected, job, spec, F.col("reason"))
         if result.added is None:
             tables, appends = {spec.target: result.state()}, {ERROR_TABLE: errors}
         else:
             tables, appends = {}, {spec.target: result.added, ERROR_TABLE: errors}
-        if target.commit(tables, appends=appends, job=name, batch_id=number, base=base):
-            flux = job_flux(result.changes, job, spec, number)
+        counts = {spec.target: result.count}
+        if target.commit(tables, appends=appends, job=name, batch_id=number, base=base, counts=counts):
+            flux = counted_flux(target.spark, result.count.get, job, spec, number)
             publish_audit(target, job, [flux], [], number, name)
 
     once = spec.only_once if once is None else once
@@ -130,12 +144,47 @@ def stream_cdc(
             cycle=number,
             batch_id=number,
             guard=guard,
-            stream=_stream_name(batch, job.name),
+            stream=stream_name(batch, job.name),
         )
 
     return start(log, handle, checkpoint, once=once, interval=job.interval)
 
 
+def stream_collapse(
+    log: DataFrame,
+    store: SnapshotStore,
+    table: str,
+    name: str,
+    checkpoint: str,
+    *,
+    by: Sequence[str] = ("tablename", "pks"),
+    once: bool = False,
+    interval: int = 1,
+) -> StreamingQuery:
+    """Keep the last op per key of a log that grows, see :func:`~rowtide.operators.changelog.collapse`.
+
+    The aggregate lives in the state store: a batch changes the state of the keys it brings, and
+    only these are merged into the ``table``, which is laid out in parts by key. However the
+    log is cut into batches, and in whatever order they come, the table is what one
+    collapse of the whole log gives: an old row that comes late changes nothing.
+    """
+    spark, by = log.sparkSession, list(by)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    store.layout.setdefault(table, Parts(tuple(by), count=GUARD_PARTS))
+    changed = collapse(log, by)
+    schema = changed._jdf.schema().toDDL()
+
+    def handle(batch: DataFrame, number: int) -> None:
+        base = store.version
+        parts = store.touched(table, batch.select(*by), version=base)
+        old = store.read(table, schema=schema, parts=parts, version=base)
+        state = merge(old, batch, by)
+        tables = {table: state if parts is None else Partial(state, parts)}
+        store.commit(tables, job=stream_name(batch, name), batch_id=number, base=base)
+
+    return start(changed, handle, checkpoint, once=once, interval=interval, mode="update")
+
+
 def slice_counts(
     stream: DataFrame, ts: str, *, seconds: int = SLICE_SECONDS, lateness: str = "0 seconds"
 ) -> DataFrame:
@@ -177,7 +226,7 @@ def stream_date_marker(
     waiting_table = f"{spec.source}__waiting"
 
     def handle(batch: DataFrame, number: int) -> None:
-        name = _stream_name(batch, f"{job.name}/{spec.source}")
+        name = stream_name(batch, f"{job.name}/{spec.source}")
         if target.has_batch(name, number):
             return
         spark, base = batch.sparkSession, target.version
@@ -192,8 +241,7 @@ def stream_date_marker(
         waiting = target.read(waiting_table, schema=fresh._jdf.schema().toDDL(), version=base)
         known = waiting.unionByName(fresh)
         reached = next_position(known, ts, position, seconds).first()[0]
-        too_late = "row is older than the saved position"
-        errors = error_log(late, job, spec, too_late)
+        errors = error_log(late, job, spec, TOO_LATE)
         appends = {ERROR_TABLE: errors.unionByName(error_log(undated, job, spec, NO_MARKER))}
         if reached is None:
             tables = {waiting_table: known}
@@ -201,18 +249,20 @@ def stream_date_marker(
             return
         ready = known.where(F.col(ts) < F.lit(reached))
         old, parts = target_of(target, spec, ready, version=base)
-        result = replace(full_table(ready, old, spec), parts=parts)
+        result = replace(full_table(ready, old, spec, counted=True), parts=parts)
         rejected = error_log(result.rejected, job, spec, F.col("reason"))
         appends[ERROR_TABLE] = appends[ERROR_TABLE].unionByName(rejected)
         appends[CHECKPOINT_TABLE] = checkpoint_rows(
             spark, job.name, {spec.source: reached}, number
         )
-        tables = {
-            spec.target: result.state(),
-            waiting_table: known.where(F.col(ts) >= F.lit(reached)),
-        }
-        if target.commit(tables, appends=appends, job=name, batch_id=number, base=base):
-            flux = job_flux(result.changes, job, spec, number)
+        tables = {waiting_table: known.where(F.col(ts) >= F.lit(reached))}
+        if result.added is None:
+            tables[spec.target] = result.state()
+        else:
+            appends[spec.target] = result.added
+        counts = {spec.target: result.count}
+        if target.commit(tables, appends=appends, job=name, batch_id=number, base=base, counts=counts):
+            flux = counted_flux(spark, result.count.get, job, spec, number)
             publish_audit(target, job, [flux], [], number, name)
 
     return start(stream, handle, checkpoint, once=once, interval=job.interval)
@@ -253,7 +303,7 @@ def stream_echo(
         store.commit(
             {PENDING_ECHO: suppress_echo(applied, captured, hashed=hashed)},
             appends={FORWARDED: suppress_echo(captured, applied, hashed=hashed)},
-            job=_stream_name(batch, name),
+            job=stream_name(batch, name),
             batch_id=number,
             base=base,
         )
