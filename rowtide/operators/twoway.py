@@ -49,17 +49,19 @@ def suppress_echo(
     Every applied row cancels one captured row of the same table, key and op (and
     row hash, with ``hashed``, for logs captured by comparing snapshots), the
     earliest first. Keys are compared without the type names in their text, and by typed
-    values where the ``fields`` of the table are given. Captured rows are counted per group and id bucket, so that
-    only the bucket where the applied rows run out has to be ranked and a key
-    that fills a third of the log is split over many tasks. While few keys have an
-    echo to come, their list is broadcast, and all other rows pass unsorted.
+    values where the ``fields`` of the table are given. Captured rows are counted per
+    group and id bucket, so that only the bucket where the applied rows run out has to be
+    ranked and a key that fills a third of the log is split over many tasks. While few keys
+    have an echo to come, their list is broadcast, unless Spark's setting forbids it, and
+    all other rows pass unsorted.
     """
     group = ["_digest", "_table", "_pks", "_op", *(["_hash"] if hashed else [])]
     mine = _echo_group(applied, hashed, fields, side)
     budget = settle(mine.groupBy(*group).agg(F.count(F.lit(1)).alias("_budget")))
     tagged = _echo_group(captured, hashed, fields, side).withColumn("_bucket", bucket_of("id", bits))
     others = None
-    if budget.count() <= BROADCAST_BUDGETS:
+    may = budget.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    if may and budget.count() <= BROADCAST_BUDGETS:
         listed = F.broadcast(budget.select(*group))
         others = tagged.join(listed, group, "left_anti").select(*captured.columns)
         tagged = tagged.join(listed, group, "left_semi")

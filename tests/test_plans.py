@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from helpers import plan_of
 from pyspark.sql import functions as F
@@ -10,11 +12,12 @@ from rowtide.functions.types import type_catalog
 from rowtide.operators.changelog import collapse, run_batches
 from rowtide.operators.compare import classify, dedupe
 from rowtide.operators.numbering import number_rows
-from rowtide.operators.replay import apply_policy, policies
+from rowtide.operators.replay import apply_policy, collapse_routed, pending_of, policies
 from rowtide.operators.twoway import suppress_echo
 from rowtide.operators.writeback import merge, upsert
 from rowtide.registry import fixtures as fx
 from rowtide.registry.base import rows, table
+from rowtide.sources.log import route_log, routed_to
 from rowtide.sources.scan import scan, scan_flagged, scan_time_range
 
 SF = "/root/testdata/sf0.01"
@@ -134,3 +137,28 @@ def test_keys_of_deduped_rows_do_not_drag_the_rows_along(spark):
     kept, _ = dedupe(table(spark, SF, "orders"), ["o_orderkey"], [])
     plan = plan_of(kept.select("o_orderkey"))
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan
+
+
+def test_routed_log_reads_one_folder_per_table(spark):
+    log = spark.range(1, 400).selectExpr(
+        "id", "'d' dbname", "concat('T', id % 3) tablename", "concat('user_id;N;', id % 50, ';') pks",
+        "'U' op", "timestamp_ntz'2024-01-01 00:00:00' op_time",
+    )
+    job = fx.users_job()
+    mine = pending_of(collapse_routed(log, job), job.tables[0])
+    plan = plan_of(mine)
+    assert re.search(r"PartitionFilters: \[.*tablename.*= T0", plan)
+    part = routed_to(route_log(log), "t1")
+    assert part.count() == 133 and re.search(r"PartitionFilters: \[.*_route.*= T1", plan_of(part))
+
+
+def test_only_groups_with_an_echo_to_come_are_sorted(spark):
+    """A short list of pending echoes is broadcast; all other rows of the log pass unsorted."""
+    log = spark.range(1, 50_000).selectExpr(
+        "id", "'T' tablename", "concat('k;N;', id, ';') pks", "'U' op", "cast(null as bigint) row_hash"
+    )
+    applied = log.where("id < 20").withColumn("origin", F.lit("p"))
+    left = suppress_echo(log, applied)
+    assert left.count() == 49_999 - 19
+    plan = plan_of(left)
+    assert re.search(r"BroadcastHashJoin LeftAnti", plan) and re.search(r"BroadcastHashJoin LeftSemi", plan)
