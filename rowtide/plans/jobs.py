@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rowtide.functions.coerce import readable
-from rowtide.functions.keys import encode_pks
+from rowtide.functions.keys import encode_pks, key_columns
 from rowtide.operators.audit import (
     counted_flux,
     error_log,
@@ -769,6 +769,38 @@ def _flux_state(store: SnapshotStore, flux: Sequence[DataFrame], version: int) -
     return upsert_flux(old, reduce(DataFrame.unionByName, flux)).coalesce(1)
 
 
+def _first(log: DataFrame, limit: int | None) -> DataFrame | None:
+    """Ids of the first rows of a routed log."""
+    if not limit:
+        return None
+    return settle(log.orderBy("id").limit(limit).select(F.col(ROUTE).alias("_of"), F.col("id").alias("_id")))
+
+
+def _whole_keys(
+    rows_a: DataFrame, rows_b: DataFrame, first_a: DataFrame, first_b: DataFrame, spec: TableSpec
+) -> tuple[DataFrame, DataFrame]:
+    """Of both logs of a table the first rows, and all further rows of the keys that these name.
+
+    A key whose changes were taken on one side but not yet on the other would go over
+    and undo the change that is still to come, without being noticed as a conflict.
+    """
+    names = [f"_at_{c}" for c in spec.target_pk]
+
+    def parts(rows: DataFrame, first: DataFrame, way: TableSpec) -> tuple[DataFrame, DataFrame]:
+        keyed = key_columns(rows.withColumn("_text", F.col("pks")), way.fields, out=names)
+        chosen = (F.upper("tablename") == F.col("_of")) & (F.col("id") == F.col("_id"))
+        return keyed.join(first, chosen, "left_semi"), keyed.join(first, chosen, "left_anti")
+
+    taken, later = zip(*(parts(*p) for p in ((rows_a, first_a, spec), (rows_b, first_b, spec.reversed()))), strict=True)
+    keys = settle(taken[0].select(*names).union(taken[1].select(*names)).distinct())
+
+    def chosen(now: DataFrame, rest: DataFrame, like: DataFrame) -> DataFrame:
+        rows = now.unionByName(rest.join(keys, names, "left_semi").select(*now.columns))
+        return settle(rows.drop(*names).withColumnRenamed("_text", "pks").select(*like.columns))
+
+    return chosen(taken[0], later[0], rows_a), chosen(taken[1], later[1], rows_b)
+
+
 def _publish_b(
     job: SyncJob, a: SnapshotStore, b: SnapshotStore, number: int, conflict: str, name: str
 ) -> None:
@@ -778,8 +810,9 @@ def _publish_b(
     log_b = b.read(job.target_log, schema=LOG_SCHEMA, version=base_b)
     hashed = "row_hash" in log_a.columns and "row_hash" in log_b.columns
     # either log is read once, whatever the number of tables
-    taken_a = route_log(_take(log_a, job, "source", job.max_records))
-    taken_b = route_log(_take(log_b, job, "target", job.max_records))
+    log_a, log_b = route_log(_take(log_a, job, "source", None)), route_log(_take(log_b, job, "target", None))
+    first_a, first_b = (_first(log, job.max_records) for log in (log_a, log_b))
+    taken_a, taken_b = [], []
     back_job = _back_job(job)
     tables, flux, errors, errors_a = {}, [], [], []
 
@@ -787,7 +820,11 @@ def _publish_b(
         back, mark = spec.reversed(), f"{spec.target}__applied"
         seen_a = a.read(f"{spec.source}__applied", schema=APPLIED_SCHEMA, version=base_a)
         seen_b = b.read(mark, schema=APPLIED_SCHEMA, version=base_b)
-        mine_a, mine_b = routed_to(taken_a, spec.source), routed_to(taken_b, spec.target)
+        mine_a, mine_b = routed_to(log_a, spec.source), routed_to(log_b, spec.target)
+        if job.max_records:
+            mine_a, mine_b = _whole_keys(mine_a, mine_b, first_a, first_b, spec)
+        taken_a.append(mine_a.select("tablename", "id"))
+        taken_b.append(mine_b.select("tablename", "id"))
         plan = exchange(
             a.read(spec.source, version=base_a),
             b.read(spec.target, schema=target_ddl(spec), version=base_b),
@@ -817,8 +854,9 @@ def _publish_b(
             found.append(error_log(bad, one_job, way, F.col("reason")))
 
     side_by_side(b.spark, one, job.tables)
-    tables |= _log_state(b, job.target_log, taken_b.drop(ROUTE), base_b)
-    tables[_outbox(job, "taken")] = taken_a.select("tablename", "id")
+    done_a, done_b = (reduce(DataFrame.union, rows) for rows in (taken_a, taken_b))
+    tables |= _log_state(b, job.target_log, done_b, base_b)
+    tables[_outbox(job, "taken")] = done_a
     tables[_outbox(job, "errors")] = reduce(DataFrame.unionByName, errors_a)
     tables[FLUX_TABLE] = _flux_state(b, flux, base_b)
     appends = {ERROR_TABLE: reduce(DataFrame.unionByName, errors)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from helpers import as_set
@@ -104,3 +105,20 @@ def test_a_change_between_the_sides_is_not_overwritten(sides):
     assert errors == [("WARN", "changed on both sides meanwhile, operation left out: U")]
     jobs.run(JOB, a, b)
     assert value_of(b, 2) == "newer on a" and a.read("log").count() == 0
+
+
+def test_changes_of_a_key_are_taken_together_whatever_the_limit(sides):
+    """The rival of a change lies beyond the rows of the cycle: still a conflict, the later one wins."""
+    a, b = sides
+    change(a, 1, 1, "from a")
+    for n, key in ((1, 3), (2, 2), (9, 1)):
+        change(b, n, key, f"from b {n}")
+    jobs.run(replace(JOB, max_records=1), a, b)
+    # key 1 of both sides and key 3 were taken, key 2 waits
+    assert value_of(a, 1) == value_of(b, 1) == "from b 9" and value_of(a, 3) == "from b 1"
+    assert as_set(b.read("log"), "id") == [(2,)] and a.read("log").count() == 0
+    assert value_of(a, 2) == "old"
+    errors = as_set(b.read(jobs.ERROR_TABLE), "level", "pk_value", "audit_error")
+    assert errors == [("WARN", "id;NUMBER;1;", "changed on both sides, target wins over operation U")]
+    jobs.run(replace(JOB, max_records=1), a, b)
+    assert value_of(a, 2) == "from b 2" and b.read("log").count() == 0
