@@ -82,6 +82,16 @@ def _(spark, sf):
     return read_page(part, page_index(part, ["p_brand", "p_partkey"], ranges=16), 3, 40)
 
 
+@query("source_count_footers", "SELECT count(*) AS n FROM lineitem")
+def _(spark, sf):
+    return scan.source_count(scan.footer_table(spark, f"{sf.rstrip('/')}/lineitem.parquet"))
+
+
+@query("marker_bounds_footers", "SELECT min(event_id) AS lo, max(event_id) AS hi FROM events")
+def _(spark, sf):
+    return scan.marker_bounds(scan.footer_table(spark, f"{sf.rstrip('/')}/events.parquet"), "event_id")
+
+
 @query("scan_flagged", f"SELECT o_orderkey, sync_flag FROM ({fx.FLAGGED}) q WHERE sync_flag = 0")
 def _(spark, sf):
     flagged = rows(spark, sf, fx.FLAGGED)

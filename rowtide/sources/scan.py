@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.plans.spec import FieldSpec, TableSpec
@@ -53,6 +53,24 @@ def source_count(df: DataFrame, predicate: Column | None = None) -> DataFrame:
     return chosen.agg(F.count(F.lit(1)).alias("n"))
 
 
+_V1 = "spark.sql.sources.useV1SourceList"
+
+
+def footer_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose counts, and bounds of numbers and dates, are answered from file footers.
+
+    Read through the newer source interface, which takes whole aggregates; a filter on
+    anything but a partition column makes Spark read the rows again.
+    """
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    kept = spark.conf.get(_V1)
+    spark.conf.set(_V1, ",".join(name for name in kept.split(",") if name != "parquet"))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(_V1, kept)
+
+
 def marker_bounds(df: DataFrame, ts: str) -> DataFrame:
     """Earliest and latest value of a marker column, as one row ``lo, hi``."""
     return df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))

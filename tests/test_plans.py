@@ -18,7 +18,14 @@ from rowtide.operators.writeback import merge, upsert
 from rowtide.registry import fixtures as fx
 from rowtide.registry.base import rows, table
 from rowtide.sources.log import route_log, routed_to
-from rowtide.sources.scan import scan, scan_flagged, scan_time_range
+from rowtide.sources.scan import (
+    footer_table,
+    marker_bounds,
+    scan,
+    scan_flagged,
+    scan_time_range,
+    source_count,
+)
 
 SF = "/root/testdata/sf0.01"
 
@@ -162,3 +169,13 @@ def test_only_groups_with_an_echo_to_come_are_sorted(spark):
     assert left.count() == 49_999 - 19
     plan = plan_of(left)
     assert re.search(r"BroadcastHashJoin LeftAnti", plan) and re.search(r"BroadcastHashJoin LeftSemi", plan)
+
+
+def test_counts_and_bounds_come_from_footers(spark):
+    lines = footer_table(spark, f"{SF}/lineitem.parquet")
+    assert "PushedAggregation: [COUNT(*)]" in plan_of(source_count(lines))
+    events = footer_table(spark, f"{SF}/events.parquet")
+    plan = plan_of(marker_bounds(events, "event_id"))
+    assert "PushedAggregation: [MIN(event_id), MAX(event_id)]" in plan
+    # other tables are read as before
+    assert "PushedAggregation" not in plan_of(source_count(table(spark, SF, "orders")))
