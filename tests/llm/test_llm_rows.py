@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from test_llm_similar import naive_groups
 from test_llm_text import awkward
 
 import corpus_pipeline
@@ -267,15 +268,12 @@ def test_pipeline_by_brute_force(spark):
         last[folded(r.text)] = max(r.doc_id, last.get(folded(r.text), -1))
     exact = sorted(last.values())
     text = {r.doc_id: r.text for r in rows}
-    root = naive_components([naive_print(text[i]) for i in exact])
-    near = {}
-    for i, c in zip(exact, root, strict=True):
-        near[c] = min(i, near.get(c, i))
+    near = set(naive_groups([(i, text[i]) for i in exact]).values())
     packed = corpus_pipeline.run(spark, SF)
     lengths = defaultdict(int)
     for r in packed.collect():
         lengths[r.doc_id] += r.length
-    assert dict(lengths) == {i: len(text[i].encode()) + 1 for i in near.values()}
+    assert dict(lengths) == {i: len(text[i].encode()) + 1 for i in near}
 
 
 def test_stages_on_awkward_rows(spark):
