@@ -19,7 +19,15 @@ from pyspark.sql import types as T
 # Tables worked on side by side.
 PARALLEL = 8
 
-_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
+
+class _Scope(list):
+    """Paths to be removed when a block ends, and the scope around it."""
+
+    outer: _Scope | None = None
+
+
+_scope: ContextVar[_Scope | None] = ContextVar("scratch_scope", default=None)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -51,21 +59,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/rowtide/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, *, outlive: bool = False) -> DataFrame:
     """Write ``df`` once to a scratch table and read it back from there.
 
     Used where two passes must see the very same rows, or where something small
     that took a large scan to find is needed more than once. The rows are in
     shared storage, so losing an executor between the passes changes nothing, and
-    their true size is known when joins are planned.
+    their true size is known when joins are planned. What is to ``outlive`` the innermost
+    :func:`scratch_scope` is removed by the one around it, if there is one.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, "settled")
-    scope = _scope.get()
+    path = _noted_path(df.sparkSession, outlive=outlive)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _noted_path(spark: SparkSession, *, outlive: bool = False) -> str:
+    """A new scratch path that the scope knows of."""
+    path, scope = scratch_path(spark, "settled"), _scope.get()
+    if scope is not None and outlive:
+        scope = scope.outer
     if scope is not None:
         scope.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def settle_parted(df: DataFrame, column: str) -> DataFrame:
@@ -74,10 +89,7 @@ def settle_parted(df: DataFrame, column: str) -> DataFrame:
     Reading one value afterwards opens its folder only.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "settled")
-    scope = _scope.get()
-    if scope is not None:
-        scope.append(path)
+    path = _noted_path(spark)
     df.write.partitionBy(column).parquet(path)
     kept = [f for f in df.schema.fields if f.name != column]
     schema = T.StructType([*kept, df.schema[column]])
@@ -91,7 +103,8 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     For drivers, whose results are committed by then. Outside such a block they
     stay, like checkpoint files, until the folder is cleaned.
     """
-    paths: list[str] = []
+    paths = _Scope()
+    paths.outer = _scope.get()
     token = _scope.set(paths)
     try:
         yield

@@ -51,6 +51,8 @@ def stream_appends(
         seen = sorted(int(r["version"]) for r in batch.where("version <> ''").distinct().collect())
         if not seen:
             return
+        if any(n not in seen for n in store.versions if seen[0] < n < seen[-1]):
+            raise RuntimeError("versions have come out of order")
         rows = appended_rows(store, table, seen[0], seen[-1])
         if rows is None:
             if schema is None:

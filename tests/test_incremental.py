@@ -15,6 +15,7 @@ from rowtide.operators.numbering import paginate
 from rowtide.operators.paging import page_index, read_page
 from rowtide.plans import jobs
 from rowtide.plans.spec import SyncJob, TableSpec
+from rowtide.session import scratch_scope, settle
 from rowtide.sources.log import read_log_stream
 from rowtide.sources.snapshots import Bucketing, Parts, SnapshotStore
 from rowtide.streaming import streams
@@ -264,3 +265,14 @@ def test_appends_come_once_and_restart_at_their_version(spark, tmp_path):
     store.commit({"t": spark.range(9)})
     with pytest.raises(Exception, match="written anew"):
         run()
+
+
+def test_scratch_goes_with_its_scope(spark):
+    with scratch_scope(spark):
+        with scratch_scope(spark):
+            gone, stays = settle(spark.range(3)), settle(spark.range(4), outlive=True)
+        assert stays.count() == 4
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+            gone.collect()
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        stays.collect()
