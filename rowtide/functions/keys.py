@@ -83,28 +83,29 @@ def comparable_pks(
 
     With the ``fields`` of the table the key columns are compared by typed values, in the
     order of the spec; a key that cannot be read, or any key without the fields, by its
-    names (without regard to case) and its values' texts, in the order of the names.
+    names (without regard to case) and its values' texts as they are written.
     """
-    # types are left out; a single column, the usual case, needs no sorting
-    parts = F.split(pks, ";")
-    names, values = F.upper(F.get(parts, F.lit(0))), F.get(parts, F.lit(2))
-    split_names = F.transform(F.split(names, ","), lambda n: F.trim(n))
-    both = F.arrays_zip(split_names.alias("n"), F.split(values, ",").alias("v"))
-    several = F.array_join(
-        F.transform(F.array_sort(both), lambda z: F.concat(z["n"], F.lit("="), F.coalesce(z["v"], F.lit("")))), ","
-    )
-    plain = F.when(~F.contains(names, F.lit(",")), F.concat(F.trim(names), F.lit("="), values)).otherwise(several)
-    plain = F.coalesce(plain, pks)
-    if not fields:
+    # types are left out, and no arrays are taken apart unless there are several columns
+    names = F.upper(F.trim(F.substring_index(pks, ";", 1)))
+    values = F.substring_index(F.substring_index(pks, ";", 3), ";", -1)
+    whole = F.substring_index(pks, ";", 2) != pks
+    plain = F.when(whole, F.concat(names, F.lit("="), values)).otherwise(pks)
+    keys = [f for f in fields or () if f.pk]
+    if not keys:
         return plain
+    if len(keys) == 1:
+        name = getattr(keys[0], side).upper()
+        mine = F.when(whole & (names == F.lit(name)), cast_key(_unescaped(values), keys[0].jdbc_type))
+        text = _escaped(key_text(mine.cast(keys[0].spark_type), keys[0].jdbc_type))
+        return F.coalesce(F.concat(F.lit(f"{name}="), text), plain)
     # a value typed and written again is the same text for 1, 01 and 1.0 of a whole number
+    split_names = F.transform(F.split(names, ","), lambda n: F.trim(n))
     typed = [
         F.concat(
             F.lit(getattr(f, side).upper() + "="),
-            _escape(key_text(_typed_key(split_names, values, f, side), f.jdbc_type)),
+            _escaped(key_text(_typed_key(split_names, values, f, side), f.jdbc_type)),
         )
-        for f in fields
-        if f.pk
+        for f in keys
     ]
     text = typed[0]
     for one in typed[1:]:
@@ -115,7 +116,17 @@ def comparable_pks(
 def _typed_key(names: Column, values: Column, field: FieldSpec, side: str) -> Column:
     place = F.array_position(names, F.lit(getattr(field, side).upper()))
     value = F.when(place > 0, F.get(F.split(values, ","), (place - 1).cast("int")))
-    return cast_key(_unescape(value), field.jdbc_type).cast(field.spark_type)
+    return cast_key(_unescaped(value), field.jdbc_type).cast(field.spark_type)
+
+
+def _unescaped(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("%")), _unescape(text)).otherwise(text)
+
+
+def _escaped(text: Column) -> Column:
+    """Escaped only where there is something to escape."""
+    odd = F.contains(text, F.lit("%")) | F.contains(text, F.lit(",")) | F.contains(text, F.lit(";"))
+    return F.when(odd, _escape(text)).otherwise(text)
 
 
 def key_columns(

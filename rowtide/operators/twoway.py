@@ -22,10 +22,6 @@ from rowtide.sources.scan import fetch_by_keys
 APPLIED_SCHEMA = "origin string, tablename string, pks string, op string, id bigint, row_hash bigint"
 
 
-# Rows that still have an echo to cancel up to which they are broadcast to the log.
-BROADCAST_BUDGETS = 1 << 17
-
-
 def _echo_group(df: DataFrame, hashed: bool, fields: Sequence[FieldSpec] | None, side: str) -> DataFrame:
     key = comparable_pks(F.col("pks"), fields, side=side)
     parts = {"_table": F.upper("tablename"), "_pks": key, "_op": F.col("op")}
@@ -51,22 +47,13 @@ def suppress_echo(
     earliest first. Keys are compared without the type names in their text, and by typed
     values where the ``fields`` of the table are given. Captured rows are counted per
     group and id bucket, so that only the bucket where the applied rows run out has to be
-    ranked and a key that fills a third of the log is split over many tasks. While few keys
-    have an echo to come, their list is broadcast, unless Spark's setting forbids it, and
-    all other rows pass unsorted.
+    ranked and a key that fills a third of the log is split over many tasks.
     """
     group = ["_digest", "_table", "_pks", "_op", *(["_hash"] if hashed else [])]
     mine = _echo_group(applied, hashed, fields, side)
-    budget = settle(mine.groupBy(*group).agg(F.count(F.lit(1)).alias("_budget")))
+    budget = mine.groupBy(*group).agg(F.count(F.lit(1)).alias("_budget"))
     tagged = _echo_group(captured, hashed, fields, side).withColumn("_bucket", bucket_of("id", bits))
-    others = None
-    may = budget.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
-    if may and budget.count() <= BROADCAST_BUDGETS:
-        listed = F.broadcast(budget.select(*group))
-        others = tagged.join(listed, group, "left_anti").select(*captured.columns)
-        tagged = tagged.join(listed, group, "left_semi")
-    left = _beyond_budget(tagged, budget, group, bits).select(*captured.columns)
-    return left if others is None else others.unionByName(left)
+    return _beyond_budget(tagged, budget, group, bits).select(*captured.columns)
 
 
 def _beyond_budget(tagged: DataFrame, budget: DataFrame, group: list[str], bits: int) -> DataFrame:

@@ -881,6 +881,7 @@ def _publish_a(
     same = (F.upper("tablename") == F.col("_of")) & (F.col("id") == F.col("_id"))
     then = route_log(pending.join(ids, same, "left_semi"))
     since = route_log(pending.join(ids, same, "left_anti"))
+    quiet = conflict == "target" or since.isEmpty()
     back_job = _back_job(job)
     tables, flux, errors = {}, [], [b.read(_outbox(job, "errors"), version=box)]
 
@@ -888,7 +889,7 @@ def _publish_a(
         back, mark = spec.reversed(), f"{spec.source}__applied"
         decided = b.read(_outbox(job, spec.source), version=box)
         seen = a.read(mark, schema=APPLIED_SCHEMA, version=base)
-        if conflict != "target":
+        if not quiet:
             newer = routed_to(since, spec.source)
             newer = suppress_echo(newer, seen, hashed=hashed, fields=spec.fields)
             names = dict(zip(spec.target_pk, spec.pk, strict=True))

@@ -73,8 +73,9 @@ def test_keys_are_compared_by_value_and_spread_by_span(spark, tmp_path):
         ("k;NUMBER;1;", "K;BIGINT;1;", False, True),
         ("k;NUMBER;1;", "k;NUMBER;01;", False, False),
         ("k;NUMBER;1;", "k;NUMBER;01;", True, True),
-        ("k,m;A,B;1,x;", "m,k;B,A;x,1;", False, True),
+        ("k,m;A,B;1,x;", "K,m;B,A;1,x;", False, True),
         ("k,m;A,B;1,x;", "m,k;B,A;1,x;", False, False),
+        ("k,m;A,B;01,x;", "m,k;B,A;x,1;", True, True),
         ("k;NUMBER;none;", "k;NUMBER;none;", True, True),
         ("k;NUMBER;none;", "k;NUMBER;nine;", True, False),
         ("", "k;NUMBER;1;", True, False),
@@ -82,6 +83,8 @@ def test_keys_are_compared_by_value_and_spread_by_span(spark, tmp_path):
 )
 def test_comparable_keys(spark, one, other, typed, alike):
     fields = [FieldSpec("k", "k", True, "BIGINT", "NUMBER")] if typed else None
+    if typed and "m" in one:
+        fields.append(FieldSpec("m", "m", True))
     rows = spark.createDataFrame([(one, other)], "a string, b string")
     got = rows.select(comparable_pks(rows["a"], fields) == comparable_pks(rows["b"], fields)).first()[0]
     assert got is alike

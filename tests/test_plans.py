@@ -159,18 +159,6 @@ def test_routed_log_reads_one_folder_per_table(spark):
     assert part.count() == 133 and re.search(r"PartitionFilters: \[.*_route.*= T1", plan_of(part))
 
 
-def test_only_groups_with_an_echo_to_come_are_sorted(spark):
-    """A short list of pending echoes is broadcast; all other rows of the log pass unsorted."""
-    log = spark.range(1, 50_000).selectExpr(
-        "id", "'T' tablename", "concat('k;N;', id, ';') pks", "'U' op", "cast(null as bigint) row_hash"
-    )
-    applied = log.where("id < 20").withColumn("origin", F.lit("p"))
-    left = suppress_echo(log, applied)
-    assert left.count() == 49_999 - 19
-    plan = plan_of(left)
-    assert re.search(r"BroadcastHashJoin LeftAnti", plan) and re.search(r"BroadcastHashJoin LeftSemi", plan)
-
-
 def test_counts_and_bounds_come_from_footers(spark):
     lines = footer_table(spark, f"{SF}/lineitem.parquet")
     assert "PushedAggregation: [COUNT(*)]" in plan_of(source_count(lines))
