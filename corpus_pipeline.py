@@ -29,9 +29,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest identifier.
 
-    Near are texts whose five-word shingles overlap by 0.8 or more. Such pairs differ in up
-    to 13 SimHash bits and more, which no block or tree narrows down, so a prefix filter over
-    the shingles finds them, and all of them.
+    Near are texts whose five-word shingles overlap by 0.8 or more, counted exactly. SimHash
+    fingerprints that differ in up to 6 bits say what to count, by shards of equal blocks and
+    vantage-point trees. Such pairs may differ in more bits, which no block or tree narrows
+    down: those left are found from there by a prefix filter over the shingles, and all of them.
     """
     return keep_one_of_similar(docs)
 

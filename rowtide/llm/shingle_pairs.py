@@ -1,8 +1,15 @@
-"""Near-duplicates by overlap: components of texts whose word shingles are alike.
+"""Near-duplicates by SimHash and overlap: components of texts whose word shingles are alike.
 
 Two texts are near-duplicates if the Jaccard likeness of their sets of ``WORDS``-word
-shingles is ``LIKE`` or more, counted exactly. Candidates come from a *prefix filter*, which
-misses no pair: two sets of likeness t share one of their first n - ceil(t n) + 1 shingles in
+shingles is ``LIKE`` or more, counted exactly.
+
+*SimHash* comes first: each set has a 64-bit fingerprint, and those that differ in up to
+``RADIUS`` bits are found in shards of equal blocks, by vantage-point trees. Each set's nearest
+one is counted, then the nearest beyond each component that has grown, until none grows.
+
+A fingerprint only estimates the likeness, and pairs of ``LIKE`` may differ in more bits than any
+radius that shards can carry. So what is not connected by then has an exact way, which starts from those components:
+a *prefix filter*, which misses no pair. Two sets of likeness t share one of their first n - ceil(t n) + 1 shingles in
 any one order of all shingles. The order is rarest first, by a table of ``SLOTS`` counters
 over all sets and then by hash, so that private edits fill the prefixes and what many texts
 share comes last. Where the first common shingle stands bounds how many can be common: pairs
@@ -36,10 +43,13 @@ from pyspark.sql import functions as F
 
 from rowtide.llm.common import BROADCAST_ROWS, bounded_batches, broadcast_small, quoted, raw_hash, whole, without
 from rowtide.llm.components import components
+from rowtide.llm.simhash import close_pairs, folded, shingle_hashes
 from rowtide.session import settle
 
 WORDS = 5
 LIKE = 0.8
+# Differing bits of fingerprints up to which sets are looked at.
+RADIUS = 6
 # Counters of the table that says how common shingles are, about; and its parts and how many are added at once.
 SLOT_BITS = 22
 BLOCK_BITS = 16
@@ -56,22 +66,13 @@ BROADCAST_GRAMS = 1 << 20
 _ROUNDING = 1e-9
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """The set of a text's word shingles as ascending 48-bit hashes; A-Z are lower-cased.
+def shingles(text: bytes, words: int = WORDS) -> tuple[np.ndarray, int]:
+    """The set of a text's word shingles as ascending 48-bit hashes, and its SimHash.
 
     That two of the shingles of a pair of texts share a hash has odds of one in a billion.
     """
-    parts = text.lower().split()  # of bytes: ASCII letters and white space only
-    if not parts:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(parts)
-    if len(parts) <= words:
-        return np.array([xxhash.xxh64_intdigest(line) >> 16], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    spans = zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(line[a:b]) for a, b in spans), np.uint64) >> np.uint64(16))
+    hashes = np.unique(shingle_hashes(text, words))
+    return np.unique(hashes >> np.uint64(16)), folded(hashes)
 
 
 def packed(grams: np.ndarray) -> bytes:
@@ -86,21 +87,27 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_set _id _check _name _n _grams`` of every row: a number for its set, hashes of text and shingles, the shingles."""
+    """``_set _id _check _name _fp _n _grams`` of every row.
+
+    A number for its set, hashes of text and shingles, the fingerprint and the shingles.
+    """
     bounded_batches(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
-            sets = [shingles(t) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
+            found = [shingles(t) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
+            sets = [s for s, _ in found]
+            prints = np.array([p for _, p in found], np.uint64)
             names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("_set", "_id", "_check")),
                     pa.array(names.view(np.int64)),
+                    pa.array(prints.view(np.int64)),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([packed(s) for s in sets], pa.binary()),
                 ],
-                ["_set", "_id", "_check", "_name", "_n", "_grams"],
+                ["_set", "_id", "_check", "_name", "_fp", "_n", "_grams"],
             )
 
     return docs.select(
@@ -108,7 +115,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(quoted(id_col)).cast("long").alias("_id"),
         raw_hash(text_col).alias("_check"),
         whole(F.col(quoted(text_col))).alias("_text"),
-    ).mapInArrow(work, "_set long, _id long, _check long, _name long, _n int, _grams binary")
+    ).mapInArrow(work, "_set long, _id long, _check long, _name long, _fp long, _n int, _grams binary")
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -213,14 +220,18 @@ def _reach(n: Column, m: Column) -> Column:
     return F.lit(LIKE / (1 + LIKE)) * (n + m) - F.lit(_ROUNDING)
 
 
+def _sizes_fit() -> Column:
+    """Whether sets of sizes ``_n`` and ``_m`` may be alike."""
+    return F.least("_n", "_m") >= F.lit(LIKE) * F.greatest("_n", "_m") - F.lit(_ROUNDING)
+
+
 def _possible() -> Column:
     """Whether two sets may be alike that share the shingles at places ``_p`` and ``_q``, of sizes ``_n`` and ``_m``.
 
     Of their common shingles in order, the first stands at these places, or this pair is found by another one.
     """
-    sizes = F.least("_n", "_m") >= F.lit(LIKE) * F.greatest("_n", "_m") - F.lit(_ROUNDING)
     left = F.least(F.col("_n") - F.col("_p"), F.col("_m") - F.col("_q"))
-    return sizes & (left >= _reach(F.col("_n"), F.col("_m")))
+    return _sizes_fit() & (left >= _reach(F.col("_n"), F.col("_m")))
 
 
 def _alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -257,13 +268,78 @@ def _joined(place: DataFrame | None, links: DataFrame) -> DataFrame:
     return settle(moved.union(new.join(place.select("v"), "v", "left_anti")))
 
 
-def _connected(sets: DataFrame, shared: DataFrame) -> DataFrame:
-    """``v root`` of the sets that are alike to another, from ``_gram _set _n _p _members``."""
+def _named(pairs: DataFrame, place: DataFrame | None) -> DataFrame:
+    """Those of ``pairs`` (``a b`` of sets) that lie in two components, with their names ``_of _part``."""
+    if place is None:
+        return pairs.withColumns({"_of": F.col("a"), "_part": F.col("b")})
+    names = broadcast_small(place, BROADCAST_ROWS)
+    for end, name in (("a", "_of"), ("b", "_part")):
+        named = names.select(F.col("v").alias(end), F.col("root").alias("_root"))
+        pairs = pairs.join(named, end, "left").withColumn(name, F.coalesce("_root", end)).drop("_root")
+    return pairs.where("_of <> _part")
+
+
+def _unasked(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``pairs`` without those that have been counted (``a < b``, written already)."""
+    asked = broadcast_small(asked.select(F.col("a").alias("_a"), F.col("b").alias("_b")), BROADCAST_ROWS)
+    same = (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b"))
+    return pairs.join(asked, same, "left_anti")
+
+
+def _near(sets: DataFrame) -> DataFrame:
+    """``a b _away``: pairs of sets, ``a < b``, that connect all whose fingerprints differ in few bits.
+
+    Of equal fingerprints, the first set stands for the others and is paired with each of them.
+    """
+    head = F.min(F.struct("_set", "_n"))
+    prints = settle(sets.groupBy("_fp").agg(head.alias("_head"), F.count(F.lit(1)).alias("_sets")))
+    heads = prints.select("_fp", F.col("_head._set").alias("a"), F.col("_head._n").alias("_m"), "_sets")
+    again = broadcast_small(settle(heads.where("_sets > 1").drop("_sets")), BROADCAST_ROWS)
+    equal = sets.select("_fp", F.col("_set").alias("b"), "_n").join(again, "_fp").where("a <> b")
+    equal = equal.select("a", "b", "_m", "_n", F.lit(0).alias("_away"))
+    near = settle(close_pairs(prints.select("_fp"), RADIUS).toDF("_x", "_y").distinct())
+    left = heads.select(F.col("_fp").alias("_x"), "a", "_m")
+    right = heads.select(F.col("_fp").alias("_y"), F.col("a").alias("b"), F.col("_m").alias("_n"))
+    away = F.bit_count(F.col("_x").bitwiseXOR(F.col("_y"))).alias("_away")
+    near = near.join(left, "_x").join(right, "_y").select("a", "b", "_m", "_n", away)
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return settle(equal.union(near).where(_sizes_fit()).select(low, high, "_away"))
+
+
+def _by_fingerprints(sets: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """``v root`` of the sets that SimHash connects, if any, and the pairs ``a b`` that were counted for it."""
+    left, place, grown, asked = _named(_near(sets), None), None, None, None
+    while True:
+        near = F.struct("_away", "a", "b", "_of", "_part").alias("_near")
+        sides = left.select(F.col("_of").alias("_name"), near).union(left.select("_part", near))
+        if grown is not None:
+            sides = sides.join(broadcast_small(grown, BROADCAST_ROWS), "_name", "left_semi")
+        nearest = sides.groupBy("_name").agg(F.min("_near").alias("_near"))
+        pairs = settle(nearest.select("_near.a", "_near.b", "_near._of", "_near._part").distinct())
+        new = pairs.select("a", "b")
+        asked = new if asked is None else asked.union(new)
+        if pairs.isEmpty():
+            return place, asked
+        found = settle(_alike(sets, pairs))
+        if found.isEmpty():
+            return place, asked
+        place = _joined(place, found.select(F.col("_of").alias("a"), F.col("_part").alias("b")))
+        grown = found.select(F.col("a").alias("v")).join(place, "v").select(F.col("root").alias("_name"))
+        grown = settle(grown.distinct())
+        left = settle(_named(_unasked(left.drop("_of", "_part"), new), place))
+
+
+def _connected(sets: DataFrame, shared: DataFrame, place: DataFrame | None, asked: DataFrame) -> DataFrame:
+    """``v root`` of the sets that are alike to another, from ``_gram _set _n _p _members``.
+
+    It goes on from what is in ``place`` and does not count again what was ``asked``.
+    """
     small = shared.where(F.col("_members") <= SMALL)
     other = small.select("_gram", F.col("_set").alias("b"), F.col("_n").alias("_m"), F.col("_p").alias("_q"))
     pairs = small.withColumnRenamed("_set", "a").join(other, "_gram").where(_possible() & (F.col("a") < F.col("b")))
-    found = settle(_alike(sets, settle(pairs.select("a", "b").distinct())))
-    place = _joined(None, found)
+    pairs = settle(pairs.select("a", "b").distinct())
+    found = settle(_alike(sets, settle(_unasked(_named(pairs, place), asked))))
+    place = _joined(place, found.select(F.col("_of").alias("a"), F.col("_part").alias("b")))
     # when a set comes in its turn: in [0, 1), the same for all of its shingles
     turn = F.shiftrightunsigned(F.xxhash64("_set"), 11) / F.lit(float(1 << 53))
     large = shared.where(F.col("_members") > SMALL)
@@ -296,8 +372,9 @@ def _connected(sets: DataFrame, shared: DataFrame) -> DataFrame:
         heads = broadcast_small(heads, BROADCAST_ROWS)
         # of two heads one asks
         asks = (F.col("_turn") >= now) | (F.col("a") < F.col("_set"))
-        asked = left.join(heads, "_gram").where(asks & (F.col("_of") != F.col("_part")) & _possible())
-        pairs = settle(asked.select("a", F.col("_set").alias("b"), "_of", "_part").distinct())
+        met = left.join(heads, "_gram").where(asks & (F.col("_of") != F.col("_part")) & _possible())
+        pairs = met.select("a", F.col("_set").alias("b"), "_of", "_part").distinct()
+        pairs = settle(_unasked(pairs, asked))
         found = settle(_alike(sets, pairs))
         if not found.isEmpty():
             links = found.select(F.col("_of").alias("a"), F.col("_part").alias("b")).distinct()
@@ -323,7 +400,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = rows.select("_name", "_set").join(broadcast_small(again, BROADCAST_ROWS), "_name")
     again = settle(again.where("_set <> _first").select("_set"))
     sets = rows.join(broadcast_small(again, BROADCAST_ROWS), "_set", "left_anti")
-    place = _connected(sets, _shared(sets, shingle_counts(sets)))
+    place, asked = _by_fingerprints(sets)
+    place = _connected(sets, _shared(sets, shingle_counts(sets)), place, asked)
     place = place.join(nodes, F.col("v") == F.col("_first")).select("_name", "root", "_low")
     place = settle(place)
     least = place.groupBy("root").agg(F.min("_low").alias("_component"))

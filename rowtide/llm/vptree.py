@@ -25,12 +25,19 @@ class VantageTree:
     def __init__(self, prints: np.ndarray):
         self.prints = prints
 
-    def matches(self, radius: int):
-        """Index pairs (query, member) within the radius, in bounded pieces."""
+    def matches(self, radius: int, labels: np.ndarray | None = None):
+        """Index pairs (query, member) within the radius, in bounded pieces.
+
+        With ``labels``, which the caller changes as it goes, branches of one class are left out.
+        """
         every = np.arange(len(self.prints))
         stack = [(every, every)]
         while stack:
             members, queries = stack.pop()
+            if labels is not None:
+                one = labels[members[0]]
+                if (labels[members] == one).all() and (labels[queries] == one).all():
+                    continue
             if len(members) <= LEAF:
                 yield from self._direct(members, queries, radius)
                 continue
@@ -77,6 +84,42 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = jumped
 
 
+def join_pairs(
+    labels: np.ndarray, a: np.ndarray, b: np.ndarray, away: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs, closer ones first, that join two classes; the labels follow."""
+    order = np.argsort(away, kind="stable")
+    a, b = a[order], b[order]
+    kept_a, kept_b = [a[:0]], [b[:0]]
+    while True:
+        x, y = labels[a], labels[b]
+        differ = x != y
+        if not differ.any():
+            return np.concatenate(kept_a), np.concatenate(kept_b)
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        # every class goes to a lesser one, so that no ring closes
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        labels[high] = np.minimum(x, y)[first]
+        kept_a.append(a[first])
+        kept_b.append(b[first])
+        while True:
+            jumped = labels[labels]
+            if (jumped == labels).all():
+                break
+            labels[:] = jumped
+
+
+def spanning_pairs(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius that connect what all such pairs connect, fewer than members."""
+    labels = np.arange(len(prints))
+    left, right = [prints[:0]], [prints[:0]]
+    for a, b in VantageTree(prints).matches(radius, labels):
+        a, b = join_pairs(labels, a, b, _distance(prints[a], prints[b]))
+        left.append(prints[a])
+        right.append(prints[b])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def spanning_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """As many links as connect what lies within the radius, directly or in steps."""
     labels = np.arange(len(prints))
