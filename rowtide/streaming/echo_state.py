@@ -5,6 +5,11 @@ It holds the applied rows whose echo is still to come, each with the moment it i
 Nothing is rewritten per batch: a batch reads and writes the state of the keys it brings.
 An echo that never comes leaves the state by a timer and is reported.
 
+Keys are dealt into a fixed number of slots by their hash. Python is called once for a slot and
+takes all of its keys together, as a call costs far more than a key. A slot's state is a map by key,
+of which only the keys that a batch brings are looked up; a second map says by moment which keys
+may have something to give up then, so that a timer looks at these only.
+
 Where applied rows carry the id that their echo is captured under, as triggers that write
 both in one transaction do, ``span_bits`` cuts the ids into spans: a key that fills a third
 of the log is spread over many tasks, and a state holds at most a span. Without spans
@@ -20,6 +25,7 @@ rows after its time: the clock of the timers is the arrival of rows, so that no
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Sequence
 
@@ -45,68 +51,105 @@ CLOCK_SECONDS = 60
 # What an output row is.
 FORWARD, MISSING = "forward", "missing"
 _CARRIED = ["origin", "tablename", "pks", "op", "id", "row_hash"]
-_PENDING = "until bigint, origin string, tablename string, pks string, op string, id bigint, row_hash bigint"
-# pandas takes no column names that begin with an underscore on this way
-_GROUP = ["by_table", "by_key", "by_op", "by_hash", "by_span"]
+_PENDING = ["until", *_CARRIED]
+_NUMBERS = ["until", "id", "row_hash"]
+# Keys are dealt into so many slots. States are found by them, so it is the same for as long as a checkpoint is.
+SLOTS = 1 << 12
 # longs travel as text, which pandas does not turn into floating numbers beside a null
 _TEXT_SCHEMA = "kind string, origin string, tablename string, pks string, op string, id string, row_hash string"
 
 
 class EchoProcessor(StatefulProcessor):
-    """Cancels captured rows against the applied rows of their key, in id order."""
+    """Cancels captured rows against the applied rows of their key, in id order, for the keys of a slot."""
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", _PENDING)
+        # a list of rows as JSON, which is read and written much faster than nested rows
+        self.pending = handle.getMapState("pending", "group string", "waiting string")
+        self.due = handle.getMapState("due", "until bigint", "groups array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        brought = pd.concat(rows, ignore_index=True)
-        until = int(brought["arrived_ms"].max()) + self.wait_ms
-        order = brought["id"].map(lambda n: (n is None, int(n or 0))).sort_values(kind="stable").index
-        brought = brought.loc[order]
-        captured = brought[brought["side"] == "captured"]
-        applied = brought[brought["side"] == "applied"]
-        new = [
-            (until, *texts, *(None if n is None else int(n) for n in (number, row_hash)))
-            for *texts, number, row_hash in applied[_CARRIED].itertuples(index=False)
-        ]
-        waiting = [tuple(w) for w in self.pending.get()] + new
-        used = min(len(waiting), len(captured))
-        if used or new:
-            self._keep(waiting[used:])
-        if len(new) and used < len(waiting):
-            self.handle.registerTimer(until)
-        yield _rows(FORWARD, captured.iloc[used:][_CARRIED].values.tolist())
+        until, brought = 0, {}
+        for part in rows:
+            for group, side, arrived, *texts, number, row_hash, _ in part.to_numpy().tolist():
+                until = max(until, arrived + self.wait_ms)
+                numbers = (None if n is None else int(n) for n in (number, row_hash))
+                brought.setdefault(group, ([], []))[side == "applied"].append((*texts, *numbers))
+        sent, late = [], []
+        held = self.pending.exists()
+        for group, (captured, applied) in brought.items():
+            captured.sort(key=_by_id)
+            applied.sort(key=_by_id)
+            waiting = self._waiting(group) if held else []
+            was = len(waiting)
+            waiting += [(until, *row) for row in applied]
+            used = min(len(waiting), len(captured))
+            sent += captured[used:]
+            if was or used < len(waiting):
+                self._keep(group, waiting[used:])
+            if applied and used < len(waiting):
+                late.append(group)
+        if late:
+            before = self.due.getValue((until,))
+            if before is None:
+                self.handle.registerTimer(until)
+            self.due.updateValue((until,), ([*dict.fromkeys([*(before[0] if before else ()), *late])],))
+        if sent:
+            yield _rows(FORWARD, sent)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = expiredTimerInfo.getExpiryTimeInMs()
-        waiting = [tuple(w) for w in self.pending.get()]
-        self._keep([w for w in waiting if w[0] > now])
-        yield _rows(MISSING, [w[1:] for w in waiting if w[0] <= now])
-
-    def _keep(self, waiting: list[tuple]) -> None:
+        due, missing = self.due.getValue((now,)), []
+        for group in due[0] if due else ():
+            waiting = self._waiting(group)
+            given_up = [w[1:] for w in waiting if w[0] <= now]
+            if given_up:
+                self._keep(group, [w for w in waiting if w[0] > now])
+                missing += given_up
+        if due:
+            self.due.removeKey((now,))
+        if missing:
+            yield _rows(MISSING, missing)
+
+    def _waiting(self, group: str) -> list[Sequence]:
+        found = self.pending.getValue((group,))
+        return json.loads(found[0]) if found else []
+
+    def _keep(self, group: str, waiting: list[Sequence]) -> None:
         if waiting:
-            self.pending.put(waiting)
+            self.pending.updateValue((group,), (json.dumps(waiting),))
         else:
-            self.pending.clear()
+            self.pending.removeKey((group,))
+
 
+def _by_id(row: Sequence) -> tuple[bool, int]:
+    number = row[_CARRIED.index("id")]
+    return number is None, number or 0
 
-def _rows(kind: str, found: list) -> pd.DataFrame:
-    out = pd.DataFrame(found, columns=_CARRIED, dtype=object)
-    for name in ("id", "row_hash"):
-        out[name] = out[name].map(lambda n: None if n is None else str(n)).astype(object)
-    out.insert(0, "kind", kind)
-    return out
 
+def _rows(kind: str, found: list[Sequence]) -> pd.DataFrame:
+    rows = [
+        (kind, *texts, *(None if n is None else str(n) for n in (number, row_hash)))
+        for *texts, number, row_hash in found
+    ]
+    return pd.DataFrame(rows, columns=["kind", *_CARRIED], dtype=object)
 
-def _state_key(fields: Sequence[FieldSpec] | None, side: str, hashed: bool, span_bits: int | None) -> list[Column]:
-    span = F.lit(0).cast("long") if span_bits is None else F.shiftright("id", span_bits)
-    parts = [F.upper("tablename"), comparable_pks(F.col("pks"), fields, side=side), F.col("op")]
-    hashes = F.coalesce("row_hash", F.lit(0).cast("long")) if hashed else F.lit(0).cast("long")
-    return [c.alias(n) for c, n in zip([*parts, hashes, span], _GROUP, strict=True)]
+
+def _state_key(fields: Sequence[FieldSpec] | None, side: str, hashed: bool, span_bits: int | None) -> Column:
+    """The key as one text, different for different keys: a null is left out, another value is named."""
+    parts = {
+        "table": F.upper("tablename"),
+        "key": comparable_pks(F.col("pks"), fields, side=side),
+        "op": F.col("op"),
+    }
+    if hashed:
+        parts["hash"] = F.coalesce("row_hash", F.lit(0).cast("long"))
+    if span_bits is not None:
+        parts["span"] = F.shiftright("id", span_bits)
+    return F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()]), {"ignoreNullFields": "true"})
 
 
 def echo_state(
@@ -132,15 +175,16 @@ def echo_state(
         F.raise_error(F.concat(F.lit("neither captured nor applied: "), F.col("side").cast("string")))
     )
     keyed = changes.select(
-        *_state_key(fields, side, hashed, span_bits),
+        _state_key(fields, side, hashed, span_bits).alias("group"),
         side_of.alias("side"),
-        *[F.col(c).cast("string").alias(c) for c in _CARRIED],
         F.current_timestamp().alias("arrived"),
+        *[F.col(c).cast("string").alias(c) for c in _CARRIED],
     )
-    clocked = keyed.withWatermark("arrived", f"{round(clock * 1000)} milliseconds").withColumn(
-        "arrived_ms", F.unix_millis("arrived")
+    # the watermark is noted where it stands; a number of milliseconds goes on to Python
+    clocked = keyed.withWatermark("arrived", f"{round(clock * 1000)} milliseconds").withColumns(
+        {"arrived": F.unix_millis("arrived"), "slot": F.pmod(F.xxhash64("group"), F.lit(SLOTS))}
     )
-    found = clocked.groupBy(*_GROUP).transformWithStateInPandas(
+    found = clocked.groupBy("slot").transformWithStateInPandas(
         EchoProcessor(round((ttl_seconds - clock) * 1000)), _TEXT_SCHEMA, "Append", "EventTime"
     )
     return found.withColumns({c: F.col(c).cast("long") for c in ("id", "row_hash")})
@@ -171,4 +215,7 @@ def pending_echoes(spark: SparkSession, checkpoint: str) -> DataFrame:
         .option("flattenCollectionTypes", True)
         .load()
     )
-    return state.select("list_element.*").withColumn("until", F.timestamp_millis("until"))
+    row = F.explode(F.from_json("user_map_value.waiting", "array<array<string>>")).alias("row")
+    values = [F.get("row", F.lit(n)).cast("long" if c in _NUMBERS else "string") for n, c in enumerate(_PENDING)]
+    held = state.select(row).select(*[v.alias(c) for v, c in zip(values, _PENDING, strict=True)])
+    return held.withColumn("until", F.timestamp_millis("until"))

@@ -9,6 +9,7 @@ from helpers import as_set
 
 from rowtide.functions.keys import comparable_pks
 from rowtide.plans.spec import FieldSpec
+from rowtide.streaming import echo_state
 from rowtide.streaming.echo_state import pending_echoes, stream_echo_state
 
 SCHEMA = "side string, origin string, tablename string, pks string, op string, id bigint, row_hash bigint"
@@ -67,6 +68,51 @@ def test_keys_are_compared_by_value_and_spread_by_span(spark, tmp_path):
     assert pending_echoes(spark, str(tmp_path / "cp")).count() == 0
 
 
+def test_keys_are_taken_together_by_slots(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(echo_state, "SLOTS", 3, raising=False)
+    keys = [f"k{n}" for n in range(60)]
+    echoed = [("captured", k, n) for n, k in enumerate(keys) if n % 2]
+    arrive(spark, tmp_path / "in", [*[("applied", k, n) for n, k in enumerate(keys)], *echoed])
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    query = stream_echo_state(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True, ttl_seconds=1)
+    query.awaitTermination()
+    # one call of Python and one timer for a slot, not for each of the 30 keys that still wait
+    timers = [p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in query.recentProgress]
+    assert 1 <= max(timers) <= 3
+    assert as_set(pending_echoes(spark, str(tmp_path / "cp")), "pks", "id") == sorted(
+        [(k, n) for n, k in enumerate(keys) if n % 2 == 0], key=repr
+    )
+    # some keys get their echo, one gets an applied row more; each of the others is given up
+    time.sleep(1.5)
+    arrive(spark, tmp_path / "in", [("captured", "k0", 100), ("captured", "k0", 101), ("applied", "k2", 102)])
+    missing = [("missing", k, n) for n, k in enumerate(keys) if n % 2 == 0 and n]
+    assert run_once(spark, tmp_path, ttl_seconds=1) == sorted([("forward", "k0", 101), *missing], key=repr)
+    assert as_set(pending_echoes(spark, str(tmp_path / "cp")), "pks", "id") == [("k2", 102)]
+
+
+def test_keys_of_a_slot_are_told_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(echo_state, "SLOTS", 1, raising=False)
+    odd = [
+        ("T", "a", "U", 1, None),
+        (None, "a", "U", 2, None),
+        ("T", None, "U", 3, None),
+        ("T", "a", None, 4, None),
+        ("T", "a", "U", None, None),
+        ("T", "a", "U", 5, 7),
+        ("T", 'a","op":"U', "U", 6, None),
+        (None, None, None, None, None),
+        ("T", "", "U", 300, None),
+        ("T", "\u00e4\u4e00", "U", 301, -1),
+    ]
+    for side, rows in [("applied", odd[::2]), ("captured", odd), ("applied", odd[1::2])]:
+        made = [(side, None, *row) for row in rows]
+        spark.createDataFrame(made, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run_once(spark, tmp_path, hashed=True, span_bits=0)
+    columns = ["tablename", "pks", "op", "id", "row_hash"]
+    assert as_set(spark.read.parquet(str(tmp_path / "out")), *columns) == sorted(odd[1::2], key=repr)
+    assert as_set(pending_echoes(spark, str(tmp_path / "cp")), *columns) == sorted(odd[1::2], key=repr)
+
+
 @pytest.mark.parametrize(
     "one, other, typed, alike",
     [
